@@ -72,7 +72,8 @@ def mat_vec(rows: Column, v: Column) -> Column:
 
 
 def transpose3(rows: Column) -> Column:
-    return F.array(*[F.transform(rows, lambda r, i=i: r[i]) for i in range(3)])
+    column = lambda i: F.transform(rows, lambda r: r[i])
+    return F.array(*[column(i) for i in range(3)])
 
 
 def camera_centre(rotation: Column, translation: Column) -> Column:

@@ -90,7 +90,7 @@ def altitude_note(notes: Column) -> Column:
     """Median, minimum and maximum altitude out of free-text notes (the last note that has them)."""
     number = r"([\d.]+) m"
     pattern = f"GPS altitude median {number}, min {number}, max {number}"
-    hit = F.element_at(F.filter(notes, lambda n: n.rlike(pattern)), -1)
+    hit = F.try_element_at(F.filter(notes, lambda n: n.rlike(pattern)), F.lit(-1))
     pick = lambda i: F.regexp_extract(F.coalesce(hit, F.lit("")), pattern, i)
     return F.struct(
         pick(1).alias("alt_median"), pick(2).alias("alt_min"), pick(3).alias("alt_max")

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # A link that contains one of these points at a data deposit.
 DATA_HOSTS = [
@@ -59,7 +60,7 @@ def replace_all(text: Column, table: dict[str, str]) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), table.items(), text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose_accents(text: pd.Series) -> pd.Series:
     """Unicode normal form C (Spark has no built-in for it)."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))

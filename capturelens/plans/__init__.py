@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401
     queries_sampling,
+    queries_scalar,
+    queries_time,
 )
 from .registry import ORACLES, QUERIES, Bound
 
