@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     queries_sampling,
     queries_scalar,
+    queries_geometry,
     queries_time,
 )
 from .registry import ORACLES, QUERIES, Bound
