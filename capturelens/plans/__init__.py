@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     queries_sampling,
+    queries_raster,
     queries_scalar,
     queries_geometry,
     queries_time,
