@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     queries_raster,
     queries_scalar,
     queries_geometry,
+    queries_study,
     queries_time,
 )
 from .registry import ORACLES, QUERIES, Bound
