@@ -135,7 +135,7 @@ def footnotes(caption: Column, marks: str) -> Column:
     """The notes of a caption, each from its marker to the next."""
     start = F.regexp_extract(caption, f"(?s)([{marks}][A-Z].*)$", 1)
     parts = F.regexp_extract_all(start, F.lit(f"([{marks}][^{marks}]*)"), 1)
-    return F.transform(parts, F.trim)
+    return F.transform(parts, lambda p: F.trim(p))
 
 
 def html_escape(text: Column) -> Column:

@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     queries_scalar,
     queries_geometry,
     queries_study,
+    queries_text,
     queries_time,
 )
 from .registry import ORACLES, QUERIES, Bound
