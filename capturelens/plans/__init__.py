@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     queries_sampling,
     queries_raster,
+    queries_reports,
     queries_scalar,
     queries_geometry,
     queries_study,
