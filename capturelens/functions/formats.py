@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Texts that mean "no value", and the texts shown in their place.
 MISSING = ["", "undetermined", "n/a", "None", "nan"]
@@ -57,30 +59,15 @@ def fmt_plain(value: Column) -> Column:
     return F.coalesce(written, F.lit(DASH))
 
 
+@F.pandas_udf(StringType())
+def _significant(value: pd.Series, digits: pd.Series) -> pd.Series:
+    """Rounds the exact binary value; Spark's formats round its shortest decimal text instead."""
+    return pd.Series([None if pd.isna(v) else f"{v:.{int(d)}g}" for v, d in zip(value, digits)], dtype=object)
+
+
 def fmt_sig(value: Column, digits: int = 4) -> Column:
-    """Text with a number of significant digits; exponent form outside 1e-4 ≤ |x| < 10^digits."""
-    size = F.abs(value)
-    power = F.when(size > 0, F.floor(F.log10(size)).cast("int")).otherwise(F.lit(0))
-    mantissa = F.round((value / F.pow(F.lit(10.0), power)).cast("decimal(38,18)"), digits - 1)
-    carry = F.when(F.abs(mantissa) >= 10, 1).otherwise(0)
-    power = power + carry
-    mantissa = F.when(carry == 1, mantissa / 10).otherwise(mantissa)
-    strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    sign = F.when(power < 0, F.lit("-")).otherwise(F.lit("+"))
-    exponent = F.concat(sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
-    scientific = F.concat(
-        strip(mantissa.cast("decimal(38,18)").cast("string")), F.lit("e"), exponent
-    )
-    fixed = (mantissa.cast("double") * F.pow(F.lit(10.0), power)).cast("decimal(38,18)")
-    steps = [
-        F.when(power == p, F.round(fixed, max(digits - 1 - p, 0)).cast("string"))
-        for p in range(-4, digits)
-    ]
-    plain = strip(F.coalesce(*steps))
-    shown = F.when((power < -4) | (power >= digits), scientific).otherwise(plain)
-    return F.when(value.isNull(), F.lit(UNDETERMINED)).otherwise(
-        F.when(value == 0, F.lit("0")).otherwise(shown)
-    )
+    """Text with a number of significant digits; null as undetermined."""
+    return F.coalesce(_significant(value.cast("double"), F.lit(digits)), F.lit(UNDETERMINED))
 
 
 def fmt_container(value: Column) -> Column:

@@ -24,17 +24,24 @@ def long_tracks(obs: DataFrame, point: str, least: int = 3, in_bounds: Column |
     return with_totals(kept, [point], _n=F.count(F.lit(1))).where(F.col("_n") >= least).drop("_n")
 
 
+def _channel_medians(obs: DataFrame, point: str, values: Mapping[str, Column], prefix: str) -> DataFrame:
+    """One row per point with the median of every channel; all channels are ranked in one pass."""
+    long = obs.select(point, F.explode(F.array(*[
+        F.struct(F.lit(ch).alias("ch"), v.cast("double").alias("v")) for ch, v in values.items()
+    ])).alias("_c")).select(point, "_c.ch", "_c.v")
+    ranks = exact_quantiles(long, [point, "ch"], F.col("v"), {"_q": 0.5})
+    return ranks.groupBy(point).agg(*[
+        F.max(F.when(F.col("ch") == ch, F.col("_q"))).alias(f"{prefix}{ch}") for ch in values
+    ])
+
+
 def mad_z(obs: DataFrame, point: str, floors: Mapping[str, float]) -> DataFrame:
     """Adds ``z_<channel>``: distance to the point's median over its MAD, the MAD floored."""
-    out = obs
-    for ch in floors:
-        med = exact_quantiles(out, [point], F.col(ch), {f"_med_{ch}": 0.5}).drop("n")
-        out = out.join(med, point)
-    for ch in floors:
-        away = F.abs(F.col(ch) - F.col(f"_med_{ch}"))
-        mad = exact_quantiles(out, [point], away, {f"_mad_{ch}": 0.5}).drop("n")
-        out = out.join(mad, point)
-    return out.withColumns({
+    med = _channel_medians(obs, point, {ch: F.col(ch) for ch in floors}, "_med_")
+    centred = obs.join(med, point)
+    away = {ch: F.abs(F.col(ch) - F.col(f"_med_{ch}")) for ch in floors}
+    mad = _channel_medians(centred, point, away, "_mad_")
+    return centred.join(mad, point).withColumns({
         f"z_{ch}": (F.col(ch) - F.col(f"_med_{ch}")) / F.greatest(MAD_SCALE * F.col(f"_mad_{ch}"), F.lit(floor))
         for ch, floor in floors.items()
     }).drop(*[f"_{m}_{ch}" for ch in floors for m in ("med", "mad")])

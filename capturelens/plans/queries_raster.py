@@ -191,11 +191,11 @@ def _(t):
 
 
 @query("agg43_gray_world", f"""WITH {BANDS}, m AS (SELECT capture, band, avg(v / 255.0) AS m FROM bands GROUP BY ALL), g AS (SELECT capture, avg(m) AS tg FROM m GROUP BY capture)
-  SELECT b.capture, b.band, round(any_value(tg / m), 6) AS gain, round(avg(least(b.v / 255.0 * tg / m, 1.0)), 6) AS mean FROM bands b JOIN m USING (capture, band) JOIN g USING (capture) GROUP BY b.capture, b.band""")
+  SELECT b.capture, b.band, round(any_value(tg / m), 6) AS gain, round(avg(least(b.v / 255.0 * tg / m, 1.0)), 9) AS mean FROM bands b JOIN m USING (capture, band) JOIN g USING (capture) GROUP BY b.capture, b.band""")
 def _(t):
     unit = bands(t).withColumn("data", F.transform("data", lambda v: v / 255.0))
     out = rs.gray_world(unit, ["capture"], "band", "data")
-    return out.select("capture", "band", r6(F.col("gain")).alias("gain"), r6(rs.pixel_mean(F.col("balanced"))).alias("mean"))
+    return out.select("capture", "band", r6(F.col("gain")).alias("gain"), F.round(rs.pixel_mean(F.col("balanced")), 9).alias("mean"))
 
 
 @query("agg44_median_matrix", """WITH e AS (SELECT label AS seq, vec_id, CAST(embedding AS DOUBLE[])[1:9] AS h, vec_id % 6 <> 0 AS ok FROM embeddings),
