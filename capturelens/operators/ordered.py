@@ -8,7 +8,7 @@ every part of a plan agrees on it, also after an executor is lost. A windowed va
 value inside the block, merged with what earlier (or later) blocks of the same sequence carry
 over; the carry is computed on one row per (sequence, block).
 
-Inputs that are small by the optimizer's size estimate are not cut and use one plain window.
+Frames computed from small inputs (by the optimizer's statistics) use one plain window.
 The order columns must be comparable scalars (numbers or strings) without nulls.
 """
 
@@ -21,16 +21,23 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BLK = "_blk"
-FAN = 32  # split points are searched in two steps of FAN comparisons
+BLOCKS = 1024  # blocks of a large frame
 MIN_BYTES_CONF = "spark.capturelens.split.minBytes"
 SAMPLE_CONF = "spark.capturelens.split.sampleRows"
 MIN_BYTES = 16 * 1024 * 1024
-SAMPLE_ROWS = 32 * FAN * FAN
+SAMPLE_ROWS = 32 * BLOCKS
+MARK = "\x01"  # between the written split points
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame (an upper bound for scans, filters, aggregates)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame) -> int:
+    """Size of the largest input a frame is computed from, by the optimizer's statistics.
+
+    The estimate of the frame itself is no use here: without column statistics the size of a join
+    is taken as the product of its sides. Inputs of unknown size count as very large.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(sizes, default=0)
 
 
 def split_points(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
@@ -39,7 +46,7 @@ def split_points(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
     At most ``SAMPLE_ROWS`` keys come to the driver, whatever the size of the frame.
     """
     conf = df.sparkSession.conf
-    if estimated_bytes(df) < int(conf.get(MIN_BYTES_CONF, str(MIN_BYTES))):
+    if input_bytes(df) < int(conf.get(MIN_BYTES_CONF, str(MIN_BYTES))):
         return []
     size = int(conf.get(SAMPLE_CONF, str(SAMPLE_ROWS)))
     picked = (
@@ -47,26 +54,35 @@ def split_points(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
     ).collect()
     if len(picked) < size:
         return []
-    picked = sorted(tuple(row) for row in picked)
-    count = min(FAN * FAN - 1, max(1, size // 16))
+    finite = (tuple(row) for row in picked if not any(v is None or v != v for v in row))
+    picked = sorted(finite)
+    count = min(BLOCKS - 1, max(1, size // 16))
     points = {picked[(i + 1) * len(picked) // (count + 1)] for i in range(count)}
     return sorted(points)
 
 
-def _literal(points: list[tuple], types: list[str]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).cast(t) for v, t in zip(p, types)]) for p in points])
+def with_block(df: DataFrame, keys: Sequence[str], points: list[tuple]) -> DataFrame:
+    """Adds the number of split points at or below the row's key, by binary search.
 
+    Each key's split points are one constant array; the halvings are folded inside one
+    expression, so the optimizer has nothing to duplicate.
+    """
+    arrays = []
+    for i, k in enumerate(keys):
+        text = F.lit(MARK.join(str(p[i]) for p in points))
+        arrays.append(F.split(text, MARK).cast(f"array<{df.schema[k].dataType.simpleString()}>"))
+
+    def at_or_below(place: Column) -> Column:
+        out = F.get(arrays[-1], place) <= F.col(keys[-1])
+        for array, k in list(zip(arrays, keys))[-2::-1]:
+            point = F.get(array, place)
+            out = (point < F.col(k)) | ((point == F.col(k)) & out)
+        return out
 
-def block_id(df: DataFrame, keys: Sequence[str], points: list[tuple]) -> Column:
-    """Number of split points at or below the row's key, found in two steps."""
-    types = [df.schema[k].dataType.simpleString() for k in keys]
-    key = F.struct(*[F.col(k) for k in keys])
-    coarse = points[FAN - 1 :: FAN]
-    if not coarse:
-        return F.size(F.filter(_literal(points, types), lambda p: p <= key)).cast("int")
-    step = F.size(F.filter(_literal(coarse, types), lambda p: p <= key))
-    fine = F.slice(_literal(points, types), step * FAN + 1, F.lit(FAN))
-    return (step * FAN + F.size(F.filter(fine, lambda p: p <= key))).cast("int")
+    top = len(points).bit_length() - 1
+    steps = F.array(*[F.lit(1 << b) for b in range(top, -1, -1)])
+    further = lambda place, step: place + F.when(at_or_below(place + step - 1), step).otherwise(0)
+    return df.withColumn(BLK, F.aggregate(steps, F.lit(0), further))
 
 
 @dataclass(frozen=True)
@@ -180,7 +196,7 @@ class Ordered:
         keys = self.by + self.order
         points = split_points(df, keys)
         self.split = bool(points)
-        self._df = df.withColumn(BLK, block_id(df, keys, points)) if self.split else df
+        self._df = with_block(df, keys, points) if self.split else df
 
     @property
     def df(self) -> DataFrame:
