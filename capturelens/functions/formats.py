@@ -28,8 +28,13 @@ def as_decimal(value: Column) -> Column:
 
 
 def half_up(value: Column, digits: int) -> Column:
-    """Text of a decimal rounded half away from zero with a fixed number of digits."""
-    return F.round(value.cast(DEC), digits).cast(f"decimal(38,{digits})").cast("string")
+    """Text of a decimal rounded half away from zero with a fixed number of digits.
+
+    A negative number that rounds to zero keeps its sign.
+    """
+    text = F.round(value.cast(DEC), digits).cast(f"decimal(38,{digits})").cast("string")
+    lost = (value < 0) & ~text.startswith("-")
+    return F.when(lost, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def fmt_num(value: Column, digits: int) -> Column:
