@@ -16,7 +16,7 @@ from ..operators.rollup import first_row
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with a header, every cell a string; an empty cell is an empty string."""
-    return spark.read.csv(path, header=True, inferSchema=False, nullValue="\0", emptyValue="", multiLine=True)
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True).na.fill("")
 
 
 def read_csv_keyed(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
