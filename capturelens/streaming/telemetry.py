@@ -96,7 +96,7 @@ def dispatch_log(
 
 
 class Attempts(StatefulProcessor):
-    """The open attempt of one run; it is emitted when the next one starts or its time is up."""
+    """The open attempt of one run; it is emitted when the next one starts or the run ends."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -120,32 +120,29 @@ class Attempts(StatefulProcessor):
                 state = (state[0], state[1], state[2] + 1, state[3])
             if state is not None and isinstance(reason, str) and state[3] is None:
                 state = (state[0], state[1], state[2], reason)
+            if role == "end" and state is not None:
+                yield self._emit(key[0], state)
+                state = None
         if state is not None:
             self.open.update(state)
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + IDLE_MS)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.open.exists():
-            state = tuple(self.open.get())
+        else:
             self.open.clear()
-            yield self._emit(key[0], state)
 
     def close(self) -> None:
         pass
 
 
-IDLE_MS = 6 * 3600 * 1000  # an attempt without lines for this long is over
-
-
 def attempts_stream(log: DataFrame) -> DataFrame:
-    """Attempts of a live log ``run, line, role (start/step/other), reason``; closed ones only."""
+    """Attempts of a live log ``run, line, role, reason``; closed ones only.
+
+    Roles are ``start``, ``step``, ``end`` (of the run, which frees its state) and any other. The
+    state is one small row per running log.
+    """
     return log.groupBy("run").transformWithStateInPandas(
         statefulProcessor=Attempts(),
         outputStructType="run bigint, attempt bigint, first_line bigint, n_after bigint, discarded string",
         outputMode="append",
-        timeMode="processingTime",
+        timeMode="none",
     )
 
 

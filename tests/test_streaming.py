@@ -85,6 +85,7 @@ def test_attempts_equal_batch(spark, tmp_path):
     for run in range(3):
         for line in range(30):
             role = "start" if line % (7 + run) == 3 else ("step" if line % 2 else "other")
+            role = "end" if line == 29 and run == 1 else role
             rows.append((run, line, role, "r" if line % 11 == 5 else None))
     log = spark.createDataFrame(rows, "run bigint, line bigint, role string, reason string")
     parts = [log.where(f"line >= {a} and line < {a + 10}") for a in (0, 10, 20)]
@@ -96,4 +97,4 @@ def test_attempts_equal_batch(spark, tmp_path):
     last = {}
     for run, attempt in want:
         last[run] = max(last.get(run, 0), attempt)
-    assert got == {k: v for k, v in want.items() if k[1] < last[k[0]]}  # the open attempt is not emitted yet
+    assert got == {k: v for k, v in want.items() if k[1] < last[k[0]] or k[0] == 1}  # open attempts are not emitted yet
