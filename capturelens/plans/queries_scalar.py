@@ -216,7 +216,7 @@ def _(t):
     return t.embeddings.select("vec_id", r6(geo.yaw_degrees(e(0), e(1), e(2), e(3))).alias("yaw"))
 
 
-@query("prj23_heading_difference", f"""WITH {FRAMES} SELECT event_id, round(abs(((k * 3.6 - 90.0 + 180.0) % 360.0 + 360.0) % 360.0 - 180.0), 6) AS d FROM frames""")
+@query("prj23_heading_difference", f"""WITH {FRAMES} SELECT event_id, CAST(round(abs(((k * 3.6 - 90.0 + 180.0) % 360.0 + 360.0) % 360.0 - 180.0), 6) AS DOUBLE) AS d FROM frames""")
 def _(t):
     return t.frames.select("event_id", r6(geo.heading_difference(F.col("k") * 3.6, F.lit(90.0))).alias("d"))
 
@@ -302,7 +302,7 @@ def _(t):
 
 
 @query("prj32_pose_convention", f"""SELECT vec_id, round(cos(e[1]), 6) AS m00, round(-sin(e[1]), 6) AS m01, round(x, 6) AS m03,
-  round(-1.0, 6) AS m12, round(z, 6) AS m13, round(sin(e[1]), 6) AS m20, round(-y, 6) AS m23 FROM (SELECT vec_id, e, {CENTRE} FROM {E7})""")
+  CAST(-1.0 AS DOUBLE) AS m12, round(z, 6) AS m13, round(sin(e[1]), 6) AS m20, round(-y, 6) AS m23 FROM (SELECT vec_id, e, {CENTRE} FROM {E7})""")
 def _(t):
     m = geo.camera_to_world(F.col("rot"), F.col("tr"))
     cells = {"m00": (0, 0), "m01": (0, 1), "m03": (0, 3), "m12": (1, 2), "m13": (1, 3), "m20": (2, 0), "m23": (2, 3)}

@@ -508,7 +508,7 @@ def _(t):
 
 
 @query("udf2_condition_table", f"""WITH {RUNS}, c AS (SELECT * FROM (VALUES ('raw', false, 1.0), ('dehaze', false, 0.5), ('ghost', true, 1.0)) v(mode, masked, gain))
-  SELECT mode, status, count(*) AS n, round(sum(CASE WHEN masked THEN 0 ELSE gain END * 2), 4) AS total FROM runs, c GROUP BY ALL""")
+  SELECT mode, status, count(*) AS n, CAST(round(sum(CASE WHEN masked THEN 0 ELSE gain END * 2), 4) AS DOUBLE) AS total FROM runs, c GROUP BY ALL""")
 def _(t):
     from ..operators import metrics as mt
 
