@@ -57,9 +57,6 @@ def sample_video(
     return numbered.where(keep)
 
 
-SWEEP_SCHEMA = "kind string, value double"
-
-
 def sample_sweep(
     frames: DataFrame,
     seq: str,
@@ -76,18 +73,28 @@ def sample_sweep(
     options = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.lit(float(v)).alias("value")) for k, v in levels]
     )
-    wide = number_frames(frames, seq, order).withColumn("_fps", fps)
-    level = wide.withColumn("_level", F.explode(options)).select("*", "_level.kind", "_level.value")
-    target = F.when(F.col("kind") == "fps", F.col("value")).otherwise(F.lit(target_fps))
-    k = F.greatest(F.bround(F.col("_fps") / target).cast("bigint"), F.lit(1).cast("bigint"))
-    cap = F.when(F.col("kind") == "count", F.col("value").cast("bigint"))
-    wanted = F.when(F.col("kind") == "width", F.col("value").cast("bigint")).otherwise(F.lit(width))
-    place = F.floor(F.col("ord") / F.col("k"))
-    return (
-        level.withColumns({"k": k, "width": wanted.cast("bigint"), "_cap": cap})
-        .where((F.col("ord") % F.col("k") == 0) & (F.col("_cap").isNull() | (place < F.col("_cap"))))
-        .drop("_fps", "_level", "_cap")
-    )
+    big = lambda c: c.cast("bigint")
+    rate = F.col("_fps")
+
+    def step(level: Column) -> Column:
+        target = F.when(level["kind"] == "fps", level["value"]).otherwise(F.lit(target_fps))
+        return F.greatest(big(F.bround(rate / target)), big(F.lit(1)))
+
+    def wanted(level: Column) -> Column:
+        k = step(level)
+        cap = F.when(level["kind"] == "count", big(level["value"]))
+        short = cap.isNull() | (F.floor(F.col("ord") / k) < cap)
+        return (F.col("ord") % k == 0) & short
+
+    # A frame is repeated only for the levels that keep it.
+    numbered = number_frames(frames, seq, order).withColumn("_fps", fps)
+    kept = numbered.withColumn("_level", F.explode(F.filter(options, wanted)))
+    level = F.col("_level")
+    target_width = F.when(level["kind"] == "width", big(level["value"])).otherwise(F.lit(width))
+    return kept.select(
+        "*", level["kind"].alias("kind"), level["value"].alias("value"), step(level).alias("k"),
+        big(target_width).alias("width"),
+    ).drop("_fps", "_level")
 
 
 def span_and_rate(first: Column, last: Column, fps: Column, k: Column) -> dict[str, Column]:

@@ -167,12 +167,12 @@ def bands(t):
 
 def stretch_sql(keys):
     return f"""WITH {BANDS}, l AS (SELECT {keys}, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS h0 FROM bands GROUP BY {keys}), m AS (SELECT *, CASE WHEN h0 > lo THEN h0 ELSE lo + 1 END AS hi FROM l)
-  SELECT capture, band, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(avg(least(greatest((v - lo) / (hi - lo), 0.0), 1.0)), 6) AS mean FROM bands JOIN m USING ({keys}) GROUP BY capture, band"""
+  SELECT capture, band, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi, round(avg(least(greatest((v - lo) / (hi - lo), 0.0), 1.0)), 9) AS mean FROM bands JOIN m USING ({keys}) GROUP BY capture, band"""
 
 
 def _stretch(t, keys):
     out = rs.stretch(bands(t), keys, "data")
-    return out.select("capture", "band", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), r6(rs.pixel_mean(F.col("stretched"))).alias("mean"))
+    return out.select("capture", "band", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), F.round(rs.pixel_mean(F.col("stretched")), 9).alias("mean"))
 
 
 @query("agg41_joint_stretch", stretch_sql("capture"))
