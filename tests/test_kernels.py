@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from capturelens.functions import formats as fm
 from capturelens.functions import geometry as geo
 from capturelens.functions import text as tx
+from capturelens.operators import cloud as cl
 from capturelens.operators import pose as ps
 from capturelens.operators import raster as rs
 from capturelens.operators import robust as rb
@@ -215,3 +216,16 @@ def test_first_sentence(spark):
     texts = ["By A. Smith et al. Then more.", "One. Two.", "no end", "See Fig. 3. Next (a)."]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "x string").select(tx.first_sentence(F.col("x"))).collect()]
     assert got == ["By A. Smith et al.", "One.", "no end", "See Fig. 3."]
+
+
+def test_principal_axis_and_seeded_sample(spark):
+    rng = np.random.default_rng(9)
+    pts = rng.normal(size=(400, 3)) * [5.0, 1.0, 0.2] @ np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    df = spark.createDataFrame(pd.DataFrame(pts, columns=["x", "y", "z"]).assign(g=1, i=np.arange(400)))
+    got = cl.principal_axis(df, "g", ["x", "y", "z"]).first()
+    want = np.linalg.svd(pts - pts.mean(0))[2][0]
+    want = -want if want[2] < 0 else want
+    np.testing.assert_allclose([got["ax"], got["ay"], got["az"]], want, atol=1e-6)
+    one, two = ([r.i for r in cl.seeded_sample(df.repartition(n), "i", 50, 3).collect()] for n in (2, 7))
+    assert one == two and len(set(one)) == 50
+    assert one != [r.i for r in cl.seeded_sample(df, "i", 50, 4).collect()]
