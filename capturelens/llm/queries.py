@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, token_counts
+from . import exact, mixing, near_text, token_counts
 from .wordpieces import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -84,3 +84,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, counted through the digest cache."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
+
+
+@query()
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents by sets of four-word shingles."""
+    return near_text.near_groups(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
