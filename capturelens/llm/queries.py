@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near_text, token_counts
+from . import exact, mixing, near_text, quality, token_counts
 from .wordpieces import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -90,3 +90,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents by sets of four-word shingles."""
     return near_text.near_groups(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+
+
+@query()
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by weighted rules over text statistics."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
