@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near_text, quality, token_counts
+from . import exact, mixing, near_text, packing, quality, token_counts, token_store
+from .work import new_folder
 from .wordpieces import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,3 +97,17 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by weighted rules over text statistics."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written to compressed shards and read back."""
+    folder = new_folder(spark, "token-store")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), folder, public_path(TOKENIZER))
+    return token_store.read_tokens(spark, folder)
+
+
+@query()
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of several permitted lengths, counted in words and an end mark."""
+    return packing.pack(table(spark, sf_dir, "documents"))

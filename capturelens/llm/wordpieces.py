@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 CACHED_WORDS = 700_000
@@ -13,6 +13,9 @@ CACHED_WORDS = 700_000
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
+# letters that are composed and lower-cased alike everywhere, then ASCII marks other than the apostrophe
+LETTERS_AND_MARKS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]+|)")
+
 
 def public_path(name: str) -> str:
     """Place of a vocabulary file of the installed public tokenizers."""
@@ -32,6 +35,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.kept: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.folds = False
         if path.endswith(".model"):
             import sentencepiece
 
@@ -47,7 +52,8 @@ class Encoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.by_words = drops_spaces(json.load(f))
+            config = json.load(f)
+        self.by_words, self.folds = drops_spaces(config), folds_case(config)
         self.encode_all = lambda texts: [
             e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
@@ -61,15 +67,28 @@ class Encoder:
         kept = self.kept
         for text in texts:
             words = split_words(text or "")
-            missing = [w for w in set(words) if w not in kept]
+            missing = set(words).difference(kept)
             if missing:
                 if len(kept) > CACHED_WORDS:
                     kept.clear()
-                    missing = list(set(words))
-                for word, ids in zip(missing, self.encode_all(missing)):
-                    kept[word] = array("I", ids).tobytes()
+                    missing = set(words)
+                self.learn(missing)
             yield b"".join(map(kept.__getitem__, words))
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Keeps the ids of words; letters with marks after them are two parts, encoded apart."""
+        cut = {}
+        for word in words:
+            found = LETTERS_AND_MARKS.fullmatch(word) if self.folds else None
+            cut[word] = (found[1].lower(), found[2]) if found else (word,)
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
+        new = [x for x in {x for parts in cut.values() for x in parts} if x not in self.parts]
+        for part, ids in zip(new, self.encode_all(new)):
+            self.parts[part] = array("I", ids).tobytes()
+        for word, parts in cut.items():
+            self.kept[word] = b"".join([self.parts[x] for x in parts])
+
 
 def split_words(text: str) -> list[str]:
     """The text cut at white space as Unicode defines it."""
@@ -92,6 +111,16 @@ def drops_spaces(config: dict) -> bool:
     )
 
 
+def folds_case(config: dict) -> bool:
+    """Whether a tokenizer that works word by word lower-cases and parts letters from marks."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    first = ((config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        drops_spaces(config) and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in first["pattern"]["Regex"]
+    )
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
