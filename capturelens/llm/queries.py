@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near_text, packing, quality, token_counts, token_store
+from . import exact, mixing, near_text, near_vectors, packing, quality, token_counts, token_store
 from .work import new_folder
 from .wordpieces import public_path
 
@@ -111,3 +111,9 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of several permitted lengths, counted in words and an end mark."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate embeddings of one label by cosine."""
+    return near_vectors.vector_groups(table(spark, sf_dir, "embeddings"))
