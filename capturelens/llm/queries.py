@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near_text, near_vectors, packing, quality, token_counts, token_store
+from . import exact, mixing, near_text, near_vectors, packing, quality, token_counts, token_store, warc
 from .work import new_folder
 from .wordpieces import public_path
 
@@ -117,3 +117,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate embeddings of one label by cosine."""
     return near_vectors.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op7_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    folder = new_folder(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_pages(spark, folder)
