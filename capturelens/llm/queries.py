@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, near_text, near_vectors, packing, quality, token_counts, token_store, warc
+from . import chat_tree, exact, mixing, near_text, near_vectors, packing, quality, token_counts, token_store, warc
 from .work import new_folder
 from .wordpieces import public_path
 
 TOKENIZER = "word_bpe_49k.json"
+LOSSLESS_TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +126,16 @@ def op7_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
     warc.write_pages(table(spark, sf_dir, "pages"), folder)
     return warc.read_pages(spark, folder)
+
+
+@query()
+def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted into packs of a prefix tree and read back from them."""
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame(
+        [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    folder = new_folder(spark, "chat-packs")
+    chat_tree.write_packs(rows, folder, public_path(LOSSLESS_TOKENIZER))
+    return chat_tree.read_conversations(spark, folder, public_path(LOSSLESS_TOKENIZER))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -24,6 +25,25 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def load(path: str):
+    """A tokenizer of the tokenizers library without truncation, padding or threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str):
+    """One tokenizer per worker process and file; special strings inside texts are ordinary text to it."""
+    tokenizer = load(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 class Encoder:
     """Token ids of whole texts as packed unsigned 32-bit integers.
 
@@ -43,14 +63,7 @@ class Encoder:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode_all, self.by_words = lambda texts: model.encode(texts, num_threads=1), False
             return
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         self.by_words, self.folds = drops_spaces(config), folds_case(config)
