@@ -65,6 +65,6 @@ def mark_copies(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns (see ``mark_copies``)."""
-    stays = mark_copies(docs, id_col, text_col).where("kept").select("doc_id", "digest").distinct()
+    stays = mark_copies(docs, id_col, text_col).where("kept").select("doc_id", "digest").distinct().hint("merge")
     ours = sha256(F.coalesce(docs[text_col], F.lit("")))
     return docs.join(stays, docs[id_col].eqNullSafe(stays["doc_id"]) & (ours == stays["digest"]), "left_semi")

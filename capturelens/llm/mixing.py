@@ -82,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     size = F.expr("_size div _rows")
     share = F.expr("_taken div _rows")
-    joined = docs.join(takes, docs[id_col].eqNullSafe(takes["doc_id"])).select(
+    joined = docs.join(takes.hint("merge"), docs[id_col].eqNullSafe(takes["doc_id"])).select(
         *[docs[c] for c in docs.columns], size.alias("_size"), share.alias("_taken")
     )
     whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(1)

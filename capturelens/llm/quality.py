@@ -176,5 +176,5 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     The decision is a function of the text, so rows that share an id go or stay by their own scores only
     when ids are unique; a repeated id stays if one of its rows does."""
-    good = score_quality(docs, labels, id_col, text_col, **how).where("predicted = 1").select("doc_id").distinct()
+    good = score_quality(docs, labels, id_col, text_col, **how).where("predicted = 1").select("doc_id").distinct().hint("merge")
     return docs.join(good, docs[id_col].eqNullSafe(good["doc_id"]), "left_semi")
