@@ -9,7 +9,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-CACHED_WORDS = 700_000
+CACHED_WORDS = 800_000
+CACHED_PARTS = 800_000
 # str.split() also cuts at these, which the tokenizers take as ordinary characters
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -56,7 +57,7 @@ class Encoder:
     def __init__(self, path: str):
         self.kept: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.folds = False
+        self.merge = None
         if path.endswith(".model"):
             import sentencepiece
 
@@ -66,7 +67,13 @@ class Encoder:
         tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        self.by_words, self.folds = drops_spaces(config), folds_case(config)
+        self.by_words = drops_spaces(config)
+        if folds_case(config):
+            from tokenizers import pre_tokenizers
+
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.as_bytes = {c: spell(chr(c))[0][0] for c in range(0xC0, 0x100)}
+            self.merge = tokenizer.model.tokenize
         self.encode_all = lambda texts: [
             e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
@@ -89,18 +96,30 @@ class Encoder:
             yield b"".join(map(kept.__getitem__, words))
 
     def learn(self, words: Iterable[str]) -> None:
-        """Keeps the ids of words; letters with marks after them are two parts, encoded apart."""
-        cut = {}
+        """Keeps the ids of words; letters with marks after them are two parts that the merges take as they are."""
+        kept, parts, whole = self.kept, self.parts, []
+        if len(parts) > CACHED_PARTS:
+            parts.clear()
         for word in words:
-            found = LETTERS_AND_MARKS.fullmatch(word) if self.folds else None
-            cut[word] = (found[1].lower(), found[2]) if found else (word,)
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        new = [x for x in {x for parts in cut.values() for x in parts} if x not in self.parts]
-        for part, ids in zip(new, self.encode_all(new)):
-            self.parts[part] = array("I", ids).tobytes()
-        for word, parts in cut.items():
-            self.kept[word] = b"".join([self.parts[x] for x in parts])
+            found = LETTERS_AND_MARKS.fullmatch(word) if self.merge else None
+            if found is None:
+                whole.append(word)
+                continue
+            letters, marks = found[1].lower(), found[2]
+            ids = parts.get(letters)
+            if ids is None:
+                ids = parts[letters] = self.merged(letters if letters.isascii() else letters.translate(self.as_bytes))
+            if marks:
+                more = parts.get(marks)
+                if more is None:
+                    more = parts[marks] = self.merged(marks)
+                ids += more
+            kept[word] = ids
+        for word, ids in zip(whole, self.encode_all(whole) if whole else ()):
+            kept[word] = array("I", ids).tobytes()
+
+    def merged(self, part: str) -> bytes:
+        return array("I", [token.id for token in self.merge(part)]).tobytes()
 
 
 def split_words(text: str) -> list[str]:
