@@ -14,6 +14,7 @@ NOT_APPLICABLE = "n/a"
 UNDETERMINED = "undetermined"
 
 DEC = "decimal(38,12)"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def norm_missing(value: Column) -> Column:
@@ -23,8 +24,12 @@ def norm_missing(value: Column) -> Column:
 
 
 def as_decimal(value: Column) -> Column:
-    """The decimal number written in a text (or the shortest text of a double)."""
-    return norm_missing(value).try_cast(DEC)
+    """The decimal number written in a text (or the shortest text of a double); null for other texts.
+
+    A number too large for the decimal type is an error, not a missing value.
+    """
+    text = norm_missing(value)
+    return F.when(text.rlike(NUMBER), text).cast(DEC)
 
 
 def half_up(value: Column, digits: int) -> Column:

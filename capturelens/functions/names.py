@@ -36,7 +36,7 @@ SCENE_OF_PREFIX = {
 
 def scene_group(seq_id: Column) -> Column:
     """Group of sequences that are not independent samples of a scene."""
-    part = F.concat(F.lit("btg_"), F.element_at(F.split(F.substring(seq_id, 5, 1000), "_p"), 1))
+    part = F.concat(F.lit("btg_"), F.element_at(F.split(F.substr(seq_id, F.lit(5)), "_p"), 1))
     flight = F.when(seq_id.contains("V2"), "bot_V2").otherwise("bot_V1")
     rules = F.when(seq_id.startswith("btg_"), part).when(seq_id.startswith("bot_"), flight)
     for prefix, scene in SCENE_OF_PREFIX.items():
@@ -63,7 +63,7 @@ def label_header_stamp(label: Column) -> Column:
 
 def frame_stem(name: Column) -> Column:
     """Name without its image extensions, however often they are repeated."""
-    return F.regexp_replace(name, r"(\.(png|jpe?g))+$", "")
+    return F.regexp_replace(name, r"(?i)(\.(png|jpe?g))+$", "")
 
 
 def mask_candidates(name: Column) -> Column:

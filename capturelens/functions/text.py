@@ -82,13 +82,14 @@ def markup_to_text(text: Column) -> Column:
     text = strip_comments(text)
     text = F.regexp_replace(text, r"\\cite\{[^{}]*\}", "")
     names = "|".join(UNWRAP)
-    for _ in range(3):  # commands inside commands
-        text = F.regexp_replace(text, r"\\(?:" + names + r")\{([^{}]*)\}", "$1")
+    # commands inside commands: a pass takes the innermost, and there are no more levels than braces
+    passes = F.sequence(F.lit(0), F.size(F.regexp_extract_all(text, F.lit(r"\{"), F.lit(0))))
+    text = F.aggregate(passes, text, lambda t, _: F.regexp_replace(t, r"\\(?:" + names + r")\{([^{}]*)\}", "$1"))
     text = F.regexp_replace(text, r"\\addlinespace(\[[^\]]*\])?", "")
     text = compose_accents(accent_commands(text))
     text = replace_all(text, PLAIN_TEXT)
     text = F.regexp_replace(text, r"[{}]", "")
-    left = text.contains("\\")
+    left = text.contains("\\") | text.contains("$")
     return F.when(left, F.raise_error(F.concat(F.lit("unconverted markup: "), text))).otherwise(
         squeeze(text)
     )
@@ -118,7 +119,9 @@ def legend(caption: Column, lead: str = "The columns are ") -> Column:
     """Map of abbreviation to name out of ``Name (ABB), … and Name (ABB)``."""
     tail = F.regexp_replace(F.substring_index(caption, lead, -1), r"\.+$", "")
     items = F.split(tail, r",\s*(?:and\s+)?|\s+and\s+")
-    hits = F.filter(items, lambda i: F.trim(i).rlike(r"^.+ \([A-Z]+\)$"))
+    wrong = F.filter(items, lambda i: ~F.trim(i).rlike(r"^.+ \([A-Z]+\)$"))
+    bad = F.raise_error(F.concat(F.lit("not a name with its abbreviation: "), F.array_join(wrong, "; ")))
+    hits = F.when(F.size(wrong) > 0, bad).otherwise(items)
     return F.map_from_arrays(
         F.transform(hits, lambda i: F.regexp_extract(i, r"\(([A-Z]+)\)$", 1)),
         F.transform(hits, lambda i: F.trim(F.regexp_extract(i, r"^(.+?) \([A-Z]+\)$", 1))),
@@ -151,7 +154,7 @@ def set_pairs(text: Column) -> Column:
 
     def value(s: Column) -> Column:
         raw = F.substring_index(s, "=", 1)
-        rest = F.substring(s, F.length(raw) + 2, 1_000_000)
+        rest = F.substr(s, F.length(raw) + 2)
         number = rest.rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?$")
         word = rest.isin("true", "false", "null")
         quoted = rest.rlike(r'^"([^"\\]|\\.)*"$')

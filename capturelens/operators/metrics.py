@@ -68,6 +68,8 @@ def with_conditions(df: DataFrame, name: str, conditions: Mapping[str, Mapping[s
 
 
 def dispatch(df: DataFrame, kind: str, preparers: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Rows of each kind through the preparer of that kind."""
-    parts = [df.where(F.col(kind) == k).transform(fn) for k, fn in preparers.items()]
+    """Rows of each kind through the preparer of that kind; any other kind, null too, is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no preparer for kind: "), F.coalesce(F.col(kind).cast("string"), F.lit("null"))))
+    checked = df.withColumn(kind, F.when(F.col(kind).isin(list(preparers)), F.col(kind)).otherwise(unknown))
+    parts = [checked.where(F.col(kind) == k).transform(fn) for k, fn in preparers.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

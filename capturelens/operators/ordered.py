@@ -2,14 +2,13 @@
 
 A window partitioned by the sequence sends a whole sequence to one task. When one sequence may
 hold a third of all rows that task never ends. ``Ordered`` cuts the rows into *blocks*: ranges of
-(sequence, order key) whose split points are taken from a bounded, hash-chosen sample of the
-keys. The split points are literals in the plan, so a block id is a plain column expression and
-every part of a plan agrees on it, also after an executor is lost. A windowed value is then the
-value inside the block, merged with what earlier (or later) blocks of the same sequence carry
-over; the carry is computed on one row per (sequence, block).
-
-Frames computed from small inputs (by the optimizer's statistics) use one plain window.
-The order columns must be comparable scalars (numbers or strings) without nulls.
+(sequence, order key), as many as the rows fill. The ranged rows are written once to the shared
+checkpoint folder together with their block numbers, so every step reads the same blocks, also
+after an executor is lost. A windowed value is then the value inside the block, merged with what
+earlier (or later) blocks of the same sequence carry over; the carry is computed on one row per
+(sequence, block). Rows that fill one block have nothing to carry, and are not written.
+
+Null keys are keys like any other: they come first in the order and form a sequence of their own.
 """
 
 from __future__ import annotations
@@ -20,69 +19,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import write_through
+
 BLK = "_blk"
-BLOCKS = 1024  # blocks of a large frame
-MIN_BYTES_CONF = "spark.capturelens.split.minBytes"
-SAMPLE_CONF = "spark.capturelens.split.sampleRows"
-MIN_BYTES = 16 * 1024 * 1024
-SAMPLE_ROWS = 32 * BLOCKS
-MARK = "\x01"  # between the written split points
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Size of the largest input a frame is computed from, by the optimizer's statistics.
-
-    The estimate of the frame itself is no use here: without column statistics the size of a join
-    is taken as the product of its sides. Inputs of unknown size count as very large.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return max(sizes, default=0)
-
-
-def split_points(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
-    """Ordered split points of the key space; empty when the frame is small.
-
-    At most ``SAMPLE_ROWS`` keys come to the driver, whatever the size of the frame.
-    """
-    conf = df.sparkSession.conf
-    if input_bytes(df) < int(conf.get(MIN_BYTES_CONF, str(MIN_BYTES))):
-        return []
-    size = int(conf.get(SAMPLE_CONF, str(SAMPLE_ROWS)))
-    picked = (
-        df.select(*keys).withColumn("_h", F.xxhash64(*keys)).orderBy("_h").limit(size).drop("_h")
-    ).collect()
-    if len(picked) < size:
-        return []
-    finite = (tuple(row) for row in picked if not any(v is None or v != v for v in row))
-    picked = sorted(finite)
-    count = min(BLOCKS - 1, max(1, size // 16))
-    points = {picked[(i + 1) * len(picked) // (count + 1)] for i in range(count)}
-    return sorted(points)
-
-
-def with_block(df: DataFrame, keys: Sequence[str], points: list[tuple]) -> DataFrame:
-    """Adds the number of split points at or below the row's key, by binary search.
-
-    Each key's split points are one constant array; the halvings are folded inside one
-    expression, so the optimizer has nothing to duplicate.
-    """
-    arrays = []
-    for i, k in enumerate(keys):
-        text = F.lit(MARK.join(str(p[i]) for p in points))
-        arrays.append(F.split(text, MARK).cast(f"array<{df.schema[k].dataType.simpleString()}>"))
-
-    def at_or_below(place: Column) -> Column:
-        out = F.get(arrays[-1], place) <= F.col(keys[-1])
-        for array, k in list(zip(arrays, keys))[-2::-1]:
-            point = F.get(array, place)
-            out = (point < F.col(k)) | ((point == F.col(k)) & out)
-        return out
+BLOCK_ROWS_CONF = "spark.capturelens.block.rows"
+BLOCK_ROWS = 1_000_000  # rows of a block, about
 
-    top = len(points).bit_length() - 1
-    steps = F.array(*[F.lit(1 << b) for b in range(top, -1, -1)])
-    further = lambda place, step: place + F.when(at_or_below(place + step - 1), step).otherwise(0)
-    return df.withColumn(BLK, F.aggregate(steps, F.lit(0), further))
+
+def attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row of the frame with the totals of its group; null keys meet null keys."""
+    renamed = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in totals.columns if c not in by]
+    )
+    met = F.lit(True)
+    for i, k in enumerate(by):
+        met = met & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(renamed, met, "left").drop(*[f"_k{i}" for i in range(len(by))])
 
 
 @dataclass(frozen=True)
@@ -193,55 +145,64 @@ class Ordered:
 
     def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str]):
         self.by, self.order = list(by), list(order)
-        keys = self.by + self.order
-        points = split_points(df, keys)
-        self.split = bool(points)
-        self._df = with_block(df, keys, points) if self.split else df
+        keys = [F.col(c) for c in self.by + self.order]
+        rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
+        self.blocks = max(1, -(-df.select(*keys).count() // rows))
+        self._read_once, self._df = True, df
+        if self.split:
+            ranged = df.repartitionByRange(self.blocks, *keys).withColumn(BLK, F.spark_partition_id())
+            self._df = write_through(ranged, "blocks")
+
+    @property
+    def split(self) -> bool:
+        return self.blocks > 1
 
     @property
     def df(self) -> DataFrame:
         return self._df.drop(BLK)
 
+    def _next(self, df: DataFrame, read_once: bool) -> Ordered:
+        out = object.__new__(Ordered)
+        out.by, out.order, out.blocks = self.by, self.order, self.blocks
+        out._df, out._read_once = df, read_once
+        return out
+
     def add(self, **values: Carried) -> Ordered:
         """The same frame with one more column per windowed value."""
-        out = object.__new__(Ordered)
-        out.by, out.order, out.split = self.by, self.order, self.split
         if not self.split:
             w = Window.partitionBy(*self.by).orderBy(*self.order)
-            out._df = self._df.select(
-                "*", *[v.finish(v.local(w)).alias(name) for name, v in values.items()]
+            return self._next(
+                self._df.select("*", *[v.finish(v.local(w)).alias(name) for name, v in values.items()]), True
             )
-            return out
+        # what is added to joined blocks reads them twice, so they are written first
+        rows = self._df if self._read_once else write_through(self._df, "blocks")
         keys = [*self.by, BLK]
         w = Window.partitionBy(*keys).orderBy(*self.order)
-        local = self._df.select("*", *[v.local(w).alias(f"_in_{n}") for n, v in values.items()])
+        local = rows.select("*", *[v.local(w).alias(f"_in_{n}") for n, v in values.items()])
         key = F.struct(*[F.col(c) for c in self.order])
-        summary = self._df.groupBy(*keys).agg(
+        summary = rows.groupBy(*keys).agg(
             *[v.summary(key).alias(f"_s_{n}") for n, v in values.items()]
         )
         ws = Window.partitionBy(*self.by).orderBy(BLK)
         carried = summary.select(
             *keys, *[v.carry(F.col(f"_s_{n}"), ws).alias(f"_c_{n}") for n, v in values.items()]
         )
-        joined = local.join(carried, keys)
-        out._df = joined.select(
-            *self._df.columns,
-            *[
-                v.finish(v.merge(F.col(f"_in_{n}"), F.col(f"_c_{n}"))).alias(n)
-                for n, v in values.items()
-            ],
+        return self._next(
+            attach(local, carried, keys).select(
+                *rows.columns,
+                *[
+                    v.finish(v.merge(F.col(f"_in_{n}"), F.col(f"_c_{n}"))).alias(n)
+                    for n, v in values.items()
+                ],
+            ),
+            False,
         )
-        return out
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> Ordered:
         """Change columns row by row; the order and the blocks stay."""
-        out = object.__new__(Ordered)
-        out.by, out.order, out.split = self.by, self.order, self.split
-        out._df = fn(self._df)
-        return out
+        return self._next(fn(self._df), self._read_once)
 
 
 def with_totals(df: DataFrame, by: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach group aggregates to every row by partial aggregation and a join back."""
-    totals = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(totals, list(by))
+    return attach(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()]), by)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import angle_degrees, dot, minus, norm
-from .ordered import Ordered, following
+from .ordered import Ordered, attach, following
 from .quantiles import exact_quantiles
 from .sequence import path_length
 from .spatial import nearest
@@ -72,7 +72,7 @@ def diagonal(box: Sequence[str]) -> Column:
 def baseline_fraction(poses: DataFrame, points: DataFrame, seq: str, order: Sequence[str], coords: Sequence[str]) -> DataFrame:
     """Median consecutive step over the diagonal of the 5–95 % box of the points."""
     box = axis_quantiles(points, [seq], coords, 0.05, 0.95)
-    return median_step(poses, seq, order, coords).join(box, seq).select(
+    return attach(median_step(poses, seq, order, coords), box, [seq]).select(
         seq, (F.col("median_step") / (diagonal(coords) + TINY)).alias("baseline_frac")
     )
 
@@ -124,12 +124,12 @@ def view_spread(poses: DataFrame, seq: str, axis: Sequence[str], q: float = 0.9)
     mean = mean_vector(poses, [seq], axis)
     length = F.sqrt(sum((F.col(f"{c}_mean") * F.col(f"{c}_mean") for c in axis), F.lit(0.0))) + TINY
     cosine = sum((F.col(c) * F.col(f"{c}_mean") for c in axis), F.lit(0.0)) / length
-    return exact_quantiles(poses.join(mean, seq), [seq], angle_degrees(cosine), {"spread": q}).drop("n")
+    return exact_quantiles(attach(poses, mean, [seq]), [seq], angle_degrees(cosine), {"spread": q}).drop("n")
 
 
 def scene_scale(points: DataFrame, by: Sequence[str], coords: Sequence[str], q: float = 0.95) -> DataFrame:
     """Percentile of the distance from the centroid, at least 1e-6."""
-    centred = points.join(mean_vector(points, by, coords), list(by))
+    centred = attach(points, mean_vector(points, by, coords), list(by))
     away = F.sqrt(sum(((F.col(c) - F.col(f"{c}_mean")) * (F.col(c) - F.col(f"{c}_mean")) for c in coords), F.lit(0.0)))
     ranks = exact_quantiles(centred, by, away, {"scale": q})
     return ranks.select(*by, F.greatest(F.col("scale"), F.lit(1e-6)).alias("scale"))

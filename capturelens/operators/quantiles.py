@@ -22,9 +22,8 @@ def rank_values(
 ) -> DataFrame:
     """Per group ``n`` and, for each fraction, the values at the ranks around it and the weight."""
     counted = (
-        df.select(*by, value.alias("_v")).where(F.col("_v").isNotNull())
-        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
+        df.select(*by, value.alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    )  # nulls count nothing, but a group of nulls stays a group
     keyed = counted if by else counted.withColumn("_all", F.lit(0))
     ranked = Ordered(keyed, by or ["_all"], ["_v"]).add(
         _cum=running_sum(F.col("_c")), _n=group_total(F.col("_c"))

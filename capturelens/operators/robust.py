@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import with_totals
+from .ordered import attach, with_totals
 from .quantiles import exact_quantiles
 
 MAD_SCALE = 1.4826  # fixed value: MAD to standard deviation of a normal distribution
@@ -38,10 +38,10 @@ def _channel_medians(obs: DataFrame, point: str, values: Mapping[str, Column], p
 def mad_z(obs: DataFrame, point: str, floors: Mapping[str, float]) -> DataFrame:
     """Adds ``z_<channel>``: distance to the point's median over its MAD, the MAD floored."""
     med = _channel_medians(obs, point, {ch: F.col(ch) for ch in floors}, "_med_")
-    centred = obs.join(med, point)
+    centred = attach(obs, med, [point])
     away = {ch: F.abs(F.col(ch) - F.col(f"_med_{ch}")) for ch in floors}
     mad = _channel_medians(centred, point, away, "_mad_")
-    return centred.join(mad, point).withColumns({
+    return attach(centred, mad, [point]).withColumns({
         f"z_{ch}": (F.col(ch) - F.col(f"_med_{ch}")) / F.greatest(MAD_SCALE * F.col(f"_mad_{ch}"), F.lit(floor))
         for ch, floor in floors.items()
     }).drop(*[f"_{m}_{ch}" for ch in floors for m in ("med", "mad")])
@@ -102,7 +102,7 @@ def robust_limits(df: DataFrame, by: list[str], value: Column, sigmas: float = 3
     """Median plus and minus a number of population deviations."""
     sd = df.groupBy(*by).agg(F.stddev_pop(value).alias("_sd"))
     med = exact_quantiles(df, by, value, {"_med": 0.5})
-    both = med.join(sd, by) if by else med.crossJoin(sd)  # without groups both are one row
+    both = attach(med, sd, by) if by else med.crossJoin(sd)  # without groups both are one row
     return both.select(
         *by, (F.col("_med") - sigmas * F.col("_sd")).alias("lo"), (F.col("_med") + sigmas * F.col("_sd")).alias("hi")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import DASH, as_decimal, half_up, shown_range
-from .ordered import Ordered, group_total, ordinal
+from .ordered import Ordered, attach, group_total, ordinal
 from .quantiles import exact_median_decimal, exact_quantiles
 
 
@@ -53,11 +53,11 @@ def repeat_summary(
         F.min("_reg").alias("registered_min"), F.max("_reg").alias("registered_max"),
     )
     med = exact_quantiles(counted, [by], F.col("_reg"), {"registered_median": 0.5}).drop("n")
-    out = facts.join(med, by)
+    out = attach(facts, med, [by])
     for name, pair in pairs.items():
         # Distinct in two steps, so that one condition with most runs is spread over tasks.
         kinds = counted.select(by, F.coalesce(pair.cast("string"), F.lit("\0")).alias("_p")).distinct()
-        out = out.join(kinds.groupBy(by).agg(F.count(F.lit(1)).alias(name)), by)
+        out = attach(out, kinds.groupBy(by).agg(F.count(F.lit(1)).alias(name)), [by])
     return out
 
 

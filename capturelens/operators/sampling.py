@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Ordered, following, group_total, ordinal, running_sum
+from .ordered import Ordered, attach, following, group_total, ordinal, running_sum
 from .quantiles import exact_quantiles
 
 MAX_FRAMES = 200  # fixed value: frames kept per sequence
@@ -191,7 +191,7 @@ def content_profile(
         F.avg((v < black).cast("double")).alias("black_share"),
     )
     ranks = exact_quantiles(frames, [seq], v, {"p10": 0.1, "p50": 0.5, "p90": 0.9}).drop("n")
-    return shares.join(ranks, seq)
+    return attach(shares, ranks, [seq])
 
 
 def sampling_interval(frames: DataFrame, seq: str, order: list[str], t_seconds: Column) -> DataFrame:

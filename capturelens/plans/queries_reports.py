@@ -86,11 +86,11 @@ def _(t):
     return t.orders.select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("outcome")).join(scores, "run", "left")
 
 
-@query("rpt4_ablation_table", f"""WITH {RATES}, sd AS (SELECT l_orderkey AS run, l_linenumber AS seed, count(*) AS n_views, round(avg(l_quantity), 6) AS psnr_mean FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), base AS (
+@query("rpt4_ablation_table", f"""WITH {RATES}, sd AS (SELECT l_orderkey AS run, l_linenumber AS seed, count(*) AS n_views, round(avg(l_quantity), 6) AS psnr_mean FROM lineitem GROUP BY ALL), base AS (
     SELECT rr.run, rr.sequence, rr.condition, rr.ok AS gate_pass, CASE WHEN rr.condition <> '5-LOW' THEN rate END AS registration_success_rate FROM rr LEFT JOIN rates ON rates.sequence = rr.sequence AND rates.m = (rr.condition > '3'))
   SELECT base.*, seed, n_views, psnr_mean, registration_success_rate IS NULL AS pending_repeats FROM base LEFT JOIN sd USING (run)""")
 def _(t):
-    seeds = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("seed")).agg(
+    seeds = t.lineitem.groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("seed")).agg(
         F.count(F.lit(1)).alias("n_views"), r6(F.avg("l_quantity")).alias("psnr_mean"))
     base = tb.attach_rates(repeat_runs(t), rates(t), F.col("condition") > "3", "sequence", F.col("condition") == "5-LOW")
     return base.select("run", "sequence", "condition", F.col("ok").alias("gate_pass"), "registration_success_rate", "pending_repeats").join(seeds, "run", "left")
@@ -235,17 +235,17 @@ def _(t):
     return rows.select("run", "rule", "view", "psnr", "other")
 
 
-@query("rpt18_method_comparison", """SELECT CASE WHEN l_returnflag = 'A' THEN 'raw' ELSE 'preprocessed' END AS method, count(DISTINCT l_suppkey) AS num_reg_images, count(DISTINCT l_partkey) AS num_points, round(avg(l_quantity), 6) AS mean_error FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1""")
+@query("rpt18_method_comparison", """SELECT CASE WHEN l_returnflag = 'A' THEN 'raw' ELSE 'preprocessed' END AS method, count(DISTINCT l_suppkey) AS num_reg_images, count(DISTINCT l_partkey) AS num_points, round(avg(l_quantity), 6) AS mean_error FROM lineitem GROUP BY 1""")
 def _(t):
-    def summary(name, flag):
-        obs = t.lineitem.where(F.col("l_returnflag") == flag)
+    def summary(name, rows):
+        obs = t.lineitem.where(rows)
         images = obs.select("l_suppkey").distinct().agg(F.count(F.lit(1)).alias("num_reg_images"))
         points = obs.select("l_partkey").distinct().agg(F.count(F.lit(1)).alias("num_points"))
         error = obs.agg(r6(F.avg("l_quantity")).alias("mean_error"))
         one = images.crossJoin(F.broadcast(points)).crossJoin(F.broadcast(error))  # one row each
         return one.withColumn("method", F.lit(name))
 
-    return tb.append_rows(summary("raw", "A"), summary("preprocessed", "R")).select("method", "num_reg_images", "num_points", "mean_error")
+    return tb.append_rows(summary("raw", F.col("l_returnflag") == "A"), summary("preprocessed", F.col("l_returnflag") != "A")).select("method", "num_reg_images", "num_points", "mean_error")
 
 
 @query("rpt20_recomputation_audit", f"""WITH {REPEAT}, a AS (SELECT condition, count(*) AS n, round(count(*) FILTER (ok) / count(*)::DOUBLE, 3) AS rate FROM rr GROUP BY condition)

@@ -72,10 +72,10 @@ def _(t):
     return t.nation.select("n_nationkey", F.array_join(pairs, ";").alias("legend"))
 
 
-@query("txt7_first_sentence", r"""SELECT doc_id, md5(CASE WHEN regexp_matches(text, '(?s)^.*?(?:[^A-Z]|\w[A-Z])\.\s+[A-Z(]') THEN regexp_extract(text, '(?s)^(.*?(?:[^A-Z]|\w[A-Z])\.)\s+[A-Z(]', 1) ELSE text END) AS digest
-  FROM documents WHERE lang = 'en'""")
+@query("txt7_first_sentence", r"""SELECT doc_id, md5(CASE WHEN regexp_matches(text, '(?s)^.*?(?:[^A-Z]|[\w\p{L}\p{N}][A-Z])\.\s+[A-Z(]') THEN regexp_extract(text, '(?s)^(.*?(?:[^A-Z]|[\w\p{L}\p{N}][A-Z])\.)\s+[A-Z(]', 1) ELSE text END) AS digest
+  FROM documents""")
 def _(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.md5(tx.first_sentence(F.col("text")).cast("binary")).alias("digest"))
+    return t.documents.select("doc_id", F.md5(tx.first_sentence(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("txt8_footnotes", "SELECT doc_id, 'ᵃFrom ' || source || '.|ᵇLanguage ' || lang AS notes FROM documents")
@@ -249,20 +249,20 @@ def _(t):
     return rd.page_cells(t.pages, "page_id", "html").select("page_id", F.col("place").cast("bigint").alias("place"), "cell")
 
 
-@query("src12_markup_table", "SELECT n_regionkey, 1 AS group_no, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no, n_name || '&' || n_nationkey AS cells FROM nation")
+@query("src12_markup_table", "SELECT n_regionkey, 1 AS group_no, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no, n_name || '&' || n_nationkey AS cells FROM nation UNION ALL SELECT DISTINCT n_regionkey, 0, 1, 'Name&Key' FROM nation")
 def _(t):
     rows = F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat("n_name", F.lit(" & "), F.col("n_nationkey").cast("string")).alias("r"))))
     body = F.array_join(F.transform(rows, lambda s: s["r"]), " \\\\[2pt] \n")
     text = F.concat(F.lit("\\toprule\nName & Key \\\\\n\\midrule\n"), body, F.lit(" \\\\\n\\addlinespace[3pt]\\bottomrule"))
     tables = t.nation.groupBy("n_regionkey").agg(text.alias("text"))
-    cells = rd.markup_rows(tables, "n_regionkey", "text").where("group_no = 1")
+    cells = rd.markup_rows(tables, "n_regionkey", "text")
     return cells.select("n_regionkey", F.col("group_no").cast("int").alias("group_no"), (F.col("row_no") + 1).cast("bigint").alias("row_no"), F.array_join("cells", "&").alias("cells"))
 
 
-@query("src11_bibliography", "SELECT 'k' || page_id AS key, 'misc' AS type, 'Page ' || page_id AS title, url FROM pages")
+@query("src11_bibliography", "SELECT 'k' || page_id AS key, 'misc' AS type, 'Page {No {' || page_id || '}}' AS title, url FROM pages")
 def _(t):
     k = F.col("page_id").cast("string")
-    text = F.concat(F.lit("@Misc{k"), k, F.lit(",\n  title = {Page  "), k, F.lit("},\n  URL = \""), F.col("url"), F.lit("\",\n year = 2024\n}\n"))
+    text = F.concat(F.lit("@Misc{k"), k, F.lit(",\n  title = {Page  {No {"), k, F.lit("}}},\n  URL = \""), F.col("url"), F.lit("\",\n year = 2024\n}\n"))
     out = rd.bibliography(t.pages.select(text.alias("value")), "value")
     return out.select("key", "type", F.col("fields")["title"].alias("title"), F.col("fields")["url"].alias("url"))
 

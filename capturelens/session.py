@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the shared checkpoint folder and continue from the files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_through(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to a new folder below the shared checkpoint folder, and read again."""
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

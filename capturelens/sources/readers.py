@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -75,17 +76,22 @@ def read_frame_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as rasters: ``path, h, w, channels, grey`` (and ``bgr`` for colour files)."""
-    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    """Image files as rasters: ``path, h, w, channels, grey, bgr``; a file that cannot be read stays
+    as a row without size and raster."""
+    images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
 
     def rasters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for origin, h, w, c, data in zip(pdf.origin, pdf.height, pdf.width, pdf.nChannels, pdf.data):
+                if h <= 0 or w <= 0 or c <= 0:
+                    rows.append((origin, None, None, None, None, None))
+                    continue
                 px = np.frombuffer(data, np.uint8).reshape(h, w, c)
                 grey = px[..., 0] if c == 1 else np.rint(px[..., :3].astype(float) @ (0.114, 0.587, 0.299))
                 rows.append((origin, h, w, c, grey.ravel().astype("float32"), px.ravel().astype("float32")))
-            yield pd.DataFrame(rows, columns=["path", "h", "w", "channels", "grey", "bgr"])
+            yield pd.DataFrame(rows, columns=["path", "h", "w", "channels", "grey", "bgr"]).astype(
+                {"h": "Int32", "w": "Int32", "channels": "Int32"})
 
     return images.mapInPandas(
         rasters, "path string, h int, w int, channels int, grey array<float>, bgr array<float>"
@@ -139,27 +145,63 @@ def catalog_long(catalog: DataFrame) -> DataFrame:
     return flat.select("name", "index", "id", "class", "group", "place", F.col("_c.columns").alias("column"), F.col("_c._cells").alias("cell"))
 
 
-BIB_ENTRY = r"@(\w+)\s*\{\s*([^,\s]+)\s*,((?:[^@{}]|\{[^{}]*\})*)\}"
-BIB_FIELD = r"(\w+)\s*=\s*(?:\{([^{}]*)\}|\"([^\"]*)\"|([^,\n{}\"]+))"
+ENTRY_HEAD = re.compile(r"@(\w+)\s*\{")  # the file format: a type and an opening brace
+RECORDS = "array<struct<key:string,type:string,fields:array<struct<name:string,value:string>>>>"
+
+
+def top_level(text: str, start: int, marks: str) -> Iterator[tuple[int, str]]:
+    """Places of the marks, and of the brace that closes the group, outside inner groups and quotes."""
+    depth, quoted = 0, False
+    for at in range(start, len(text)):
+        c = text[at]
+        if c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if depth < 0:
+                yield at, c
+                return
+        elif c == '"' and depth == 0:
+            quoted = not quoted
+        elif c in marks and depth == 0 and not quoted:
+            yield at, c
+    raise ValueError(f"a group that is not closed: {text[start:start + 80]}")
+
+
+def plain_value(value: str) -> str:
+    """A field's value without its own braces or quotes, white space as single spaces."""
+    value = value.strip()
+    if len(value) > 1 and (value[0], value[-1]) in (("{", "}"), ('"', '"')):
+        value = value[1:-1]
+    return " ".join(value.split())
+
+
+def bibliography_records(text: str | None) -> list[tuple]:
+    """The entries of one file; of a repeated field the last counts."""
+    out, after = [], 0
+    for head in ENTRY_HEAD.finditer(text or ""):
+        if head.start() < after:
+            continue
+        start, parts = head.end(), []
+        for at, _ in top_level(text, head.end(), ","):
+            parts.append(text[start:at])
+            start = at + 1
+        after = start
+        named = [p.partition("=") for p in parts[1:] if "=" in p]
+        fields = {name.strip().lower(): plain_value(value) for name, _, value in named}
+        out.append((parts[0].strip(), head[1].lower(), list(fields.items())))
+    return out
 
 
 def read_bibliography(spark: SparkSession, path: str) -> DataFrame:
-    """Bibliography records: ``key, type, fields`` (values in braces must not nest)."""
+    """Bibliography records: ``key, type, fields``; groups nest to any depth."""
     return bibliography(spark.read.text(path, wholetext=True), "value")
 
 
 def bibliography(texts: DataFrame, column: str) -> DataFrame:
-    entry = F.explode(F.regexp_extract_all(F.col(column), F.lit("(?s)" + BIB_ENTRY), 0)).alias("_e")
-    part = lambda i: F.regexp_extract("_e", "(?s)" + BIB_ENTRY, i)
-    rows = texts.select(entry).select(part(2).alias("key"), F.lower(part(1)).alias("type"), part(3).alias("_body"))
-    found = F.regexp_extract_all("_body", F.lit(BIB_FIELD), 0)
-    value = lambda f: F.trim(F.regexp_replace(F.concat(*[F.regexp_extract(f, BIB_FIELD, i) for i in (2, 3, 4)]), r"\s+", " "))
-    return rows.select(
-        "key", "type",
-        F.map_from_arrays(
-            F.transform(found, lambda f: F.lower(F.regexp_extract(f, BIB_FIELD, 1))), F.transform(found, value)
-        ).alias("fields"),
-    )
+    parse = F.udf(bibliography_records, RECORDS, useArrow=True)
+    rows = texts.select(F.explode(parse(F.col(column))).alias("_e"))
+    return rows.select("_e.key", "_e.type", F.map_from_entries("_e.fields").alias("fields"))
 
 
 def markup_rows(tables: DataFrame, key: str, text: str) -> DataFrame:

@@ -27,8 +27,6 @@ def spark():
 @pytest.fixture
 def split(spark):
     """Cut every ordered frame into blocks, however small it is."""
-    spark.conf.set("spark.capturelens.split.minBytes", "0")
-    spark.conf.set("spark.capturelens.split.sampleRows", "200")
+    spark.conf.set("spark.capturelens.block.rows", "150")
     yield spark
-    spark.conf.unset("spark.capturelens.split.minBytes")
-    spark.conf.unset("spark.capturelens.split.sampleRows")
+    spark.conf.unset("spark.capturelens.block.rows")

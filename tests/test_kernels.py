@@ -74,29 +74,41 @@ def test_edge_runs(spark):
     assert got == {1: (4, 0), 2: (0, 0), 3: (1, 0), 4: (2, 1), 5: (1, 0)}
 
 
-def brute_passes(rows):
-    runs, cur = [], None
-    for i, (v, yaw) in enumerate(rows):
-        if v > 0.4 and cur is not None and abs((yaw - rows[cur[0]][1] + 180) % 360 - 180) < 15:
-            cur[1] = i
-            continue
-        if cur is not None:
-            runs.append(tuple(cur))
-        cur = [i, i] if v > 0.4 else None
-    return runs + ([tuple(cur)] if cur is not None else [])
+PASSES = {  # speeds, headings, then the first and last row of each pass
+    "one": ([0.6] * 4, [0, 5, 10, 14], [(0, 3)]),
+    "a turn starts a new one": ([0.6] * 5, [0, 10, 15, 20, 31], [(0, 1), (2, 3), (4, 4)]),
+    "a stop ends it": ([0.6, 0.2, 0.6, 0.4, 0.9], [0] * 5, [(0, 0), (2, 2), (4, 4)]),
+    "headings wrap around": ([0.6] * 4, [355, 2, 9, 11], [(0, 2), (3, 3)]),
+    "never moving": ([0.1, 0.4], [0, 0], []),
+}
+
+
+def test_corridor_passes_by_hand(split):
+    rows = [(name, float(i), v, float(yaw)) for name, (vs, yaws, _) in PASSES.items() for i, (v, yaw) in enumerate(zip(vs, yaws))]
+    df = split.createDataFrame(rows, "seq string, t double, v double, yaw double").selectExpr("*", "t AS x", "t AS y")
+    got = sq.corridor_passes(df, "seq", ["t"], "t", "x", "y", "v", "yaw").collect()
+    for name, (_, _, want) in PASSES.items():
+        assert sorted((r.run_start, r.run_start + r.n - 1) for r in got if r.seq == name) == want, name
 
 
 @pytest.mark.parametrize("seed", [0, 1])
 def test_corridor_passes(split, seed):
+    """Every moving row is in one pass, near its first heading; the row behind a pass does not fit it."""
     rng = np.random.default_rng(seed)
     n = 600
     pdf = pd.DataFrame({"seq": np.repeat([0, 1], [500, 100]), "t": np.arange(n, dtype=float), "x": rng.random(n), "y": rng.random(n),
                         "v": rng.choice([0.2, 0.6, 0.9], n, p=[0.15, 0.5, 0.35]), "yaw": np.cumsum(rng.normal(0, 4, n)) % 360})
     got = sq.corridor_passes(split.createDataFrame(pdf), "seq", ["t"], "t", "x", "y", "v", "yaw").collect()
     for s, part in pdf.groupby("seq"):
-        want = brute_passes(list(zip(part["v"], part["yaw"])))
-        have = sorted((r.run_start, r.run_start + r.n - 1) for r in got if r.seq == s)
-        assert have == want
+        moving, yaw = (part["v"] > 0.4).to_numpy(), part["yaw"].to_numpy()
+        spans = sorted((r.run_start, r.run_start + r.n) for r in got if r.seq == s)
+        covered = np.zeros(len(part), int)
+        for start, end in spans:
+            covered[start:end] += 1
+            turn = np.abs((yaw[start : end + 1] - yaw[start] + 180) % 360 - 180)
+            assert (turn[: end - start] < 15).all()
+            assert end == len(part) or not moving[end] or turn[-1] >= 15
+        assert (covered == moving).all()
 
 
 def test_greedy_spacing(spark):
