@@ -1,14 +1,18 @@
 """Sinks of a study: fixed-column CSV, records, upserts, write-once lists, manifests, reports.
 
-A table that is read and rewritten is staged: the new version is written beside the old one and
-then takes its place, so a lost job leaves the old table as it was.
+A table that is read and rewritten consists of buckets by key. A new version of a bucket is written
+to a folder of its own; the table is what its log of versions names last for each bucket, and one
+append to the log makes all buckets of a batch count at once. A job that is stopped anywhere leaves
+the old table or the new one.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import fill_cell
@@ -23,7 +27,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 def write_records(df: DataFrame, path: str, key: str) -> None:
     """Nested JSON, one directory per key."""
-    df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+    df.write.mode("overwrite").partitionBy(key).json(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,44 +44,90 @@ def keep_existing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+LOG = "bucket int, buckets int, version bigint, folder string"
+BUCKETS = 32
+BUCKET = "_bucket"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _fs(spark, path)
-    return bool(fs.exists(p))
+def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The files at a path; None where nothing was written yet."""
+    try:
+        reader = spark.read.schema(schema) if schema else spark.read
+        return reader.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write the new version beside the table, then let it take the table's place."""
-    spark = df.sparkSession
-    staged, aside = f"{path}.staged", f"{path}.before"
-    df.write.mode("overwrite").parquet(staged)
-    fs, target, jvm = _fs(spark, path)
-    path_of = jvm.org.apache.hadoop.fs.Path
-    if fs.exists(target):
-        fs.delete(path_of(aside), True)
-        fs.rename(target, path_of(aside))
-    fs.rename(path_of(staged), target)
-    fs.delete(path_of(aside), True)
+def table_log(spark: SparkSession, path: str) -> list[Row]:
+    """The newest version of every bucket of a table."""
+    log = stored(spark, f"{path}/log", LOG)
+    if log is None:
+        return []
+    newest = F.max_by(F.struct("buckets", "version", "folder"), F.col("version")).alias("_v")
+    return log.groupBy("bucket").agg(newest).select("bucket", "_v.*").collect()  # one row a bucket
 
 
-def upsert_table(new: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Upsert a batch into a table of files."""
-    spark = new.sparkSession
-    merged = upsert(spark.read.parquet(path), new, keys) if exists(spark, path) else new
-    replace_table(merged, path)
+def read_buckets(spark: SparkSession, path: str, log: Sequence[Row]) -> DataFrame:
+    parts = [f"{path}/{r['folder']}/{BUCKET}={r['bucket']}" for r in log]
+    return spark.read.option("mergeSchema", True).parquet(*parts)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of buckets as its log has it; None where there is none yet."""
+    log = table_log(spark, path)
+    return read_buckets(spark, path, log) if log else None
 
 
-def append_new(new: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append rows whose key the table does not have; accepted keys never change."""
+def upsert_table(
+    new: DataFrame, path: str, keys: Sequence[str], version: str | None = None, buckets: int = BUCKETS,
+) -> None:
+    """Upsert a batch into a table of buckets; only buckets with keys of the batch are written anew.
+
+    With a ``version`` column the row of the highest version stays, so a batch that arrives again, or
+    late, changes nothing. One writer at a time.
+    """
     spark = new.sparkSession
-    first = new.dropDuplicates(list(keys))
-    if exists(spark, path):
-        first = first.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
+    log = table_log(spark, path)
+    buckets = log[0]["buckets"] if log else buckets
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = [r[BUCKET] for r in new.select(bucket.alias(BUCKET)).distinct().collect()]
+    if not touched:
+        return
+    old_parts = [r for r in log if r["bucket"] in touched]
+    merged = new
+    if old_parts:
+        old = read_buckets(spark, path, old_parts)
+        merged = upsert(old, new, keys) if version is None else newest_rows(
+            old.unionByName(new, allowMissingColumns=True), keys, version)
+    folder = f"data-{uuid.uuid4().hex}"
+    merged.withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{folder}")
+    number = 1 + max((r["version"] for r in log), default=0)
+    rows = [(b, buckets, number, folder) for b in touched]
+    spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{path}/log")
+
+
+def newest_rows(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """The row of the highest version of each key; the largest row of equal versions."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.struct(F.col(version), F.struct(*rest)))
+    return rows.groupBy(*keys).agg(best.alias("_r")).select(*[F.col(k) for k in keys], "_r.*").select(*rows.columns)
+
+
+def append_new(new: DataFrame, path: str, keys: Sequence[str], order: str | None = None) -> None:
+    """Append rows whose key the table does not have; accepted keys never change.
+
+    Of rows with the same key in a batch the first in ``order`` counts (the smallest row without it).
+    One writer at a time.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    first_of = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in rest])
+    first = new.groupBy(*keys).agg(F.min_by(F.struct(*rest), first_of).alias("_r"))
+    first = first.select(*[F.col(k) for k in keys], "_r.*").select(*new.columns)
+    old = stored(new.sparkSession, path)
+    if old is not None:
+        first = first.join(old.select(*keys).distinct(), list(keys), "left_anti")
     first.write.mode("append").parquet(path)
 
 
@@ -87,11 +137,10 @@ def write_once(df: DataFrame, path: str) -> str:
     Returns ``written`` the first time, ``same`` for equal content, ``different`` when the content
     differs: it then goes to ``<path>.rerun`` and the committed list stays.
     """
-    spark = df.sparkSession
-    if not exists(spark, path):
+    old = stored(df.sparkSession, path)
+    if old is None:
         df.write.parquet(path)
         return "written"
-    old = spark.read.parquet(path)
     if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty():
         return "same"
     df.write.mode("overwrite").parquet(f"{path}.rerun")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..sources.sinks import append_new, upsert_table
+from ..sources.sinks import append_new, newest_rows, upsert_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -54,21 +54,21 @@ def dedup_within_lag(stream: DataFrame, keys: Sequence[str], header: str, lag: s
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: str, checkpoint: str) -> StreamingQuery:
-    """Upsert result rows by run key; in a batch the row of the highest version counts."""
+    """Upsert result rows by run key; the row of the highest version counts, in a batch and in the table."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r")).select(*keys, "_r.*")
-        upsert_table(latest, path, keys)
+        upsert_table(newest_rows(batch, keys, version), path, keys, version)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def write_once_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str) -> StreamingQuery:
+def write_once_stream(
+    stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str, order: str | None = None,
+) -> StreamingQuery:
     """Accept each key once, for good: the target decides, so a repeated batch changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, path, keys)
+        append_new(batch, path, keys, order)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -96,53 +96,90 @@ def dispatch_log(
 
 
 class Attempts(StatefulProcessor):
-    """The open attempt of one run; it is emitted when the next one starts or the run ends."""
+    """The open attempt of one run; it is emitted when the next one starts or the run ends.
+
+    Lines are handled once no earlier line can still come: until the watermark passes them they wait
+    in the state, so a line that arrives after its successors is counted where it belongs. A run that
+    falls silent emits its open attempt when its timer runs out; the attempt number goes on if the
+    run does.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "attempt bigint, first_line bigint, n_after bigint, discarded string")
+        self.open = handle.getValueState("open", "attempt bigint, first_line bigint, n_after bigint, discarded string, is_open boolean")
+        self.waiting = handle.getListState("waiting", "line bigint, at_ms bigint, role string, reason string")
 
     def _emit(self, run: Any, state: tuple) -> pd.DataFrame:
         return pd.DataFrame(
             {"run": [run], "attempt": [state[0]], "first_line": [state[1]], "n_after": [state[2]], "discarded": [state[3]]}
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        state = tuple(self.open.get()) if self.open.exists() else None
-        # The lines of one micro-batch are few per run; they are put in order before use.
-        lines = pd.concat(list(rows)).sort_values("line")
-        for line, role, reason in zip(lines["line"], lines["role"], lines["reason"]):
+    def _advance(self, run: Any, lines: list[tuple]) -> Iterator[pd.DataFrame]:
+        state = tuple(self.open.get()) if self.open.exists() else (0, 0, 0, None, False)
+        for line, _, role, reason in sorted(lines, key=lambda x: x[0]):
             if role == "start":
-                if state is not None:
-                    yield self._emit(key[0], state)
-                state = (1 if state is None else state[0] + 1, int(line), 0, None)
-            elif state is not None and role == "step":
-                state = (state[0], state[1], state[2] + 1, state[3])
-            if state is not None and isinstance(reason, str) and state[3] is None:
-                state = (state[0], state[1], state[2], reason)
-            if role == "end" and state is not None:
+                if state[4]:
+                    yield self._emit(run, state)
+                state = (state[0] + 1, int(line), 0, None, True)
+            elif state[4] and role == "step":
+                state = (state[0], state[1], state[2] + 1, state[3], True)
+            if state[4] and isinstance(reason, str) and state[3] is None:
+                state = (*state[:3], reason, True)
+            if role == "end" and state[4]:
+                yield self._emit(run, state)
+                state = (*state[:4], False)
+        self.open.update(state)
+
+    def _keep(self, waiting: list[tuple], timer: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.waiting.clear()
+        if waiting:
+            self.waiting.put(waiting)
+        self.handle.registerTimer(timer)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        for part in rows:
+            texts = [r if isinstance(r, str) else None for r in part["reason"]]
+            waiting += list(zip(map(int, part["line"]), map(int, part["at_ms"]), part["role"], texts))
+        self._keep(waiting, min(w[1] for w in waiting))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        ready = [w for w in waiting if w[1] <= mark]
+        rest = [w for w in waiting if w[1] > mark]
+        if ready:
+            yield from self._advance(key[0], ready)
+            self._keep(rest, min(w[1] for w in rest) if rest else max(w[1] for w in ready) + self.idle_ms)
+        elif not waiting and self.open.exists():
+            state = tuple(self.open.get())
+            if state[4]:
                 yield self._emit(key[0], state)
-                state = None
-        if state is not None:
-            self.open.update(state)
-        else:
-            self.open.clear()
+                self.open.update((*state[:4], False))
 
     def close(self) -> None:
         pass
 
 
-def attempts_stream(log: DataFrame) -> DataFrame:
-    """Attempts of a live log ``run, line, role, reason``; closed ones only.
+def attempts_stream(log: DataFrame, time: str, late: str = "1 minute", idle: str = "1 hour") -> DataFrame:
+    """Attempts of a live log ``run, line, role, reason`` with event time ``time``; closed ones only.
 
-    Roles are ``start``, ``step``, ``end`` (of the run, which frees its state) and any other. The
-    state is one small row per running log.
+    Roles are ``start``, ``step``, ``end`` (of the run) and any other. The state of a run is one small
+    row and the lines of the last ``late``.
     """
-    return log.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=Attempts(),
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = log.withWatermark(time, late).withColumn("at_ms", F.unix_millis(time))
+    return timed.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=Attempts(idle_ms),
         outputStructType="run bigint, attempt bigint, first_line bigint, n_after bigint, discarded string",
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime",
     )
 
 

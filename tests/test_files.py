@@ -134,15 +134,71 @@ def test_records_upsert_and_write_once(spark, tmp_path):
     sk.write_records(rows, f"{tmp_path}/rec", "run")
     assert spark.read.json(f"{tmp_path}/rec/run=a").first()["v"] == 1
     path = f"{tmp_path}/t"
+    assert sk.read_table(spark, path) is None
     sk.upsert_table(rows, path, ["run"])
     sk.upsert_table(spark.createDataFrame([("b", 5), ("c", 6)], "run string, v int"), path, ["run"])
-    assert {r.run: r.v for r in spark.read.parquet(path).collect()} == {"a": 1, "b": 5, "c": 6}
+    assert {r.run: r.v for r in sk.read_table(spark, path).collect()} == {"a": 1, "b": 5, "c": 6}
     once = f"{tmp_path}/once"
     assert [sk.write_once(rows, once), sk.write_once(rows, once)] == ["written", "same"]
     assert sk.write_once(rows.where("v > 1"), once) == "different"
     assert spark.read.parquet(once).count() == 2 and spark.read.parquet(f"{once}.rerun").count() == 1
 
 
+def test_stopped_upserts_leave_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    values = lambda: {r.run: r.v for r in sk.read_table(spark, path).collect()}
+    sk.upsert_table(spark.createDataFrame([(f"r{i}", i) for i in range(100)], "run string, v int"), path, ["run"])
+    before = values()
+    batch = spark.createDataFrame([("r1", -1), ("new", 7)], "run string, v int")
+    writer = type(batch.write)
+    whole = writer.parquet
+
+    def stop_at(part, after):
+        def parquet(self, target, *a, **k):
+            if part in target and not after:
+                raise KeyboardInterrupt
+            whole(self, target, *a, **k)
+            if part in target:
+                raise KeyboardInterrupt
+        return parquet
+
+    for part, after, want in (("/data-", False, before), ("/data-", True, before), ("/log", False, before), ("/log", True, before | {"r1": -1, "new": 7})):
+        monkeypatch.setattr(writer, "parquet", stop_at(part, after))
+        with pytest.raises(KeyboardInterrupt):
+            sk.upsert_table(batch, path, ["run"])
+        monkeypatch.undo()
+        assert values() == want
+    folders = {r["bucket"]: r["folder"] for r in sk.table_log(spark, path)}
+    sk.upsert_table(spark.createDataFrame([("r5", 55)], "run string, v int"), path, ["run"])
+    changed = [b for b, f in ((r["bucket"], r["folder"]) for r in sk.table_log(spark, path)) if folders[b] != f]
+    assert len(changed) == 1 and values()["r5"] == 55 and len(values()) == 101
+
+
+def test_older_versions_and_repeated_keys(spark, tmp_path):
+    path, kept = f"{tmp_path}/t", f"{tmp_path}/k"
+    rows = lambda *r: spark.createDataFrame(list(r), "run string, ver int, v int")
+    sk.upsert_table(rows(("a", 2, 20), ("b", 1, 10)), path, ["run"], "ver")
+    sk.upsert_table(rows(("a", 1, 99), ("b", 1, 10)), path, ["run"], "ver")
+    assert {r.run: r.v for r in sk.read_table(spark, path).collect()} == {"a": 20, "b": 10}
+    sk.append_new(rows(("a", 3, 1), ("a", 1, 2)), kept, ["run"], "ver")
+    sk.append_new(rows(("a", 0, 9), ("b", 0, 3)), kept, ["run"], "ver")
+    assert {r.run: r.v for r in spark.read.parquet(kept).collect()} == {"a": 2, "b": 3}
+
+
+def test_unread_images_stay(spark, tmp_path):
+    put(f"{tmp_path}/bad.png", "not a picture")
+    (row,) = rd.read_images(spark, str(tmp_path)).collect()
+    assert row.path.endswith("bad.png") and row.h is None and row.grey is None
+
+
+def test_bibliography_groups_nest(spark):
+    text = '@Article{k1, title = {The {GPS} {S{u}rvey}}, note = "a, {b, c}" , year=2024,}\n@misc{k2,\n author={A {\\"o} B}\n}'
+    got = {r.key: dict(r.fields) for r in rd.bibliography(spark.createDataFrame([(text,), ("none",), (None,)], "value string"), "value").collect()}
+    assert got == {"k1": {"title": "The {GPS} {S{u}rvey}", "note": "a, {b, c}", "year": "2024"}, "k2": {"author": 'A {\\"o} B'}}
+    with pytest.raises(Exception, match="not closed"):
+        rd.bibliography(spark.createDataFrame([("@a{b, c = {d",)], "value string"), "value").collect()
+
+
 def test_manifest(spark, tmp_path):
     put(f"{tmp_path}/m/README.md", "hello")
     put(f"{tmp_path}/m/poses/a.csv", "x")

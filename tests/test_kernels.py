@@ -241,3 +241,43 @@ def test_principal_axis_and_seeded_sample(spark):
     one, two = ([r.i for r in cl.seeded_sample(df.repartition(n), "i", 50, 3).collect()] for n in (2, 7))
     assert one == two and len(set(one)) == 50
     assert one != [r.i for r in cl.seeded_sample(df, "i", 50, 4).collect()]
+
+
+def test_nothing_is_lost_or_cut(spark):
+    """Long values, deep markup, unknown kinds, odd legends, large numbers."""
+    from capturelens.functions import names as nm
+    from capturelens.functions import text as tx
+    from capturelens.operators import metrics as mt
+    from capturelens.operators.quantiles import exact_quantiles
+
+    one = lambda **c: spark.createDataFrame([tuple(c.values())], ", ".join(f"{k} string" for k in c))
+    long = "x" * 1_000_100
+    assert one(a="k=" + long).select(F.length(F.variant_get(F.parse_json(F.to_json(tx.set_pairs(F.col("a")))), "$.k", "string")).alias("n")).first()["n"] >= 1_000_100
+    ids = spark.createDataFrame([("btg_" + "a" * 1200 + "1_p0",), ("btg_" + "a" * 1200 + "2_p0",)], "s string")
+    assert ids.select(nm.scene_group(F.col("s"))).distinct().count() == 2
+    deep = "\\textbf{a \\emph{b \\rev{c \\acc{d \\mbox{e}}}}}"
+    assert one(a=deep).select(tx.markup_to_text(F.col("a"))).first()[0] == "a b c d e"
+    with pytest.raises(Exception, match="unconverted"):
+        one(a="$x^2$").select(tx.markup_to_text(F.col("a"))).collect()
+    with pytest.raises(Exception, match="abbreviation"):
+        one(a="The columns are Depth (DEP), Width and Height (HEI).").select(tx.legend(F.col("a"))).collect()
+    kinds = spark.createDataFrame([("a", 1), ("b", 2)], "kind string, v int")
+    with pytest.raises(Exception, match="no preparer"):
+        mt.dispatch(kinds, "kind", {"a": lambda d: d}).collect()
+    with pytest.raises(Exception):
+        one(a="1" + "0" * 40).select(fm.as_decimal(F.col("a"))).collect()
+    nulls = spark.createDataFrame([("s", None), ("s", None), (None, 1.0), (None, 3.0)], "seq string, v double")
+    got = {r.seq: (r.n, r.m) for r in exact_quantiles(nulls, ["seq"], F.col("v"), {"m": 0.5}).collect()}
+    assert got == {"s": (0, None), None: (2, 2.0)}
+
+
+def test_null_keys_give_the_same_rows_in_blocks(split):
+    from capturelens.operators import ordered as od
+
+    rows = [(None if i % 7 == 0 else i % 3, i % 50, i, float(i)) for i in range(1000)]
+    df = split.createDataFrame(rows, "seq int, t int, id int, v double")
+    add = lambda: od.Ordered(df, ["seq"], ["t", "id"]).add(n=od.ordinal(), s=od.running_sum(F.col("v"))).add(m=od.running_max(F.col("s")))
+    cut = add()
+    assert cut.split
+    split.conf.unset("spark.capturelens.block.rows")
+    assert sorted(cut.df.collect(), key=lambda r: r.id) == sorted(add().df.collect(), key=lambda r: r.id)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from capturelens.operators.sequence import log_attempts
+from capturelens.sources.sinks import read_table
 from capturelens.streaming import telemetry as st
 
 
@@ -67,7 +68,9 @@ def test_upsert_and_write_once(spark, tmp_path):
     a = spark.createDataFrame([("r1", 1, 1.0), ("r2", 1, 2.0)], "run string, ver int, v double")
     b = spark.createDataFrame([("r2", 2, 5.0), ("r2", 3, 6.0), ("r3", 1, 7.0)], "run string, ver int, v double")
     st.upsert_stream(stream_of(spark, tmp_path, [a, b]), f"{tmp_path}/t", ["run"], "ver", f"{tmp_path}/ck").awaitTermination()
-    assert {r.run: r.v for r in spark.read.parquet(f"{tmp_path}/t").collect()} == {"r1": 1.0, "r2": 6.0, "r3": 7.0}
+    assert {r.run: r.v for r in read_table(spark, f"{tmp_path}/t").collect()} == {"r1": 1.0, "r2": 6.0, "r3": 7.0}
+    st.upsert_stream(stream_of(spark, tmp_path, [a], "late"), f"{tmp_path}/t", ["run"], "ver", f"{tmp_path}/ck3").awaitTermination()
+    assert {r.run: r.v for r in read_table(spark, f"{tmp_path}/t").collect()} == {"r1": 1.0, "r2": 6.0, "r3": 7.0}
     st.write_once_stream(stream_of(spark, tmp_path, [a, b], "again"), f"{tmp_path}/w", ["run"], f"{tmp_path}/ck2").awaitTermination()
     assert {r.run: r.v for r in spark.read.parquet(f"{tmp_path}/w").collect()} == {"r1": 1.0, "r2": 2.0, "r3": 7.0}
 
@@ -80,21 +83,25 @@ def test_dispatch(spark, tmp_path):
     assert read(f"{tmp_path}/m") == {"psnr"} and read(f"{tmp_path}/d") == {"cfg"}
 
 
-def test_attempts_equal_batch(spark, tmp_path):
+def test_attempts_with_late_lines(spark, tmp_path):
     rows = []
     for run in range(3):
         for line in range(30):
             role = "start" if line % (7 + run) == 3 else ("step" if line % 2 else "other")
-            role = "end" if line == 29 and run == 1 else role
+            role = "end" if line == 17 and run == 1 else role
             rows.append((run, line, role, "r" if line % 11 == 5 else None))
-    log = spark.createDataFrame(rows, "run bigint, line bigint, role string, reason string")
-    parts = [log.where(f"line >= {a} and line < {a + 10}") for a in (0, 10, 20)]
+    log = spark.createDataFrame(rows, "run bigint, line bigint, role string, reason string").withColumn(
+        "at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("line")))
+    later = spark.createDataFrame([(9, 0, "other", None, 1_700_000_000 + s) for s in (300, 9000)], "run bigint, line bigint, role string, reason string, s bigint")
+    later = later.select("run", "line", "role", "reason", F.timestamp_seconds("s").alias("at"))
+    shuffled = [log.where("line % 3 = 1 AND line < 15"), log.where("line % 3 <> 1 AND line < 15"), log.where("line >= 15"), later.limit(1), later]
     out = []
-    st.run_to_end(st.attempts_stream(stream_of(spark, tmp_path, parts)), lambda df: out.append(df.toPandas()), f"{tmp_path}/ck")
-    got = {(r.run, r.attempt): (r.first_line, r.n_after, r.discarded) for r in collected(spark, out).itertuples()}
-    batch = log_attempts(log, "run", "line", F.col("role") == "start", F.col("role") == "step", F.col("reason"))
-    want = {(r.run, r.attempt): (r.first_line, r.n_after, r.discarded) for r in batch.collect()}
-    last = {}
-    for run, attempt in want:
-        last[run] = max(last.get(run, 0), attempt)
-    assert got == {k: v for k, v in want.items() if k[1] < last[k[0]] or k[0] == 1}  # open attempts are not emitted yet
+    live = st.attempts_stream(stream_of(spark, tmp_path, shuffled), "at")
+    st.run_to_end(live, lambda df: out.append(df.toPandas()), f"{tmp_path}/ck")
+    got = sorted((r.run, r.attempt, r.first_line, r.n_after, r.discarded) for r in collected(spark, out).itertuples())
+    start, step = F.col("role") == "start", F.col("role") == "step"
+    batch = log_attempts(log.where("run <> 1 OR line <= 17"), "run", "line", start, step, F.col("reason"))
+    after = log_attempts(log.where("run = 1 AND line > 17"), "run", "line", start, step, F.col("reason"))
+    ended = batch.where("run = 1").count()
+    want = batch.unionByName(after.withColumn("attempt", F.col("attempt") + ended))
+    assert got == sorted((r.run, r.attempt, r.first_line, r.n_after, r.discarded) for r in want.collect())
