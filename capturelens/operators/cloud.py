@@ -16,7 +16,7 @@ from .quantiles import exact_quantiles
 
 def seeded_sample(points: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
     """The ``count`` points with the smallest seeded hash; the same points on every run."""
-    return points.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(count)
+    return points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(count)
 
 
 def voxel_downsample(points: DataFrame, by: Sequence[str], coords: Sequence[str], size: float, colours: Sequence[str] = ()) -> DataFrame:

@@ -101,6 +101,7 @@ def view_coverage(poses: DataFrame, seq: str, axis: Sequence[str], cap_deg: floa
             for key, part in pdf.groupby(seq, sort=False):
                 seen = np.zeros(directions, bool)
                 axes = part[list(axis)].to_numpy(float)
+                axes = axes / np.maximum(np.linalg.norm(axes, axis=1, keepdims=True), TINY)
                 for lo in range(0, len(axes), 512):
                     left = np.flatnonzero(~seen)
                     if not len(left):
@@ -120,7 +121,9 @@ def mean_vector(df: DataFrame, by: Sequence[str], axis: Sequence[str]) -> DataFr
 
 
 def view_spread(poses: DataFrame, seq: str, axis: Sequence[str], q: float = 0.9) -> DataFrame:
-    """Percentile of the angle between each axis and the mean axis."""
+    """Percentile of the angle between each axis and the mean of the axes, all of unit length."""
+    own = F.greatest(F.sqrt(sum((F.col(c) * F.col(c) for c in axis), F.lit(0.0))), F.lit(TINY))
+    poses = poses.select(seq, *[(F.col(c) / own).alias(c) for c in axis])
     mean = mean_vector(poses, [seq], axis)
     length = F.sqrt(sum((F.col(f"{c}_mean") * F.col(f"{c}_mean") for c in axis), F.lit(0.0))) + TINY
     cosine = sum((F.col(c) * F.col(f"{c}_mean") for c in axis), F.lit(0.0)) / length

@@ -113,17 +113,28 @@ def _(t):
 
 REGION = f"""WITH {PAIRS}, m AS (SELECT seq, frame, avg(CAST(x BETWEEN 2 AND 5 AND v >= 120 AS INT)) AS share, avg(pow(truth - guess, 2)) FILTER (x BETWEEN 2 AND 5 AND v >= 120) AS a,
     avg(pow(truth - guess, 2)) FILTER (NOT (x BETWEEN 2 AND 5 AND v >= 120)) AS b FROM raster_pairs GROUP BY ALL),
-  reg AS (SELECT seq, frame, share AS region_share, CASE WHEN a > 0 THEN 10 * log10(1 / a) END AS psnr_inside, CASE WHEN b > 0 THEN 10 * log10(1 / b) END AS psnr_outside FROM m)"""
+  c AS (SELECT unnest([3, 4]) AS cy), d AS (SELECT cy, cx FROM c, (SELECT cy AS cx FROM c)),
+  w AS (SELECT frame, cy, cx, avg(truth) AS ux, avg(guess) AS uy, var_samp(truth) AS vx, var_samp(guess) AS vy, covar_samp(truth, guess) AS vxy
+    FROM raster_pairs, d WHERE y BETWEEN cy - 3 AND cy + 3 AND x BETWEEN cx - 3 AND cx + 3 GROUP BY ALL),
+  s AS (SELECT frame, cy, cx, (2 * ux * uy + 0.0001) * (2 * vxy + 0.0009) / ((ux * ux + uy * uy + 0.0001) * (vx + vy + 0.0009)) AS s FROM w),
+  k AS (SELECT frame, x BETWEEN 2 AND 5 AND v >= 120 AS side, least(greatest(y, 3), 4) AS cy, least(greatest(x, 3), 4) AS cx, y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4 AS mid FROM raster_pairs),
+  h AS (SELECT frame, side, bool_or(mid) AS has FROM k GROUP BY ALL),
+  q AS (SELECT k.frame, k.side, avg(s.s) AS v FROM k JOIN h ON h.frame = k.frame AND h.side = k.side JOIN s ON s.frame = k.frame AND s.cy = k.cy AND s.cx = k.cx WHERE k.mid OR NOT has GROUP BY ALL),
+  reg AS (SELECT seq, m.frame, share AS region_share, CASE WHEN a > 0 THEN 10 * log10(1 / a) END AS psnr_inside, CASE WHEN b > 0 THEN 10 * log10(1 / b) END AS psnr_outside, i.v AS ssim_inside, o.v AS ssim_outside
+    FROM m LEFT JOIN q i ON i.frame = m.frame AND i.side LEFT JOIN q o ON o.frame = m.frame AND NOT o.side)"""
+
+
+SCORES = ["region_share", "psnr_inside", "psnr_outside", "ssim_inside", "ssim_outside"]
 
 
 def regions(t):
     inside = F.transform("truth", lambda v, i: (i % W).between(2, 5) & (v * 255 >= 119.5))
-    return rs.region_scores(t.raster_pairs.withColumn("inside", inside), "truth", "guess", "inside").select("seq", "frame", "region_share", "psnr_inside", "psnr_outside")
+    return rs.region_scores(t.raster_pairs.withColumn("inside", inside), "truth", "guess", "inside", F.lit(W)).select("seq", "frame", *SCORES)
 
 
-@query("agg36_region_scores", REGION + " SELECT seq, frame, round(region_share, 6) AS region_share, round(psnr_inside, 6) AS psnr_inside, round(psnr_outside, 6) AS psnr_outside FROM reg")
+@query("agg36_region_scores", REGION + " SELECT seq, frame, round(region_share, 6) AS region_share, round(psnr_inside, 6) AS psnr_inside, round(psnr_outside, 6) AS psnr_outside, round(ssim_inside, 6) AS ssim_inside, round(ssim_outside, 6) AS ssim_outside FROM reg")
 def _(t):
-    return regions(t).select("seq", "frame", *[r6(F.col(c)).alias(c) for c in ("region_share", "psnr_inside", "psnr_outside")])
+    return regions(t).select("seq", "frame", *[r6(F.col(c)).alias(c) for c in SCORES])
 
 
 @query("agg37_region_means", REGION + " SELECT seq, count(*) AS n_views, round(avg(region_share), 6) AS region_share, round(avg(psnr_inside), 6) AS psnr_inside, round(avg(psnr_outside), 6) AS psnr_outside FROM reg GROUP BY seq")

@@ -142,11 +142,12 @@ def _(t):
         fm.fmt_num(F.round("ate_rmse", 6), 3).alias("ate_rmse_m"), fm.fmt_num(F.round("scale", 6), 3).alias("scale_m_per_unit"), "flagged")
 
 
-@query("rpt11_region_table", REGION + f""", mr AS (SELECT seq, count(*) AS views, avg(region_share) AS s, avg(psnr_inside) AS a, avg(psnr_outside) AS b FROM reg GROUP BY seq)
-  SELECT seq, views, {dec('round(s, 6) * 100', 1)} || ' %' AS coverage, coalesce({dec('round(a, 6)', 2)}, '—') AS psnr_inside, {dec('round(b, 6)', 2)} AS psnr_outside FROM mr""")
+@query("rpt11_region_table", REGION + f""", mr AS (SELECT seq, count(*) AS views, avg(region_share) AS s, avg(psnr_inside) AS a, avg(psnr_outside) AS b, avg(ssim_inside) AS c, avg(ssim_outside) AS d FROM reg GROUP BY seq)
+  SELECT seq, views, {dec('round(s, 6) * 100', 1)} || ' %' AS coverage, coalesce({dec('round(a, 6)', 2)}, '—') AS psnr_inside, {dec('round(b, 6)', 2)} AS psnr_outside, coalesce({dec('round(c, 6)', 3)}, '—') AS ssim_inside, coalesce({dec('round(d, 6)', 3)}, '—') AS ssim_outside FROM mr""")
 def _(t):
-    means = regions(t).groupBy("seq").agg(F.count(F.lit(1)).alias("views"), *[r6(F.avg(c)).alias(c) for c in ("region_share", "psnr_inside", "psnr_outside")])
-    return means.select("seq", "views", fm.fmt_pct(F.col("region_share")).alias("coverage"), fm.fmt_num(F.col("psnr_inside"), 2).alias("psnr_inside"), fm.fmt_num(F.col("psnr_outside"), 2).alias("psnr_outside"))
+    means = regions(t).groupBy("seq").agg(F.count(F.lit(1)).alias("views"), *[r6(F.avg(c)).alias(c) for c in ("region_share", "psnr_inside", "psnr_outside", "ssim_inside", "ssim_outside")])
+    cells = [fm.fmt_num(F.col(f"{m}_{side}"), digits).alias(f"{m}_{side}") for m, digits in (("psnr", 2), ("ssim", 3)) for side in ("inside", "outside")]
+    return means.select("seq", "views", fm.fmt_pct(F.col("region_share")).alias("coverage"), *cells)
 
 
 @query("rpt12_population_values", f"""WITH {REPEAT}, src AS (SELECT condition || ' / ' || status AS pop, CAST(CAST(price AS VARCHAR) AS DECIMAL(28,10)) AS v FROM rr), m AS (
@@ -197,7 +198,9 @@ def _(t):
 PROV = """WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
   SELECT 'quality' AS family, CAST(o_orderkey AS VARCHAR) AS "row", 'quality/' || o_orderkey || '/' AS run_dir, o_orderpriority AS job, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT 'ablations', o_orderkey || ' | ' || coalesce(CAST(n AS VARCHAR), '-'), 'ablations/' || o_orderkey || '/', CASE WHEN n IS NULL THEN 'registration only' ELSE o_orderpriority END, strftime(o_orderdate, '%Y-%m-%d') FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'
-  UNION ALL SELECT 'sweeps', CAST(o_orderkey AS VARCHAR), 'sweeps/' || o_orderkey || '/', CASE WHEN o_orderkey % 6 = 0 THEN '= quality row' ELSE o_orderpriority END, strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderstatus = 'P'"""
+  UNION ALL SELECT 'sweeps', CAST(o_orderkey AS VARCHAR), 'sweeps/' || o_orderkey || '/', CASE WHEN o_orderkey % 6 = 0 THEN '= quality row' ELSE o_orderpriority END, strftime(o_orderdate, '%Y-%m-%d') FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'repeats', l_orderkey || ' | ' || l_linenumber || ' | ' || l_suppkey, 'repeats/' || l_orderkey || '/', 'repeat study', strftime(l_shipdate, '%Y-%m-%d') FROM lineitem
+  UNION ALL SELECT 'derived', o_orderpriority, 'derived/' || o_orderpriority || '/', 'no job', strftime(max(o_orderdate), '%Y-%m-%d') FROM orders GROUP BY o_orderpriority"""
 
 
 def _provenance(t):
@@ -210,7 +213,13 @@ def _provenance(t):
     abl = of("O").join(seeds, "o_orderkey", "left")
     ablations = sk.provenance("ablations", abl, F.concat_ws(" | ", key, F.coalesce("n", F.lit("-"))), where("ablations"), F.when(F.col("n").isNotNull(), job), day, "registration only")
     sweeps = sk.provenance("sweeps", of("P"), key, where("sweeps"), F.when(F.col("o_orderkey") % 6 != 0, job), day, "= quality row")
-    return tb.append_rows(quality, ablations, sweeps)
+    li, none = t.lineitem, F.lit(None).cast("string")
+    folder = lambda name, c: F.concat(F.lit(f"{name}/"), F.col(c).cast("string"), F.lit("/"))
+    three = F.concat_ws(" | ", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey")])
+    repeats = sk.provenance("repeats", li, three, folder("repeats", "l_orderkey"), none, F.col("l_shipdate"), "repeat study")
+    last = t.orders.groupBy("o_orderpriority").agg(F.max("o_orderdate").alias("_d"))
+    derived = sk.provenance("derived", last, F.col("o_orderpriority"), folder("derived", "o_orderpriority"), none, F.col("_d"), "no job")
+    return tb.append_rows(quality, ablations, sweeps, repeats, derived)
 
 
 @query("snk8_provenance_rows", PROV)
