@@ -3,10 +3,10 @@
 Texts are sets of word shingles; equal sets are one vertex. Every vertex walks several independent
 trees: a node deals its documents out by their minwise token at coordinates that the node chooses, on
 average one divided by the similarity sought, so that similar documents keep meeting while others part.
-Small nodes are compared exhaustively by signatures, large ones branch again; those still large at the
-last level are cut into blocks. What the signatures let through is confirmed on the full shingle sets,
-and pairs that blocks kept apart are met afterwards, for documents that are not linked yet. Links leave
-a block as a spanning forest, so a group of copies gives as many rows as it has members.
+Small nodes are compared exhaustively by signatures, large ones in blocks first. What the signatures
+let through is confirmed on the full shingle sets. Large nodes whose documents are then not all linked
+go on: documents outside the node's largest group meet all others, after branching again where they are
+many. Links leave a block as a spanning forest, so a group of copies gives as many rows as it has members.
 
 With 16 trees a pair of exactly the similarity sought is missed by all of them with a chance of about
 2e-6, and lost by its signature with one of about 1e-5.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -282,7 +283,7 @@ def by_block(rows: DataFrame) -> DataFrame:
 
 def confirmed(needs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links among the documents of each block of ``needs`` (block, doc, label)."""
-    rows = needs.join(texts, "doc").select("block", "doc", "label", "text")
+    rows = needs.hint("merge").join(texts, "doc").select("block", "doc", "label", "text")
     return by_block(rows).mapInArrow(confirming(words, similarity), "a bigint, b bigint")
 
 
@@ -293,15 +294,20 @@ def small_blocks_once(needs: DataFrame) -> DataFrame:
     return needs.join(sets.groupBy("n", "x0", "x1").agg(F.min("block").alias("block")).select("block"), "block")
 
 
-def large_blocks(large: DataFrame) -> DataFrame:
-    """``block, doc, label`` in which every document of a large node that has not the node's most frequent
-    label meets every other document of the node; nothing for nodes of one label."""
+def open_counts(large: DataFrame) -> DataFrame:
+    """``node, most, n, n_open`` of nodes with more than one label: the most frequent one and how many
+    documents have another."""
     counts = large.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.groupBy("node").agg(
+    return counts.groupBy("node").agg(
         F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("n"),
         (F.sum("c") - F.max("c")).alias("n_open"),
     ).where("n_open > 0")
-    rows = large.join(most, "node").withColumns({
+
+
+def large_blocks(large: DataFrame, counts: DataFrame) -> DataFrame:
+    """``block, doc, label`` in which every document of a large node that has not the node's most frequent
+    label meets every other document of the node."""
+    rows = large.join(counts, "node").withColumns({
         "k": F.ceil(F.col("n") / BLOCK), "ko": F.ceil(F.col("n_open") / BLOCK),
     })
     own = F.pmod(F.xxhash64("doc", "node"), F.col("k"))
@@ -314,6 +320,33 @@ def large_blocks(large: DataFrame) -> DataFrame:
     return met.union(opened).distinct().select(F.xxhash64("node", "j", "o").alias("block"), "doc", "label")
 
 
+def torn_blocks(rows: DataFrame) -> DataFrame:
+    """``block, doc, label`` of the blocks with more than one label."""
+    torn = rows.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    return rows.join(torn.select("block"), "block", "left_semi").select("block", "doc", "label")
+
+
+def unlinked_blocks(large: DataFrame, labels: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
+    """``block, doc, label`` for what large nodes hold besides one group: documents outside a node's
+    largest group meet all of it, in nodes with more of them than a block after branching again."""
+    out = []
+    wide = large.join(labels, "doc").select("node", "doc", "label")
+    for level in range(1, LEVELS + 1):
+        wide = written(wide, "large-nodes")
+        counts = open_counts(wide)
+        many = counts.where(F.col("n_open") > BLOCK)
+        if level == LEVELS or many.isEmpty():
+            out.append(large_blocks(wide, counts))
+            break
+        out.append(large_blocks(wide, counts.where(F.col("n_open") <= BLOCK)))
+        below = wide.join(many.select("node"), "node", "left_semi").join(signs, "doc").select("node", "doc", "sign")
+        below = written(below.mapInArrow(branching(similarity), "node bigint, doc bigint"), "nodes")
+        children = written(shared_nodes(below).join(labels, "doc").select("node", "doc", "label", "n"), "nodes")
+        out.append(torn_blocks(children.where(F.col("n") <= LEAF).select(F.col("node").alias("block"), "doc", "label")))
+        wide = children.where(F.col("n") > LEAF).drop("n")
+    return reduce(DataFrame.union, out)
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
 ) -> DataFrame:
@@ -335,20 +368,9 @@ def near_groups(
     )
     signs = sets.select("doc", "sign")
 
-    members = shared_nodes(sets.select("doc", "roots").mapInArrow(at_roots, "node bigint, doc bigint"))
-    small, large = [], None
-    for level in range(LEVELS):
-        nodes = written(members.select("node", "doc", "n"), "nodes")
-        small.append(nodes.where(F.col("n") <= LEAF))
-        large = nodes.where(F.col("n") > LEAF)
-        if level + 1 == LEVELS or large.isEmpty():
-            break
-        below = large.join(signs, "doc").select("node", "doc", "sign")
-        members = shared_nodes(below.mapInArrow(branching(similarity), "node bigint, doc bigint"))
-    few = small[0]
-    for more in small[1:]:
-        few = few.union(more)
-    few = few.select(F.col("node").alias("block"), "doc")
+    nodes = written(shared_nodes(sets.select("doc", "roots").mapInArrow(at_roots, "node bigint, doc bigint")), "nodes")
+    few = nodes.where(F.col("n") <= LEAF).select(F.col("node").alias("block"), "doc")
+    large = nodes.where(F.col("n") > LEAF).select("node", "doc", "n")
     dealt = F.pmod(F.xxhash64("doc", "node"), F.ceil(F.col("n") / BLOCK))
     leaves = few.union(large.select(F.xxhash64("node", dealt).alias("block"), "doc"))
 
@@ -357,7 +379,7 @@ def near_groups(
     once = pairs.groupBy("a", "b").agg(F.min("block").alias("block"))
     needs = once.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
     looked_at = needs.select("doc").union(large.select("doc")).distinct()
-    texts = written(rows.withColumnRenamed("doc_id", "doc").join(looked_at, "doc", "left_semi"), "texts")
+    texts = written(rows.withColumnRenamed("doc_id", "doc").join(looked_at.hint("merge"), "doc", "left_semi"), "texts")
     links = written(confirmed(needs.withColumn("label", F.col("doc")), texts, words, similarity), "links")
     roots = components(links)
 
@@ -365,9 +387,7 @@ def near_groups(
         "doc", F.coalesce("root", "doc").alias("label"))
     labels = written(labels, "labels")
     mine = few.join(labels.join(needs.select("doc").distinct(), "doc", "left_semi"), "doc")
-    torn = mine.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    again = mine.join(torn.select("block"), "block", "left_semi").select("block", "doc", "label")
-    again = again.union(large_blocks(large.join(labels, "doc").select("node", "doc", "label")))
+    again = torn_blocks(mine.select("block", "doc", "label")).union(unlinked_blocks(large, labels, signs, similarity))
     apart = by_block(again.join(signs, "doc").select("block", "doc", "sign", "label"))
     rest = written(apart.mapInArrow(unlinked(similarity), "block bigint, doc bigint"), "rest")
     if not rest.isEmpty():
@@ -385,5 +405,5 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row of each group with all its columns (see ``near_groups``)."""
-    kept = near_groups(docs, id_col, text_col, **how).where("kept").select("doc_id").distinct()
+    kept = near_groups(docs, id_col, text_col, **how).where("kept").select("doc_id").distinct().hint("merge")
     return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
