@@ -147,15 +147,23 @@ def knn_scale(points: DataFrame, by: Sequence[str], point_id: str, coords: Seque
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, box_id: str, x: str, y: str, cell: float) -> DataFrame:
-    """Number of points inside each closed box ``x0, x1, y0, y1``; boxes meet only their cells."""
-    at = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns(
-        {"_gx": F.floor(F.col("_x") / cell), "_gy": F.floor(F.col("_y") / cell)}
+    """Number of points inside each closed box ``x0, x1, y0, y1``.
+
+    A box meets cells as wide as itself, by doublings of ``cell``, so it lies in four of them at most;
+    a place is looked up once for each width that occurs.
+    """
+    at = points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    longest = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).cast("double") / cell
+    sized = boxes.withColumn("_class", F.ceil(F.log2(F.greatest(longest, F.lit(1.0)))).cast("int"))
+    classes = [r[0] for r in sized.select("_class").where("_class is not null").distinct().collect()] or [0]  # doublings
+    place = lambda c: F.floor(c / (F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_class")))).cast("bigint")
+    counted = at.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in sorted(classes)]))).withColumns(
+        {"_gx": place(F.col("_x")), "_gy": place(F.col("_y"))}
     )
-    counted = at.groupBy("_gx", "_gy", "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
-    tiles = boxes.withColumn("_gx", span("x0", "x1")).withColumn("_gy", span("y0", "y1"))
+    span = lambda a, b: F.explode(F.sequence(place(F.col(a)), F.greatest(place(F.col(a)), place(F.col(b)))))
+    tiles = sized.withColumn("_gx", span("x0", "x1")).withColumn("_gy", span("y0", "y1"))
     inside = F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1"))
-    hits = tiles.join(counted, ["_gx", "_gy"]).where(inside).groupBy(box_id).agg(F.sum("_n").alias("_n"))
+    hits = tiles.join(counted, ["_class", "_gx", "_gy"]).where(inside).groupBy(box_id).agg(F.sum("_n").alias("_n"))
     return boxes.join(hits, box_id, "left").select(
         boxes["*"], F.coalesce("_n", F.lit(0).cast("bigint")).alias("n_inside")
     )

@@ -71,9 +71,31 @@ def nearest_gap(
     return placed.select(*left.columns, gap.alias(name))
 
 
-def _spread(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
-    low, high = F.floor(start / width).cast("bigint"), F.floor(end / width).cast("bigint")
-    return df.withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, high))))
+def _length_class(start: Column, end: Column, width: float) -> Column:
+    """0 for lengths up to ``width``, one more for every doubling."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((end - start).cast("double") / width, F.lit(1.0))))).cast("int")
+
+
+def _spread(df: DataFrame, start: Column, end: Column, width: float, classes: Sequence[int]) -> DataFrame:
+    """Each interval once or twice in every length class from its own on: ``_own, _class, _bucket``.
+
+    The buckets of a class are as wide as its longest interval, so none lies in more than two of them.
+    """
+    own = df.withColumn("_own", _length_class(start, end, width))
+    wider = own.withColumn("_class", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c >= F.col("_own"))))
+    return wider.withColumn("_bucket", F.explode(F.sequence(_bucket(start, width), F.greatest(_bucket(start, width), _bucket(end, width)))))
+
+
+def _bucket(t: Column, width: float) -> Column:
+    return F.floor(t / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_class")))).cast("bigint")
+
+
+def _classes_of(*sides: tuple[DataFrame, Column, Column], width: float) -> list[int]:
+    """The length classes that occur: a few dozen at most, as lengths double from one to the next."""
+    found: set[int] = {0}
+    for df, start, end in sides:
+        found |= {r[0] for r in df.select(_length_class(start, end, width)).distinct().collect() if r[0] is not None}
+    return sorted(found)
 
 
 def overlap_pairs(
@@ -86,17 +108,18 @@ def overlap_pairs(
 ) -> DataFrame:
     """Pairs of intervals of a group that overlap, with ``overlap``; each pair once.
 
-    Both sides are spread over time buckets of ``width``; a pair is kept only in the first bucket
-    the two share.
+    Both sides are spread over time buckets of the length class of the longer one, ``width`` being the
+    narrowest; a pair is kept only in the first bucket the two share.
     """
     (a0, a1), (b0, b1) = left_span, right_span
     start = F.greatest(F.col(a0), F.col(b0))
     shared = F.least(F.col(a1), F.col(b1)) - start
-    pairs = _spread(left, F.col(a0), F.col(a1), width).join(
-        _spread(right, F.col(b0), F.col(b1), width), [*by, "_bucket"]
+    classes = _classes_of((left, F.col(a0), F.col(a1)), (right, F.col(b0), F.col(b1)), width=width)
+    pairs = _spread(left, F.col(a0), F.col(a1), width, classes).withColumnRenamed("_own", "_left").join(
+        _spread(right, F.col(b0), F.col(b1), width, classes), [*by, "_class", "_bucket"]
     )
-    first = F.floor(start / width).cast("bigint") == F.col("_bucket")
-    return pairs.where((shared > 0) & first).withColumn("overlap", shared).drop("_bucket")
+    met = (F.col("_class") == F.greatest("_left", "_own")) & (_bucket(start, width) == F.col("_bucket"))
+    return pairs.where((shared > 0) & met).withColumn("overlap", shared).drop("_left", "_own", "_class", "_bucket")
 
 
 def overlap_best(
@@ -124,12 +147,13 @@ def within_intervals(
     width: float,
 ) -> DataFrame:
     """Points inside a closed interval of their group; the interval's columns are attached."""
-    bucketed = points.withColumn("_bucket", F.floor(F.col(t) / width).cast("bigint"))
-    spread = _spread(intervals, F.col(span[0]), F.col(span[1]), width)
+    classes = _classes_of((intervals, F.col(span[0]), F.col(span[1])), width=width)
+    every = points.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    spread = _spread(intervals, F.col(span[0]), F.col(span[1]), width, classes).where("_class = _own").drop("_own")
     return (
-        bucketed.join(spread, [*by, "_bucket"])
+        every.withColumn("_bucket", _bucket(F.col(t), width)).join(spread, [*by, "_class", "_bucket"])
         .where(F.col(t).between(F.col(span[0]), F.col(span[1])))
-        .drop("_bucket")
+        .drop("_class", "_bucket")
     )
 
 
