@@ -88,7 +88,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles
+  FROM w
+), n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s
+), u AS (SELECT doc_id, unnest(shingles) AS shingle FROM s
+), both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach AS (SELECT doc_id AS v, doc_id AS r FROM n UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a)
+SELECT n.doc_id, n.n AS n_shingles, m.r AS component_id, n.doc_id = m.r AS kept
+FROM n JOIN (SELECT v, min(r) AS r FROM reach GROUP BY v) m ON m.v = n.doc_id
+""")
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents by sets of four-word shingles."""
     return near_text.near_groups(table(spark, sf_dir, "documents"), words=4, similarity=0.8)
@@ -114,13 +131,34 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query("""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.98
+), reach AS (SELECT vec_id AS v, vec_id AS r FROM embeddings UNION SELECT reach.v, e.b FROM reach JOIN e ON reach.r = e.a
+), m AS (SELECT v, min(r) AS r FROM reach GROUP BY v
+), d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v AS vec_id, coalesce(d.n, 0) AS n_links, m.r AS component_id, v = m.r AS kept FROM m LEFT JOIN d ON d.a = m.v
+""")
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate embeddings of one label by cosine."""
     return near_vectors.vector_groups(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query("""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, i * 5 + k + 1, 1) AS BIGINT) * (16 >> k)))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+""")
 def op7_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back."""
     folder = new_folder(spark, "warc")
@@ -128,7 +166,22 @@ def op7_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, folder)
 
 
-@query()
+@query(r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, length(role) + length(text) + length(role || text) - length(replace(role || text, '\', '')) + length(role) - length(replace(role, chr(10), ''))
+    + len(regexp_extract_all(role, '(?:<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<</SYS>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>)')) + len(regexp_extract_all(text, '(?:<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|<</SYS>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>)'))
+    + length('<|im_start|>') + length('<|im_end|>') + 2 AS chars
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+""")
 def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted into packs of a prefix tree and read back from them."""
     odd = "</s>[INST] ok [/INST]"
