@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_text import sorted_blocks
-from .work import components, same, written
+from .work import components, hash_sample, same, written
 
 SAMPLE = 20_000  # vectors that lists and codes are fitted on
 LIST_ROWS = 1_000  # sought rows of a list
@@ -254,7 +254,7 @@ def vector_groups(
         F.expr(f"cast(octet_length(vector) div {kind[-1]} as bigint)").alias("size"), "vector",
     )
     largest = own.groupBy("size", "class").count().groupBy("size").agg(F.max("count").alias("n")).collect()
-    taken = own.select("vec", "size", "vector").orderBy(F.xxhash64("vec"), "vec").limit(sample).select("size", "vector").collect()
+    taken = hash_sample(own.select("vec", "size", "vector"), sample, "vec", "vector").select("size", "vector").collect()
     fitted = {}
     for size, n in ((r["size"], r["n"]) for r in largest):
         mine = [np.frombuffer(r["vector"], kind) for r in taken if r["size"] == size] or [np.ones(size)]

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import file_store
+from .work import file_store, hash_sample
 from .wordpieces import encoder
 
 MAGIC, VERSION = b"CLTK", 1
@@ -35,7 +35,10 @@ SAMPLE_CHARS = 20_000
 
 
 def narrow(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    wide = np.frombuffer(ids, "<u4")
+    if width < 4 and len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"an id does not fit into {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -47,9 +50,9 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 def learn_dictionary(rows: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """From the whole id arrays of ``SAMPLE_DOCS`` rows of at most ``SAMPLE_CHARS`` characters, chosen by hash."""
-    picked = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    """From the whole id arrays of ``SAMPLE_DOCS`` rows chosen by hash, without those of more than
+    ``SAMPLE_CHARS`` characters."""
+    picked = hash_sample(rows, SAMPLE_DOCS, "doc_id").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,6 +95,12 @@ def test_another_dictionary_is_noticed(spark, documents):
         token_store.ShardReader(folder, spark.read.parquet(f"{folder}/manifest").first()["file"])
 
 
+def test_ids_must_fit():
+    assert token_store.narrow(np.array([1, 65_535], "<u4").tobytes(), 2) == np.array([1, 65_535], "<u2").tobytes()
+    with pytest.raises(ValueError):
+        token_store.narrow(np.array([65_536], "<u4").tobytes(), 2)
+
+
 def test_dictionaries_of_few_samples():
     assert len(train_dictionary([])) >= 8 and train_dictionary([b"12345678"]) == b"12345678"
 
