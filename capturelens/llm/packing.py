@@ -104,10 +104,12 @@ def pack(
 ) -> DataFrame:
     """``bin, bin_size, place, doc_id, piece, first, length``: where each piece of each row lies.
 
-    ``length`` is the number of tokens of a row (default: its words and an end mark, so null and empty
-    texts take 1); null counts as 0 and takes no place. Rows longer than the longest size are cut into
-    pieces of that size (``piece``, starting at token ``first``), nothing is dropped. ``place`` is the
-    piece's first token in its bin. Rows that repeat an id are packed one by one; null ids too.
+    ``length`` is what a row takes of its bin, in any unit, and the sizes are in the same unit. Bins hold
+    tokens only when it counts tokens (``token_counts.token_lengths``); the default counts words as cut
+    at ASCII white space and an end mark, so null and empty texts take 1. A null length counts as 0 and
+    takes no place. Rows longer than the longest size are cut into
+    pieces of that size (``piece``, starting at unit ``first``), nothing is dropped. ``place`` is the
+    piece's first unit in its bin. Rows that repeat an id are packed one by one; null ids too.
     """
     top = max(sizes)
     tokens = F.coalesce(word_count(F.col(text_col)) + 1 if length is None else length.cast("bigint"), F.lit(0))

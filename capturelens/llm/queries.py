@@ -127,8 +127,9 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into sequences of several permitted lengths, counted in words and an end mark."""
-    return packing.pack(table(spark, sf_dir, "documents"))
+    """Every document packed into sequences of several permitted lengths, counted in tokens and an end id."""
+    docs = token_counts.token_lengths(table(spark, sf_dir, "documents"), public_path(TOKENIZER))
+    return packing.pack(docs, F.col("length"))
 
 
 @query("""

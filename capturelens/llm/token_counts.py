@@ -52,6 +52,28 @@ def counter(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return count
 
 
+def lengths(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in batches:
+            counts = [len(ids) // 4 + 1 for ids in encode.packed(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "length"])
+
+    return count
+
+
+def token_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, length`` per row, written once: the tokens of its whole text and an end id.
+
+    Rows are encoded where they are, without a shuffle or a cache by digest, so a text that many rows
+    share stays spread; each distinct word of a task is encoded once. Null texts count as empty
+    (length 1); null and repeated ids keep a row each.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return written(rows.mapInArrow(lengths(tokenizer), f"doc_id {kind}, length bigint"), "lengths")
+
+
 def count_tokens(
     docs: DataFrame, tokenizer: str, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text",
     limit: int = 2048, normal: Callable[[Column], Column] = unchanged,

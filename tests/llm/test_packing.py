@@ -6,8 +6,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from test_tokens import ODD, WORDS, library
 
 from capturelens.llm.packing import SIZES, pack, plan_bins, sequence_cost
+from capturelens.llm.queries import QUERIES
 
 
 def bins_of(histogram, placed):
@@ -76,3 +78,21 @@ def test_every_token_has_one_place(documents):
             at += r["length"]
         assert {r["bin_size"] for r in held} == {min(s for s in SIZES if s >= at)}
     assert pack(documents([])).count() == 0
+
+
+def test_query_packs_tokens(spark, documents, tmp_path):
+    """Digits, marks and texts without spaces take the tokens they have, cut into pieces where they are long."""
+    rng = random.Random(4)
+    base64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=30_000))
+    texts = [*ODD, base64, "日本語" * 5000, "1234567890 " * 400, "plain words here"]
+    rows = [*enumerate(texts), (3, texts[3]), (None, "a1!"), (None, "a1!")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op10_best_fit_packing"](spark, str(tmp_path)).collect()
+    want, whole, held = Counter(), Counter(), Counter()
+    for (i, _), ids in zip(rows, library(WORDS, [t for _, t in rows])):
+        want[i] += len(ids) + 1
+    for r in got:
+        whole[r["doc_id"]] += r["length"]
+        held[r["bin"], r["bin_size"]] += r["length"]
+    assert whole == want and max(r["piece"] for r in got) > 0
+    assert all(size == min(s for s in SIZES if s >= n) for (_, size), n in held.items())
