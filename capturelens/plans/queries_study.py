@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
+from ..functions.phrases import joined_items, listed_items, with_counts
 from ..operators import rollup as ru
 from ..operators import tables as tb
 from ..operators.ordered import Ordered, ordinal
@@ -79,10 +80,19 @@ def _(t):
 
 
 @query("agg8_registered_all", f"""WITH {REPEAT} SELECT sequence, condition, string_agg(CAST(CAST(coalesce(largest, 0) AS INT) AS VARCHAR), ', ' ORDER BY run) AS registered_all FROM rr GROUP BY ALL""")
+def _(t):
+    return joined_items(registered(repeat_runs(t)), ["sequence", "condition"], "registered_all", ", ")
+
+
+def registered(runs):
+    return listed_items(runs, ["sequence", "condition"], ["run"], F.coalesce(F.col("largest"), F.lit(0)).cast("int").cast("string"))
+
+
+@query("agg8_registered_rows", f"""WITH {REPEAT} SELECT sequence, condition, row_number() OVER (PARTITION BY sequence, condition ORDER BY run) - 1 AS place, CAST(CAST(coalesce(largest, 0) AS INT) AS VARCHAR) AS item, NULL AS n FROM rr
+  UNION ALL SELECT sequence, condition, NULL, NULL, count(*) FROM rr GROUP BY sequence, condition""")
 def _(t):
     runs = repeat_runs(t)
-    listed = F.array_sort(F.collect_list(F.struct("run", F.coalesce(F.col("largest"), F.lit(0)).cast("int").cast("string").alias("v"))))
-    return runs.groupBy("sequence", "condition").agg(F.array_join(F.transform(listed, lambda s: s["v"]), ", ").alias("registered_all"))
+    return with_counts(registered(runs), runs.groupBy("sequence", "condition").agg(F.count(F.lit(1)).alias("n")))
 
 
 METRICS = ["psnr", "ssim", "lpips"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import phrases as ph
 from ..functions import text as tx
 from ..functions.catalog import class_rank
 from ..operators import documents as dc
@@ -160,12 +161,10 @@ def _(t):
 @query("txt16_accuracy_phrase", f"""WITH {FRAMES}, c AS (SELECT seq, kind, count(*) AS n FROM frames GROUP BY ALL), m AS (SELECT seq, string_agg(n || ' fixes with status ' || kind, '; ' ORDER BY kind) AS ph, sum(n) AS n FROM c GROUP BY seq)
   SELECT seq, CASE seq % 3 WHEN 0 THEN ph WHEN 1 THEN 'none stated (' || n || ' captures with GPS)' ELSE 'log reports its own level' END AS phrase FROM m""")
 def _(t):
-    from ..functions.phrases import accuracy_phrase
-
     counts = ru.value_counts(t.frames, ["seq"], "kind", "m")
     kind = F.element_at(F.array(F.lit("fix"), F.lit("exif"), F.lit("log")), (F.col("seq") % 3 + 1).cast("int"))
     total = F.aggregate(F.map_values("m"), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return counts.select("seq", accuracy_phrase(kind, F.col("m"), total).alias("phrase"))
+    return counts.select("seq", ph.accuracy_phrase(kind, F.col("m"), total).alias("phrase"))
 
 
 STAB = f"""{REPEAT}, st AS (SELECT sequence, count(*) AS n, count(*) FILTER (ok) AS k FROM rr WHERE status = 'F' GROUP BY sequence)"""
@@ -175,12 +174,20 @@ STAB = f"""{REPEAT}, st AS (SELECT sequence, count(*) AS n, count(*) FILTER (ok)
     string_agg(c_custkey || ': ' || k || ' of ' || n || ' (' || CAST(CAST(round(CAST(round(k / n::DOUBLE, 3) AS DECIMAL(38,12)) * 100, 1) AS DECIMAL(38,1)) AS VARCHAR) || ' %)', '; ' ORDER BY c_custkey) FILTER (n IS NOT NULL) AS ph FROM m GROUP BY c_nationkey)
   SELECT c_nationkey, CASE WHEN have = 0 THEN 'single run' ELSE ph || CASE WHEN have < total THEN '; others single run' ELSE '' END END AS phrase FROM g""")
 def _(t):
-    from ..functions.phrases import stability_phrase
+    return ph.stability_phrase(stability_members(t), "c_nationkey", "sequence", "k", "n")
+
 
+def stability_members(t):
     runs = repeat_runs(t).where("status = 'F'").groupBy("sequence").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("ok", F.lit(False))).alias("k"))
-    members = t.customer.select("c_nationkey", F.col("c_custkey").alias("sequence")).join(runs, "sequence", "left")
-    return stability_phrase(members, "c_nationkey", "sequence", "k", "n")
+    return t.customer.select("c_nationkey", F.col("c_custkey").alias("sequence")).join(runs, "sequence", "left")
+
+
+@query("txt17_stability_rows", f"""WITH {STAB}, m AS (SELECT c_nationkey, c_custkey, n, k FROM customer LEFT JOIN st ON sequence = c_custkey)
+  SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, c_custkey || ': ' || k || ' of ' || n || ' (' || CAST(CAST(round(CAST(round(k / n::DOUBLE, 3) AS DECIMAL(38,12)) * 100, 1) AS DECIMAL(38,1)) AS VARCHAR) || ' %)' AS item, NULL AS members, NULL AS repeated FROM m WHERE n IS NOT NULL
+  UNION ALL SELECT c_nationkey, NULL, NULL, count(*), count(n) FROM m GROUP BY c_nationkey""")
+def _(t):
+    return ph.stability_rows(stability_members(t), "c_nationkey", "sequence", "k", "n")
 
 
 # ---- the catalog: documents as datasets found, labels as their readiness
@@ -238,9 +245,13 @@ def _(t):
 @query("rpt15_documentation_split", f"""WITH f AS {FLAGGED}, n AS (SELECT source, count(*) AS n, count(*) FILTER (glare = 'low') AS k, string_agg(CAST(doc_id AS VARCHAR), '; ' ORDER BY doc_id) FILTER (glare = 'low') AS ph FROM f GROUP BY source)
   SELECT source, CAST(k AS BIGINT) AS disagree, CAST(n - k AS BIGINT) AS agree, coalesce(ph, 'no disagreement found') AS phrase FROM n""")
 def _(t):
-    from ..functions.phrases import disagreement_phrase
+    return ph.disagreement_phrase(flagged(t), "source", F.coalesce(F.col("glare") == "low", F.lit(False)), F.col("doc_id"))
+
 
-    return disagreement_phrase(flagged(t), "source", F.coalesce(F.col("glare") == "low", F.lit(False)), F.col("doc_id"))
+@query("rpt15_documentation_rows", f"""WITH f AS {FLAGGED} SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, CAST(doc_id AS VARCHAR) AS item, NULL AS disagree, NULL AS agree FROM f WHERE glare = 'low'
+  UNION ALL SELECT source, NULL, NULL, count(*) FILTER (glare = 'low'), count(*) - count(*) FILTER (glare = 'low') FROM f GROUP BY source""")
+def _(t):
+    return ph.disagreement_rows(flagged(t), "source", F.coalesce(F.col("glare") == "low", F.lit(False)), F.col("doc_id"))
 
 
 @query("src12_page_cells", r"""WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS cells FROM pages)
