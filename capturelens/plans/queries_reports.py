@@ -12,6 +12,7 @@ from ..operators import pose as ps
 from ..operators import rollup as ru
 from ..operators import sampling as sp
 from ..operators import tables as tb
+from ..operators.ordered import Ordered, attach, running_sum
 from ..operators.quantiles import exact_quantiles
 from ..sources import sinks as sk
 from .bindings import NUMBERED, RUNS, VIEWS
@@ -116,11 +117,15 @@ def _(t):
     runs = repeat_runs(t).withColumn("key", F.concat_ws("|", F.col("sequence").cast("string"), "condition"))
     out = ru.repeat_summary(runs, "key", "run", "largest", F.col("ok"), {"first_pairs": F.col("pair")})
     parts = F.split("key", r"\|")
+    return out.select(parts[0].cast("bigint").alias("sequence"), parts[1].alias("condition"), *repeat_cells())
+
+
+def repeat_cells():
+    """The report cells of a repeat summary."""
     lo, hi = F.col("registered_min"), F.col("registered_max")
     bracket = F.when(lo == hi, "").otherwise(F.concat(F.lit(" ["), fm.half_up(lo, 0), F.lit("–"), fm.half_up(hi, 0), F.lit("]")))
-    return out.select(
-        parts[0].cast("bigint").alias("sequence"), parts[1].alias("condition"), "n", "success_count", fm.fmt_pct(F.col("success_rate")).alias("success_rate"),
-        F.concat(fm.half_up(F.col("registered_median"), 1), bracket).alias("registered"), "first_pairs")
+    return ["n", "success_count", fm.fmt_pct(F.col("success_rate")).alias("success_rate"),
+            F.concat(fm.half_up(F.col("registered_median"), 1), bracket).alias("registered"), "first_pairs"]
 
 
 @query("rpt8_tail_wide", f"WITH {ARMS}, a AS (SELECT * FROM arm WHERE no < 5) SELECT sequence, count(*) AS runs_done, CAST(count(*) FILTER (condition < '3') AS BIGINT) AS successes, "
@@ -260,10 +265,46 @@ def _(t):
 @query("rpt20_recomputation_audit", f"""WITH {REPEAT}, a AS (SELECT condition, count(*) AS n, round(count(*) FILTER (ok) / count(*)::DOUBLE, 3) AS rate FROM rr GROUP BY condition)
   SELECT condition, n, rate AS reported, rate AS recomputed, true AS agrees FROM a""")
 def _(t):
-    runs = repeat_runs(t)
-    report = ru.repeat_summary(runs, "condition", "run", "largest", F.col("ok"), {}).select("condition", "n", F.col("success_rate").alias("reported"))
-    again = runs.groupBy("condition").agg(F.round(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)), 3).alias("recomputed"))
-    return report.join(again, "condition", "left").withColumn("agrees", F.col("reported").eqNullSafe(F.col("recomputed")))
+    out = ru.repeat_summary(repeat_runs(t), "condition", "run", "largest", F.col("ok"), {"first_pairs": F.col("pair")})
+    return audited(out.select("condition", *repeat_cells()), t.orders, t.lineitem)
+
+
+def recounted(orders, lineitem):
+    """The cells of the repeat report from the raw orders and lines: lines meet their order first, shares are
+    compared as whole numbers, the median is read off running counts, and no formatter of the report is used."""
+    q, part = F.col("l_quantity"), F.col("l_partkey")
+    lines = orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumnRenamed("o_orderpriority", "condition")
+    per_run = lines.groupBy("condition", "o_orderkey").agg(
+        F.max(q).alias("top"), F.coalesce(2 * F.max(q) >= F.sum(q), F.lit(False)).alias("good"),
+        F.when(F.count("l_orderkey") > 2, F.struct((F.min(part) % 9).alias("a"), (F.max(part) % 9).alias("b"))).alias("pair"))
+    per_value = per_run.groupBy("condition", F.coalesce("top", F.lit(0)).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if("good").alias("k"))
+    pairs = per_run.select("condition", "pair").distinct().groupBy("condition").agg(F.count(F.lit(1)).alias("pairs"))
+    upto = Ordered(per_value, ["condition"], ["v"]).add(upto=running_sum(F.col("c"))).df
+    total = per_value.groupBy("condition").agg(F.sum("c").alias("runs"), F.sum("k").alias("good"))
+    half = lambda met: F.min(F.when(met, F.col("v")))
+    twice = F.col("upto") * 2
+    values = attach(upto, total, ["condition"]).groupBy("condition", "runs", "good").agg(
+        ((half(twice >= F.col("runs")) + half(twice > F.col("runs"))) / 2).alias("mid"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    text = lambda c, digits: F.col(c).cast(f"decimal(28,{digits})").cast("string")
+    permille = F.expr("(2000 * good + runs) div (2 * runs)")
+    share = F.concat((permille / 1000 * 100).cast("decimal(28,1)").cast("string"), F.lit(" %"))
+    bracket = F.when(F.col("lo") == F.col("hi"), "").otherwise(F.concat(F.lit(" ["), text("lo", 0), F.lit("–"), text("hi", 0), F.lit("]")))
+    return attach(values, pairs, ["condition"]).select(
+        F.col("condition").alias("_condition"), (permille / 1000).alias("recomputed"), F.col("runs").alias("_n"), F.col("good").alias("_success_count"),
+        share.alias("_success_rate"), F.concat(text("mid", 1), bracket).alias("_registered"), F.col("pairs").alias("_first_pairs"))
+
+
+def audited(report, orders, lineitem):
+    """Every condition of the report or the raw rows: whether each of its cells is what the raw rows give."""
+    again = recounted(orders, lineitem)
+    met = report.join(again, report["condition"].eqNullSafe(again["_condition"]), "full")
+    cells = ["condition", "n", "success_count", "success_rate", "registered", "first_pairs"]
+    agrees = F.col("n").isNotNull() & F.col("_n").isNotNull()
+    for c in cells:
+        agrees = agrees & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    reported = (F.regexp_extract("success_rate", r"^(\d+\.\d) %$", 1).try_cast("decimal(28,1)") / 100).cast("double")
+    return met.select(
+        F.coalesce("condition", "_condition").alias("condition"), F.coalesce("n", "_n").alias("n"), reported.alias("reported"), "recomputed", agrees.alias("agrees"))
 
 
 # ---- sinks whose result is a frame
