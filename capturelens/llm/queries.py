@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_tree, exact, mixing, near_text, near_vectors, packing, quality, token_counts, token_store, warc
+from . import chat_tree, decontaminate, exact, merkle, mixing, near_text, near_vectors, packing, quality, spelling, token_counts, token_store, warc
 from .work import new_folder
 from .wordpieces import public_path
 
@@ -193,3 +193,124 @@ def op5_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "chat-packs")
     chat_tree.write_packs(rows, folder, public_path(LOSSLESS_TOKENIZER))
     return chat_tree.read_conversations(spark, folder, public_path(LOSSLESS_TOKENIZER))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda p: array_to_string(w[p:p + least(len(w), 10) - 1], ' '))) AS win
+  FROM i WHERE len(w) > 0
+), ks AS (SELECT DISTINCT k FROM iw
+), places AS (SELECT r, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS p FROM d, ks
+), dw AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM places
+), hits AS (SELECT dw.r, dw.k, dw.p, iw.item_id FROM dw JOIN iw ON dw.win = iw.win AND dw.k = iw.k
+), n AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + k)) AS q FROM hits) GROUP BY r
+), its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN its ON its.r = d.r
+""")
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in ten-word windows of benchmark items."""
+    return decontaminate.mark_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# unsigned CRC-32, bit by bit over a list of byte values
+CRC_SQL = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) AS t
+)
+"""
+
+
+def crc_sql(byte_list: str) -> str:
+    return f"xor(4294967295, list_reduce({byte_list}, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295::BIGINT))"
+
+
+@query(f"""
+WITH RECURSIVE {CRC_SQL}, f AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS id, CAST(n_chars AS VARCHAR) AS n, CAST(n_chars + 1 AS VARCHAR) AS n1 FROM documents
+), h AS (
+  SELECT doc_id, lang, list_transform([n, n1], lambda m: sha256(array_to_string(list_transform([id, source, lang, m, text],
+      lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')), ''))) AS both_leaves,
+    coalesce({crc_sql("list_transform(string_split(id, ''), lambda c: ascii(c)::BIGINT)")} % 7 = 0, false) AS tampered
+  FROM f, crc_table
+), l AS (
+  SELECT doc_id, both_leaves[1] AS leaf, CASE WHEN tampered THEN both_leaves[2] ELSE both_leaves[1] END AS given,
+    coalesce('=' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, both_leaves[1]) - 1 AS i
+  FROM h
+), tree AS (
+  SELECT g, 0 AS lvl, i, leaf AS x, count(*) OVER (PARTITION BY g) AS n FROM l
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, sha256(string_agg(x, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY g, lvl, i // 2, n
+), subs AS (
+  SELECT g, x AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS gi FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, gi AS i, subroot AS x, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT lvl + 1, i // 2, sha256(string_agg(x, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY lvl, i // 2, n
+), up AS (
+  SELECT g, i AS leaf_i, 0 AS lvl, i, given AS x, '' AS proof FROM l
+  UNION ALL
+  SELECT u.g, u.leaf_i, u.lvl + 1, u.i // 2,
+    sha256(CASE WHEN s.x IS NULL THEN u.x WHEN u.i % 2 = 0 THEN u.x || s.x ELSE s.x || u.x END), u.proof || coalesce(s.x, '')
+  FROM up u JOIN (SELECT DISTINCT g, lvl, n FROM tree WHERE n > 1) t ON t.g = u.g AND t.lvl = u.lvl
+    LEFT JOIN tree s ON s.g = u.g AND s.lvl = u.lvl AND s.i = xor(u.i, 1)
+), inner_end AS (
+  SELECT u.g, u.leaf_i, u.x, u.proof, s.gi, s.subroot FROM up u JOIN tree t ON t.g = u.g AND t.lvl = u.lvl AND t.n = 1 JOIN subs s ON s.g = u.g
+), up2 AS (
+  SELECT g, leaf_i, subroot, 0 AS lvl, gi AS i, x, proof FROM inner_end
+  UNION ALL
+  SELECT u.g, u.leaf_i, u.subroot, u.lvl + 1, u.i // 2,
+    sha256(CASE WHEN s.x IS NULL THEN u.x WHEN u.i % 2 = 0 THEN u.x || s.x ELSE s.x || u.x END), u.proof || coalesce(s.x, '')
+  FROM up2 u JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) t ON t.lvl = u.lvl
+    LEFT JOIN top s ON s.lvl = u.lvl AND s.i = xor(u.i, 1)
+)
+SELECT l.doc_id, l.leaf, u.subroot, r.x AS root, sha256(u.proof) AS proof_sha256, u.x AS folded_root, u.x = r.x AS verified
+FROM l JOIN up2 u ON u.g = l.g AND u.leaf_i = l.i JOIN top r ON r.n = 1 AND r.lvl = u.lvl
+""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf folded to the root of the dataset, some with a changed length."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.check_documents(docs, tampered)
+
+
+@query(f"""
+WITH RECURSIVE {CRC_SQL}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents
+), seen AS (SELECT doc_id, w, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM runs GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, c, {crc_sql("flatten(list_transform(string_split(s, ''), lambda a: CASE WHEN unicode(a) < 128 THEN [unicode(a)::BIGINT] ELSE [192 + (unicode(a) >> 6), 128 + (unicode(a) & 63)]::BIGINT[] END))")} AS h
+  FROM seen, crc_table
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, c FROM hashed
+), v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), cuts AS (
+  SELECT word, length(word) AS len, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)
+), pairs AS (
+  SELECT x.word AS a, y.word AS b FROM cuts x JOIN cuts y ON x.rest = y.rest AND x.p = y.p AND x.len = y.len AND x.word <> y.word
+  UNION SELECT c.word, v.word FROM cuts c JOIN v ON v.word = c.rest
+  UNION SELECT v.word, c.word FROM cuts c JOIN v ON v.word = c.rest
+), best AS (
+  SELECT a, count(*) AS n_near, arg_min(b, (-n, encode(b))) AS form, max(n) AS form_n FROM pairs JOIN v ON v.word = b GROUP BY a
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n
+  FROM v LEFT JOIN best ON best.a = v.word
+), follow AS (
+  SELECT word, word AS here, 0 AS step FROM forms
+  UNION ALL SELECT f.word, g.form, f.step + 1 FROM follow f JOIN forms g ON g.word = f.here WHERE g.form IS NOT NULL
+), roots AS (SELECT word, arg_max(here, step) AS root FROM follow GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form each word of the corpus is a spelling of, some occurrences having lost a letter."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), slips=True)
