@@ -1,14 +1,13 @@
-"""Motion along a sequence: steps, stationary segments, passes, log attempts, spacing."""
+"""Motion along a sequence: steps, stationary segments, passes, log attempts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .headings import heading_runs
 from .ordered import (
     Ordered,
     following,
@@ -103,43 +102,10 @@ def corridor_passes(
 ) -> DataFrame:
     """Runs above a speed whose heading stays near the heading of the run's first sample.
 
-    A slow sample always ends a run, so unbroken moving stretches are independent. Only the
-    rule about the first heading is sequential; it is applied inside a stretch, streaming over
-    sorted rows with the state of the open run (one tuple), never holding a stretch.
+    A slow sample always ends a run, so unbroken moving stretches are independent; inside them the rule of
+    the first heading is followed over blocks of samples (``headings``).
     """
-    keyed = moving_runs(odometry, seq, order, speed, fast).select(
-        seq, "stretch", "ord", *[F.col(c).cast("double").alias(a) for a, c in
-                                 (("t", t), ("x", x), ("y", y), ("v", speed), ("yaw", yaw))]
-    )
-    rows = keyed.repartition(seq, "stretch").sortWithinPartitions(seq, "stretch", "ord")
-    kind = rows.schema[seq].dataType.simpleString()
-    schema = (
-        f"{seq} {kind}, run_start bigint, n bigint, t0 double, t1 double, x0 double, y0 double, "
-        "x1 double, y1 double, v_sum double"
-    )
-    names = [seq, "run_start", "n", "t0", "t1", "x0", "y0", "x1", "y1", "v_sum"]
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = first_yaw = run = None
-        for pdf in batches:
-            done = []
-            for s, st, o, tt, xx, yy, v, h in pdf.itertuples(index=False, name=None):
-                same = key == (s, st) and abs((h - first_yaw + 180.0) % 360.0 - 180.0) < turn
-                if same:
-                    run[2] += 1
-                    run[4], run[7], run[8] = tt, xx, yy
-                    run[9] += v
-                else:
-                    if run is not None:
-                        done.append(run)
-                    key, first_yaw = (s, st), h
-                    run = [s, o, 1, tt, tt, xx, yy, xx, yy, v]
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if run is not None:
-            yield pd.DataFrame([run], columns=names)
-
-    return rows.mapInPandas(runs, schema)
+    return heading_runs(moving_runs(odometry, seq, order, speed, fast), seq, t, x, y, speed, yaw, turn)
 
 
 def pass_candidates(runs: DataFrame, min_duration: float = 10.0) -> DataFrame:
@@ -211,41 +177,6 @@ def attempt_summary(attempts: DataFrame, run: str) -> DataFrame:
     )
 
 
-def spaced_frames(poses: DataFrame, seq: str, order: str, centre: Sequence[str], distance: float) -> DataFrame:
-    """Frames kept in order when they are at least ``distance`` from every kept frame.
-
-    Each decision needs all earlier ones, so a sequence is one pass over its sorted rows. Rows
-    stream in Arrow batches and only the kept centres stay in memory, in a grid of cells of the
-    asked distance, so each frame is compared with the few kept frames around it.
-    """
-    cols = poses.select(seq, order, *centre)
-    rows = cols.repartition(seq).sortWithinPartitions(seq, order)
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, cells = object(), {}
-        dims = len(centre)
-        around = np.array(np.meshgrid(*[[-1, 0, 1]] * dims)).reshape(dims, -1).T.tolist()
-        for pdf in batches:
-            xyz = pdf[list(centre)].to_numpy(float)
-            grid = np.floor(xyz / distance).astype("int64").tolist() if distance > 0 else None
-            picked = np.zeros(len(pdf), bool)
-            for i, s in enumerate(pdf[seq].tolist()):
-                if s != current:
-                    current, cells = s, {}
-                if distance <= 0:
-                    picked[i] = True
-                    continue
-                c, p = grid[i], xyz[i]
-                near = (q for d in around for q in cells.get(tuple(a + b for a, b in zip(c, d)), ()))
-                if all(np.linalg.norm(q - p) >= distance for q in near):
-                    picked[i] = True
-                    cells.setdefault(tuple(c), []).append(p)
-            if picked.any():
-                yield pdf[picked]
-
-    return rows.mapInPandas(keep, cols.schema)
-
-
 def adjacent_groups(rows: DataFrame, by: list[str], order: list[str], group: str) -> DataFrame:
     """Number of the run of equal neighbours each row belongs to, from 1."""
     changed = F.col("_p").isNull() | (F.col("_p") != F.col(group))

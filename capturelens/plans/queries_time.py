@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequence as sq
 from ..operators import timejoin as tj
 from ..operators.ordered import Ordered, following, ordinal
+from ..operators.spacing import spaced_frames
 from .bindings import FRAMES, LOG, NUMBERED, POSES
 from .registry import query
 
@@ -216,7 +217,14 @@ def passes(t):
     return sq.corridor_passes(odometry(t), "seq", ["ts", "event_id"], "ts", "x", "y", "speed", "yaw", fast=0.1, turn=90.0)
 
 
-@query("win6_corridor_passes")
+@query("win6_corridor_passes", f"""WITH RECURSIVE {NUMBERED}, mv AS (SELECT *, lum / 100 > 0.1 AS go, k * CAST(3.6 AS DOUBLE) AS yaw FROM numbered),
+  st AS (SELECT *, sum(CASE WHEN go THEN 0 ELSE 1 END) OVER (PARTITION BY seq ORDER BY t, event_id) AS stretch FROM mv),
+  s AS (SELECT seq, stretch, t, ord, yaw, row_number() OVER (PARTITION BY seq, stretch ORDER BY ord) AS rn FROM st WHERE go),
+  r AS (SELECT seq, stretch, rn, ord, t, yaw AS first, ord AS run_start FROM s WHERE rn = 1
+    UNION ALL SELECT s.seq, s.stretch, s.rn, s.ord, s.t, CASE WHEN near THEN r.first ELSE s.yaw END, CASE WHEN near THEN r.run_start ELSE s.ord END
+    FROM r JOIN s ON s.seq = r.seq AND s.stretch = r.stretch AND s.rn = r.rn + 1,
+      LATERAL (SELECT abs((s.yaw - r.first + 180.0) - 360.0 * floor((s.yaw - r.first + 180.0) / 360.0) - 180.0) < 90.0 AS near))
+  SELECT seq, run_start, count(*) AS n, round(max(t) / 1e6 - min(t) / 1e6, 4) AS dur FROM r GROUP BY seq, run_start""")
 def _(t):
     return passes(t).select("seq", "run_start", "n", r4(F.col("t1") - F.col("t0")).alias("dur"))
 
@@ -301,9 +309,14 @@ def _(t):
     return sq.attempt_summary(attempts(t), "run")
 
 
-@query("win18_greedy_spacing")
+@query("win18_greedy_spacing", f"""WITH RECURSIVE {POSES}, p AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY image, cx, cy, cz) AS rn FROM poses),
+  g AS (SELECT seq, rn, image, true AS keep, [[cx, cy, cz]] AS kept FROM p WHERE rn = 1
+    UNION ALL SELECT p.seq, p.rn, p.image, ok, CASE WHEN ok THEN list_append(g.kept, [p.cx, p.cy, p.cz]) ELSE g.kept END
+    FROM g JOIN p ON p.seq IS NOT DISTINCT FROM g.seq AND p.rn = g.rn + 1,
+      LATERAL (SELECT len(list_filter(g.kept, lambda q: sqrt((q[1] - p.cx) * (q[1] - p.cx) + (q[2] - p.cy) * (q[2] - p.cy) + (q[3] - p.cz) * (q[3] - p.cz)) < 0.1)) = 0 AS ok))
+  SELECT seq, image FROM g WHERE keep""")
 def _(t):
-    return sq.spaced_frames(t.poses, "seq", "image", ["cx", "cy", "cz"], 0.1).select("seq", "image")
+    return spaced_frames(t.poses, "seq", "image", ["cx", "cy", "cz"], 0.1).select("seq", "image")
 
 
 @query("win20_adjacent_groups", f"""WITH {NUMBERED}, c AS (SELECT *, CASE WHEN lag(kind) OVER w IS DISTINCT FROM kind THEN 1 ELSE 0 END AS new FROM numbered WINDOW w AS (PARTITION BY seq ORDER BY ord))

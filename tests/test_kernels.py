@@ -18,7 +18,10 @@ from capturelens.operators import raster as rs
 from capturelens.operators import robust as rb
 from capturelens.operators import sampling as sp
 from capturelens.operators import sequence as sq
+from capturelens.operators import spacing
 from capturelens.operators import spatial as spt
+from capturelens.operators.headings import away, covering_arc, in_cone, run_starts
+from capturelens.operators.spacing import spaced_frames
 
 
 def frames(spark, sizes):
@@ -111,10 +114,80 @@ def test_corridor_passes(split, seed):
         assert (covered == moving).all()
 
 
+def _by_hand(samples, turn):
+    """First rows of the passes of (stretch, ord, yaw) samples in order."""
+    starts, now, first = [], None, None
+    for stretch, o, yaw in samples:
+        if stretch != now or not abs((yaw - first + 180.0) % 360.0 - 180.0) < turn:
+            now, first = stretch, yaw
+            starts.append(o)
+    return starts
+
+
+@pytest.mark.parametrize("turn", [15.0, 90.0])
+def test_headings_over_many_blocks(spark, turn):
+    """Stretches much longer than a block, with long straights, turns, jumps and missing headings."""
+    rng = np.random.default_rng(int(turn))
+    steps = [rng.normal(0, s, 300) for s in (0.01, 3, 0.0, 40)]
+    yaws = {1: np.cumsum(np.concatenate(steps)) % 360, 2: np.full(500, 359.5), 3: rng.random(200) * 360, 4: np.array([0.0])}
+    yaws[2][250:] = 3.0
+    yaws[3][50] = np.nan
+    rows, at = [], 0
+    for stretch, yaw in yaws.items():
+        rows += [(stretch, at + i, float(v)) for i, v in enumerate(yaw)]
+        at += len(yaw) + 3
+    df = spark.createDataFrame([("=s", *r) for r in rows] + [("", *r) for r in rows[:700]], "key string, stretch bigint, ord bigint, yaw double")
+    got = run_starts(df.repartition(3), turn, fan=4).collect()
+    assert sorted(r.ord for r in got if r.key == "=s") == _by_hand(rows, turn)
+    assert sorted(r.ord for r in got if r.key == "") == _by_hand(rows[:700], turn)
+
+
+def test_arcs_hold_their_headings():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        yaw = (rng.normal(rng.random() * 360, rng.choice([0, 5, 40, 200]), rng.integers(1, 12))) % 360
+        low, high = covering_arc(yaw, yaw)
+        for h in rng.random(20) * 360:
+            inside = bool(in_cone(np.array([h]), np.array([low]), np.array([high]), 90.0)[0, 0])
+            assert inside == bool((np.abs(away(yaw, h)) < 90.0).all())
+        parts = np.array_split(yaw, 3)
+        ends = np.array([covering_arc(p, p) for p in parts if len(p)])
+        both = covering_arc(ends[:, 0], ends[:, 1])
+        if not np.isnan(both[0]):
+            assert (np.abs(away(yaw, both[0])) <= 180).all() and (((yaw - both[0]) % 360) <= ((both[1] - both[0]) % 360) + 1e-9).all()
+
+
+def _greedy(rows, distance):
+    kept = {}
+    for s, _, *p in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2:])):
+        mine = kept.setdefault(s, [])
+        if all(np.sqrt(sum((a - b) * (a - b) for a, b in zip(p, q))) >= distance for q in mine):
+            mine.append(tuple(p))
+    return sorted(((s, p) for s, ps in kept.items() for p in ps), key=repr)
+
+
+def test_greedy_spacing_of_one_hot_sequence(spark, monkeypatch):
+    """A path that turns back, one that stands still, equal rows and orders, a null sequence; few listed frames a round."""
+    monkeypatch.setattr(spacing, "LISTED", 4)
+    monkeypatch.setattr(spacing, "TILE", 8)
+    rng = np.random.default_rng(1)
+    line = [(0, i, np.sin(i / 60) * 5, i / 300, 0.0) for i in range(900)]
+    still = [(1, i // 2, *(rng.random(3) * 0.2)) for i in range(400)]
+    rows = [(s, o, *map(float, p)) for s, o, *p in line + still + [(None, *r[1:]) for r in still[:50]] + [line[5]] * 20]
+    df = spark.createDataFrame(rows, "seq bigint, i bigint, x double, y double, z double").repartition(4)
+    got = spaced_frames(df, "seq", "i", ["x", "y", "z"], 0.3)
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(seq" not in plan
+    assert sorted(((r.seq, (r.x, r.y, r.z)) for r in got.collect()), key=repr) == _greedy(rows, 0.3)
+    odd = spark.createDataFrame([(1, 1, float("nan"), 0.0, 0.0), (1, 2, None, 0.0, 0.0)], df.schema)
+    assert spaced_frames(odd, "seq", "i", ["x", "y", "z"], 0.3).collect() == []
+    assert spaced_frames(df, "seq", "i", ["x", "y", "z"], 0.0).count() == len(rows)
+
+
 def test_greedy_spacing(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"seq": np.repeat([0, 1], 150), "i": np.arange(300), "x": rng.random(300), "y": rng.random(300), "z": rng.random(300)})
-    got = {r.i for r in sq.spaced_frames(spark.createDataFrame(pdf), "seq", "i", ["x", "y", "z"], 0.3).collect()}
+    got = {r.i for r in spaced_frames(spark.createDataFrame(pdf), "seq", "i", ["x", "y", "z"], 0.3).collect()}
     want = set()
     for _, part in pdf.groupby("seq"):
         kept = []
