@@ -1,54 +1,173 @@
 """Nearest neighbours and containment in the plane and in space.
 
-Neighbours are found in a pyramid of grids. A query looks at its own and the adjacent cells; when
-the k-th distance found is at most one cell side the answer is exact and the query leaves.
-The rest go to the next grid, whose cells are twice as wide, up to one that covers everything.
-The first grid is the widest whose fullest cell still holds few sites, so dense places are
-answered with few comparisons; sites at the same place are merged first.
+Neighbours are found by a best-first search over a pyramid of cell counts. The smallest own cell of a
+query with enough sites bounds the distance it has to look; from cells of about that size it goes down to
+leaves of few sites, dropping cells by their nearest corner and tightening the bound by the counts of the
+others. Sites are touched in the leaves that are left only. Sites and queries at the same place are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import write_through
+from .ordered import attach
 
-FINEST = 16  # halvings of the extent in the finest grid
-CELL_SITES = 64  # sites wanted at most in the fullest cell of the first grid
+CELL_SITES = 64  # places in a leaf, at most
+FINER = 3  # halvings that cells with more places take at once
+DEEPEST = 40  # halvings of the extent; places in one cell of that grid differ in their last bits only
 
 
-def _cells(df: DataFrame, coords: Sequence[str], origin: list[float], side: float, names: list[str]) -> DataFrame:
-    return df.withColumns({
-        n: F.floor((F.col(c) - F.lit(o)) / F.lit(side)).cast("bigint")
-        for n, c, o in zip(names, coords, origin)
-    })
+def _box(level: Column, extent: float) -> Column:
+    return F.lit(extent) / F.pow(F.lit(2.0), level)
 
 
-def _first_grid(sites: DataFrame, by: Sequence[str], coords: Sequence[str], origin: list[float], extent: float) -> int:
-    """Halvings of the widest grid whose fullest cell holds at most CELL_SITES sites.
+class Pyramid:
+    """Numbers of sites in the cells of ever finer grids; cells with few places are leaves.
 
-    Sites are counted once, in the finest grid; the wider grids add those counts up.
+    The first pass counts all grids down to the one that would hold a few places a cell if they were spread
+    evenly; only what is denser goes on to finer ones. ``by`` are the group columns, sites are places
+    ``_s0, …`` with a list ``_ids``.
     """
-    names = [f"_g{i}" for i in range(len(coords))]
-    counted = (
-        _cells(sites, coords, origin, extent / 2**FINEST, names)
-        .groupBy(*by, *names).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    levels = counted.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(FINEST + 1)])))
-    wide = levels.withColumns(
-        {n: F.floor(F.col(n) / F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_level"))) for n in names}
-    )
-    full = (
-        wide.groupBy(*by, "_level", *names).agg(F.sum("_n").alias("_n"))
-        .groupBy("_level").agg(F.max("_n").alias("_n")).collect()  # FINEST + 1 rows
+
+    def __init__(self, few: DataFrame, by: list[str], origin: list[float], extent: float):
+        self.by, self.origin, self.extent, self.dims = by, origin, extent, len(origin)
+        self.g = [f"_g{i}" for i in range(self.dims)]
+        few = write_through(few, "places")
+        self.first = max(0, min(20, math.ceil(math.log2(max(1, few.count()) / 8) / self.dims))) if few.count() > 8 else 0
+        low, high, cells, leaves = 0, self.first, [], []
+        while True:
+            at = few.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in range(low, high + 1)])))
+            counted = self.placed(at, self.sites).groupBy(*by, "_level", *self.g).agg(
+                F.sum(F.size("_ids")).alias("_w"), F.count(F.lit(1)).alias("_places"))
+            done = (F.col("_level") == high) & ((F.col("_places") <= CELL_SITES) | (F.col("_level") >= DEEPEST))
+            counted = write_through(counted.withColumn("_leaf", done), "cells")
+            cells.append(counted)
+            full = counted.where((F.col("_level") == high) & ~F.col("_leaf")).select(*by, *self.g)
+            here = self.placed(few.withColumn("_level", F.lit(high)), self.sites)
+            leaves.append(here.join(full, [*by, *self.g], "left_anti").select(*few.columns, "_level", *self.g))
+            if full.isEmpty():
+                break
+            few = write_through(here.join(full, [*by, *self.g], "left_semi").select(*few.columns), "places")
+            low, high = high + 1, high + FINER
+        self.last = high
+        self.cells, self.leaves = reduce(DataFrame.union, cells), reduce(DataFrame.union, leaves)
+
+    @property
+    def sites(self) -> list[str]:
+        return [f"_s{i}" for i in range(self.dims)]
+
+    @property
+    def asks(self) -> list[str]:
+        return [f"_c{i}" for i in range(self.dims)]
+
+    def placed(self, df: DataFrame, coords: list[str]) -> DataFrame:
+        """Adds the cell of a place at its ``_level``."""
+        side = _box(F.col("_level"), self.extent)
+        return df.withColumns({
+            g: F.floor((F.col(c) - F.lit(o)) / side).cast("bigint") for g, c, o in zip(self.g, coords, self.origin)})
+
+    def bounds(self) -> tuple[Column, Column]:
+        """Squares of the smallest and the largest distance from a query to its row's cell."""
+        side, slack = _box(F.col("_level"), self.extent), F.lit(self.extent * 1e-12)
+        near, far = F.lit(0.0), F.lit(0.0)
+        for g, c, o in zip(self.g, self.asks, self.origin):
+            low = F.lit(o) + F.col(g) * side
+            high = low + side
+            gap = F.greatest(low - F.col(c), F.col(c) - high, F.lit(0.0)) - slack
+            reach = F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - high)) + slack
+            near = near + F.when(gap > 0, gap * gap).otherwise(0.0)
+            far = far + reach * reach
+        return near, far
+
+    def start(self, asked: DataFrame, need: int) -> DataFrame:
+        """The cells each query begins with, and ``_tau``: the square of a distance within which it surely has
+        ``need`` sites. That is the size of its smallest own cell with so many; the search begins in cells of
+        about that size."""
+        near, far = self.bounds()
+        levels = F.explode(F.array(*[F.lit(i) for i in range(self.last + 1)]))
+        own = self.placed(asked.withColumn("_level", levels), self.asks)
+        met = own.join(self.cells.where(F.col("_w") >= need).select(*self.by, "_level", *self.g), [*self.by, "_level", *self.g])
+        known = met.groupBy(*self.by, *self.asks).agg(F.min(far).alias("_tau"), F.max("_level").alias("_own"))
+        begun = attach(asked, known, [*self.by, *self.asks])
+        wide = F.floor(-F.log2(F.sqrt("_tau") / F.lit(self.extent)))
+        level = F.greatest(F.least(F.coalesce(wide, F.lit(0)), F.coalesce("_own", F.lit(0))), F.lit(0)).cast("int")
+        begun = begun.select(*self.by, *self.asks, F.coalesce("_tau", F.lit(float("inf"))).alias("_tau"), level.alias("_level"))
+        moves = F.explode(F.array(*[F.array(*[F.lit(d).cast("bigint") for d in m]) for m in product((-1, 0, 1), repeat=self.dims)]))
+        around = self.placed(begun, self.asks).withColumn("_m", moves).withColumns(
+            {g: F.col(g) + F.col("_m")[i] for i, g in enumerate(self.g)}).drop("_m").where(near <= F.col("_tau"))
+        # where the grid ends above that level, the leaf that covers the cell takes its place
+        ends = [i for i in range(self.first, self.last + 1, FINER)]
+        up = F.array_append(F.filter(F.array(*[F.lit(i) for i in ends]), lambda i: i < F.col("_level")), F.col("_level"))
+        wanted = around.withColumn("_of", F.col("_level")).withColumn("_at", F.explode(up)).withColumns(
+            {g: F.floor(F.col(g) / F.pow(F.lit(2.0), F.col("_level") - F.col("_at"))).cast("bigint") for g in self.g})
+        wanted = wanted.drop("_level").withColumnRenamed("_at", "_level")
+        found = wanted.join(self.cells, [*self.by, "_level", *self.g]).where((F.col("_level") == F.col("_of")) | F.col("_leaf"))
+        return found.select(*self.by, *self.asks, "_tau", "_level", *self.g, "_w", "_leaf").distinct()
+
+    def finer(self, front: DataFrame, need: int) -> DataFrame:
+        """Cells that are no leaves become those below them, and all that are surely too far go."""
+        near, far = self.bounds()
+        up = {f"_p{i}": F.floor(F.col(g) / 2).cast("bigint") for i, g in enumerate(self.g)}
+        children = self.cells.withColumns(up).withColumn("_up", F.col("_level") - 1).select(
+            *self.by, "_level", *self.g, "_w", "_leaf", F.col("_up"), *up)
+        inner = front.where("NOT _leaf").select(
+            *self.by, *self.asks, "_tau", F.col("_level").alias("_up"), *[F.col(g).alias(p) for g, p in zip(self.g, up)])
+        both = front.where("_leaf").unionByName(
+            inner.join(children, [*self.by, "_up", *up]).select(*front.columns))
+        query = Window.partitionBy(*self.by, *self.asks)
+        upto = F.sum("_w").over(query.orderBy("_far", "_level", *self.g))
+        enough = both.withColumns({"_near": near, "_far": far}).withColumn("_sum", upto)
+        tau = F.min(F.when(F.col("_sum") >= need, F.col("_far"))).over(query)
+        closer = enough.withColumn("_tau", F.least(F.col("_tau"), tau))
+        return closer.where(F.col("_near") <= F.col("_tau")).select(*front.columns)
+
+    def candidates(self, asked: DataFrame, need: int) -> DataFrame:
+        """Query places with the places that may be among their ``need`` nearest."""
+        front = self.start(asked, need)
+        while True:
+            front = write_through(self.finer(self.finer(front, need), need), "front")
+            if front.where("NOT _leaf").isEmpty():
+                return front.join(self.leaves, [*self.by, "_level", *self.g])
+
+
+def site_places(sites: DataFrame, by: list[str], coords: Sequence[str], site_id: str, need: int) -> DataFrame:
+    """Sites at one place with the smallest ids there: only so many can be an answer."""
+    names = [f"_s{i}" for i in range(len(coords))]
+    return (
+        sites.select(*by, *[F.col(c).cast("double").alias(s) for c, s in zip(coords, names)], F.col(site_id).alias("_id"))
+        .where(_finite(names))
+        .groupBy(*by, *names, F.pmod(F.xxhash64("_id"), F.lit(64)).alias("_salt"))
+        .agg(F.slice(F.array_sort(F.collect_set("_id")), 1, need).alias("_ids"))
+        .groupBy(*by, *names)
+        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_ids"))), 1, need).alias("_ids"))
     )
-    good = [r["_level"] for r in full if r["_n"] <= CELL_SITES]
-    return min(good) if good else FINEST
+
+
+def _finite(names: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in names])
+
+
+def search_pairs(queries: DataFrame, sites: DataFrame, by: list[str], coords: Sequence[str], site_id: str, need: int) -> DataFrame:
+    """Places of queries (``_c0, …``) with the places of sites (``_s0, …``) they are compared with."""
+    asks = [f"_c{i}" for i in range(len(coords))]
+    asked = queries.select(*by, *[F.col(c).cast("double").alias(a) for c, a in zip(coords, asks)]).where(_finite(asks)).distinct()
+    few = site_places(sites, by, coords, site_id, need)
+    both = few.select(*[F.col(f"_s{i}").alias(a) for i, a in enumerate(asks)]).union(asked.select(*asks))
+    ends = both.agg(*[f(c).alias(f"{m}{c}") for c in asks for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends is None or ends[f"lo{asks[0]}"] is None:
+        extent, origin = 1.0, [0.0] * len(coords)
+    else:
+        origin = [float(ends[f"lo{c}"]) for c in asks]
+        extent = max(float(ends[f"hi{c}"]) - o for c, o in zip(asks, origin)) * 1.000001 or 1.0
+    return Pyramid(few, by, origin, extent).candidates(asked, need)
 
 
 def nearest(
@@ -63,67 +182,19 @@ def nearest(
 ) -> DataFrame:
     """Exact ``k`` nearest sites of each query in its group: ``by, query_id, rank, site_id, dist``.
 
-    Equal distances are ordered by site id. Queries of a group without sites give no rows.
+    Equal distances are ordered by site id. Queries of a group without sites give no rows, nor do places
+    that are not finite or groups that are null.
     """
-    by = list(by)
-    site_cols = [f"_s{i}" for i in range(len(coords))]
-    bounds = sites.select(*coords).unionByName(queries.select(*coords)).agg(
-        *[f(c).alias(f"{m}{i}") for i, c in enumerate(coords) for m, f in (("lo", F.min), ("hi", F.max))]
-    ).first()
-    if bounds is None or bounds["lo0"] is None:
-        extent, origin = 1.0, [0.0] * len(coords)
-    else:
-        origin = [float(bounds[f"lo{i}"]) for i in range(len(coords))]
-        extent = max(float(bounds[f"hi{i}"]) - o for i, o in enumerate(origin)) * 1.000001 or 1.0
-    level = _first_grid(sites.select(*by, *coords).distinct(), by, coords, origin, extent)
-
-    # Sites at one place: only the k (+1 for the query itself) smallest ids can be an answer.
-    few = (
-        sites.select(*by, *[F.col(c).cast("double").alias(s) for c, s in zip(coords, site_cols)], F.col(site_id).alias("_id"))
-        .groupBy(*by, *site_cols, F.pmod(F.xxhash64("_id"), F.lit(64)).alias("_salt"))
-        .agg(F.slice(F.array_sort(F.collect_set("_id")), 1, k + 1).alias("_ids"))
-        .groupBy(*by, *site_cols)
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("_ids"))), 1, k + 1).alias("_ids"))
-    )
-    names = [f"_g{i}" for i in range(len(coords))]
-    open_ = queries.select(*by, F.col(query_id).alias("_q"), *[F.col(c).cast("double").alias(c) for c in coords])
-    square = sum(((F.col(c) - F.col(s)) * (F.col(c) - F.col(s)) for c, s in zip(coords, site_cols)), F.lit(0.0))
-    answers: DataFrame | None = None
-    while True:
-        side = extent / 2**level
-        here = _cells(open_, coords, origin, side, names)
-        moves = F.array(*[
-            F.struct(*[F.lit(d).cast("bigint").alias(f"d{i}") for i, d in enumerate(m)])
-            for m in product((-1, 0, 1), repeat=len(coords))
-        ])
-        around = here.withColumn("_m", F.explode(moves)).withColumns(
-            {n: F.col(n) + F.col(f"_m.d{i}") for i, n in enumerate(names)}
-        ).drop("_m")
-        found = (
-            around.join(_cells(few, site_cols, origin, side, names), [*by, *names])
-            .withColumn("_d", F.sqrt(square))
-            .withColumn("_id", F.explode("_ids"))
-        )
-        if exclude_self:
-            found = found.where(F.col("_id") != F.col("_q"))
-        top = _smallest(found, [*by, "_q"], k)
-        joined = open_.join(top, [*by, "_q"], "left")
-        last = level == 0
-        exact = F.lit(last) | (
-            (F.coalesce(F.size("_top"), F.lit(0)) >= k) & (F.element_at(F.col("_top"), -1)["d"] <= side)
-        )
-        state = joined.withColumn("_exact", F.coalesce(exact, F.lit(False)))
-        if not last:
-            state = cut_lineage(state)
-        done = state.where("_exact").select(*by, "_q", "_top")
-        answers = done if answers is None else answers.unionByName(done)
-        if last:
-            break
-        open_ = state.where("NOT _exact").select(*by, "_q", *coords)
-        if open_.isEmpty():
-            break
-        level -= 1
-    out = answers.select(*by, F.col("_q").alias(query_id), F.posexplode("_top").alias("_r", "_t"))
+    by, need = list(by), k + exclude_self
+    asks, names = [f"_c{i}" for i in range(len(coords))], [f"_s{i}" for i in range(len(coords))]
+    pairs = search_pairs(queries, sites, by, coords, site_id, need)
+    square = sum(((F.col(c) - F.col(s)) * (F.col(c) - F.col(s)) for c, s in zip(asks, names)), F.lit(0.0))
+    found = pairs.select(*by, *asks, F.sqrt(square).alias("_d"), F.explode("_ids").alias("_id"))
+    top = _smallest(found, [*by, *asks], need)
+    named = queries.select(*by, F.col(query_id).alias("_q"), *[F.col(c).cast("double").alias(a) for c, a in zip(coords, asks)])
+    mine = named.join(top, [*by, *asks])
+    others = F.filter("_top", lambda s: s["id"] != F.col("_q")) if exclude_self else F.col("_top")
+    out = mine.select(*by, F.col("_q").alias(query_id), F.posexplode(F.slice(others, 1, k)).alias("_r", "_t"))
     return out.select(
         *by, query_id, (F.col("_r") + 1).cast("bigint").alias("rank"),
         F.col("_t.id").alias(site_id if site_id != query_id else "neighbour"), F.col("_t.d").alias("dist"),
