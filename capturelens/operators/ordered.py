@@ -2,7 +2,7 @@
 
 A window partitioned by the sequence sends a whole sequence to one task. When one sequence may
 hold a third of all rows that task never ends. ``Ordered`` cuts the rows into *blocks*: ranges of
-(sequence, order key), as many as the rows fill. The ranged rows are written once to the shared
+(sequence, order key), as many as the rows fill by the size of the files they come from. The ranged rows are written once to the shared
 checkpoint folder together with their block numbers, so every step reads the same blocks, also
 after an executor is lost. A windowed value is then the value inside the block, merged with what
 earlier (or later) blocks of the same sequence carry over; the carry is computed on one row per
@@ -24,6 +24,15 @@ from ..session import write_through
 BLK = "_blk"
 BLOCK_ROWS_CONF = "spark.capturelens.block.rows"
 BLOCK_ROWS = 1_000_000  # rows of a block, about
+ROW_BYTES = 16  # of the files behind a frame, for each of its rows
+
+
+def likely_rows(df: DataFrame) -> int:
+    """About how many rows a frame has, by the size of the files it reads. No query runs, unless it also stands on
+    rows whose size the planner does not know; then these are counted."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return df.count() if max(sizes, default=0) >= 2**60 else sum(sizes) // ROW_BYTES
 
 
 def attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -147,7 +156,7 @@ class Ordered:
         self.by, self.order = list(by), list(order)
         keys = [F.col(c) for c in self.by + self.order]
         rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
-        self.blocks = max(1, -(-df.select(*keys).count() // rows))
+        self.blocks = max(1, -(-likely_rows(df.select(*keys)) // rows))
         self._read_once, self._df = True, df
         if self.split:
             ranged = df.repartitionByRange(self.blocks, *keys).withColumn(BLK, F.spark_partition_id())

@@ -18,11 +18,14 @@ from .ordered import Ordered, group_total, running_sum
 
 
 def rank_values(
-    df: DataFrame, by: Sequence[str], value: Column, fractions: Mapping[str, float]
+    df: DataFrame, by: Sequence[str], value: Column, fractions: Mapping[str, float], ends: bool = False
 ) -> DataFrame:
-    """Per group ``n`` and, for each fraction, the values at the ranks around it and the weight."""
-    counted = (
-        df.select(*by, value.alias("_v")).groupBy(*by, "_v").agg(F.count("_v").alias("_c"))
+    """Per group ``n`` and, for each fraction, the values at the ranks around it and the weight.
+
+    With ``ends`` also ``v_min, v_max`` and the number of rows ``total``, nulls among them.
+    """
+    counted = df.select(*by, value.alias("_v")).groupBy(*by, "_v").agg(
+        F.count("_v").alias("_c"), *([F.count(F.lit(1)).alias("_rows")] if ends else [])
     )  # nulls count nothing, but a group of nulls stays a group
     keyed = counted if by else counted.withColumn("_all", F.lit(0))
     ranked = Ordered(keyed, by or ["_all"], ["_v"]).add(
@@ -38,6 +41,8 @@ def rank_values(
             F.max(F.when((start <= hi) & (F.col("_cum") > hi), F.col("_v"))).alias(f"{name}_hi"),
             F.max(pos - lo).alias(f"{name}_w"),
         ]
+    if ends:
+        picks += [F.min("_v").alias("v_min"), F.max("_v").alias("v_max"), F.sum("_rows").alias("total")]
     out = ranked.groupBy(*by) if by else ranked.groupBy()
     return out.agg(F.max("_n").alias("n"), *picks)
 
@@ -61,7 +66,7 @@ def exact_quantiles(
 
 
 def exact_median_decimal(df: DataFrame, by: Sequence[str], value: Column, name: str) -> DataFrame:
-    """Median in decimal arithmetic, as report cells need it."""
-    ranked = rank_values(df, by, value.cast("decimal(28,10)"), {name: 0.5})
+    """Median in decimal arithmetic, as report cells need it, with ``n, v_min, v_max, total``."""
+    ranked = rank_values(df, by, value.cast("decimal(28,10)"), {name: 0.5}, ends=True)
     half = ((F.col(f"{name}_lo") + F.col(f"{name}_hi")) / F.lit(2)).cast("decimal(28,11)")
-    return ranked.select(*by, "n", half.alias(name))
+    return ranked.select(*by, "n", "v_min", "v_max", "total", half.alias(name))

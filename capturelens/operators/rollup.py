@@ -15,13 +15,9 @@ from .quantiles import exact_median_decimal, exact_quantiles
 def median_range(df: DataFrame, by: Sequence[str], value: Column, kind: str, name: str) -> DataFrame:
     """Cell text ``median [min–max] (n = k)`` over the values that are determined."""
     keyed = df.select(*by, as_decimal(value).cast("decimal(28,10)").alias("_v"))
-    ends = keyed.groupBy(*by).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-        F.count("_v").alias("_k"), F.count(F.lit(1)).alias("_total"),
-    )
-    mid = exact_median_decimal(keyed, by, F.col("_v"), "_mid").drop("n")
-    cell = shown_range(*[F.col(c) for c in ("_mid", "_lo", "_hi", "_k", "_total")], kind)
-    return ends.join(mid, list(by), "left").select(*by, cell.alias(name))
+    ranked = exact_median_decimal(keyed, by, F.col("_v"), "_mid")
+    cell = shown_range(*[F.col(c) for c in ("_mid", "v_min", "v_max", "n", "total")], kind)
+    return ranked.select(*by, cell.alias(name))
 
 
 def mean_range(value: Column, digits: int) -> Column:

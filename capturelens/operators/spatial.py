@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .ordered import attach
+from .ordered import Ordered, attach, following, last_known, ordinal
 
 CELL_SITES = 64  # places in a leaf, at most
 FINER = 3  # halvings that cells with more places take at once
+DIRECTIONS = 24  # in which extreme points are looked for
 DEEPEST = 40  # halvings of the extent; places in one cell of that grid differ in their last bits only
 
 
@@ -260,50 +261,94 @@ def _chain(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(ordered) + half(ordered[::-1])
 
 
+def _cross(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Positive where p lies left of the line from a to b."""
+    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+
+def _between(points: list[tuple[float, float]], a: tuple[float, float], b: tuple[float, float]) -> list[tuple[float, float]]:
+    """Hull corners from a (with it) to b (without it), counter-clockwise; the points lie right of a to b."""
+    ring = _chain([a, b, *points])
+    ring = ring[ring.index(a):] + ring[: ring.index(a)]
+    return ring[: ring.index(b)]
+
+
 def hull_corners(points: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Hull corners of each group, in order; partial hulls are built where the rows are.
+    """Hull corners of each group, numbered counter-clockwise.
 
-    The hull of a union is the hull of the partial hulls, so each task first reduces its own rows
-    and only corners are shuffled, first by (group, salt), then by group.
+    The extreme points in fixed directions are corners. What lies inside their polygon goes before anything is
+    shuffled; the rest lies outside one of its sides, and the corners between the two ends of a side depend on
+    the points outside that side only. So a group is dealt over as many tasks as it has sides, and each task
+    reduces its own rows first. Points that are not finite are left out.
     """
-    kind = points.schema[group].dataType.simpleString()
-    schema = f"{group} {kind}, x double, y double, corner int"
-
-    def corners(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = _chain(list(zip(pdf["x"], pdf["y"])))
-        return pd.DataFrame(
-            [(key[0], px, py, i) for i, (px, py) in enumerate(hull)],
-            columns=[group, "x", "y", "corner"],
-        )
+    flat = points.select(group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(_finite(["x", "y"]))
+    at = [2 * math.pi * i / DIRECTIONS for i in range(DIRECTIONS)]
+    p = F.struct("x", "y")
+    ends = flat.groupBy(group).agg(F.array(*[
+        F.max_by(p, F.struct(F.col("x") * math.cos(d) + F.col("y") * math.sin(d), "x", "y")) for d in at]).alias("_ends"))
+    sides = ends.select(group, F.array_distinct("_ends").alias("_ends"))
+    placed = attach(flat, ends, [group])
+    e = F.col("_ends")
+    side = F.lit(None).cast("int")
+    for i in reversed(range(DIRECTIONS)):
+        a, b = e[i], e[(i + 1) % DIRECTIONS]
+        side = F.when(_cross(a["x"], a["y"], b["x"], b["y"], F.col("x"), F.col("y")) < 0, i).otherwise(side)
+    a, b = F.get(e, F.col("side")), F.get(e, (F.col("side") + 1) % DIRECTIONS)
+    outer = placed.withColumn("side", side).where("side IS NOT NULL").select(
+        group, "side", "x", "y", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
+    kind = flat.schema[group].dataType.simpleString()
+    ends_of = ["ax", "ay", "bx", "by"]
+
+    def corners(pdf: pd.DataFrame) -> tuple[list[tuple[float, float]], tuple]:
+        ax, ay, bx, by = pdf[ends_of].iloc[0].tolist()
+        return _between(list(zip(pdf["x"].tolist(), pdf["y"].tolist())), (ax, ay), (bx, by)), (ax, ay, bx, by)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, part in pdf.groupby(group, sort=False):
-                yield corners((key,), part)
-
-    flat = points.select(group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    local = flat.mapInPandas(partial, schema)
-    salted = local.withColumn("_salt", F.pmod(F.xxhash64("x", "y"), F.lit(64)))
-    some = salted.groupBy(group, "_salt").applyInPandas(corners, schema)
-    return some.groupBy(group).applyInPandas(corners, schema)
+            for (g, s), part in pdf.groupby([group, "side"], sort=False, dropna=False):
+                found, tail = corners(part)
+                if len(found) > 1:
+                    yield pd.DataFrame([(part[group].iloc[0], s, px, py, *tail) for px, py in found[1:]], columns=[group, "side", "x", "y", *ends_of])
 
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, _ = corners(pdf)
+        return pd.DataFrame(
+            [(pdf[group].iloc[0], pdf["side"].iloc[0], i + 1, px, py) for i, (px, py) in enumerate(found[1:])],
+            columns=[group, "side", "place", "x", "y"])
 
-def points_in_hull(points: DataFrame, hulls: DataFrame, group: str, x: str, y: str, point_id: str) -> DataFrame:
-    """Points and whether the hull of their group holds them (its border counts as inside)."""
-    ring = hulls.groupBy(group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("corner", "x", "y"))), lambda s: F.struct(s["x"], s["y"])).alias("_ring")
-    )
-
-    def inside(ring_: Column) -> Column:
-        n = F.size(ring_)
+    local = outer.mapInPandas(partial, f"{group} {kind}, side int, x double, y double, ax double, ay double, bx double, by double")
+    chains = local.groupBy(group, "side").applyInPandas(final, f"{group} {kind}, side int, place int, x double, y double")
+    firsts = ends.select(group, F.posexplode("_ends").alias("side", "_e")).groupBy(group, "_e").agg(F.max("side").alias("side"), F.min("side").alias("_low"))
+    # a corner that is extreme in the last and in the first directions stands before the first side
+    wraps = (F.col("side") == DIRECTIONS - 1) & (F.col("_low") == 0)
+    run = firsts.withColumn("side", F.when(wraps, -1).otherwise(F.col("side")))
+    run = attach(run, sides.select(group, F.size("_ends").alias("_m")), [group])
+    run = run.withColumn("side", F.when(F.col("_m") == 1, 0).otherwise(F.col("side")))
+    every = run.select(group, "side", F.lit(0).alias("place"), "_e.x", "_e.y").unionByName(chains)
+    return Ordered(every, [group], ["side", "place"]).add(corner=ordinal()).df.select(group, "x", "y", F.col("corner").cast("int").alias("corner"))
 
-        def left_of(i: Column) -> Column:
-            a, b = ring_[i], F.get(ring_, (i + 1) % n)
-            cross = (b["x"] - a["x"]) * (F.col(y) - a["y"]) - (b["y"] - a["y"]) * (F.col(x) - a["x"])
-            return cross >= -1e-12
 
-        return (n >= 3) & F.forall(F.sequence(F.lit(0), n - 1), left_of)
+def points_in_hull(points: DataFrame, hulls: DataFrame, group: str, x: str, y: str, point_id: str) -> DataFrame:
+    """Points and whether the hull of their group holds them (its border counts as inside).
 
-    return points.join(ring, group, "left").select(
-        group, point_id, F.coalesce(inside(F.col("_ring")), F.lit(False)).alias("inside")
-    )
+    Seen from a place inside the hull, a point is compared with the one side it stands behind, found as the last
+    corner before its angle. Groups of fewer than three corners hold nothing, points that are not finite are
+    outside.
+    """
+    first = F.min_by(F.struct("x", "y"), "corner")
+    facts = hulls.groupBy(group).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.count(F.lit(1)).alias("_n"), first.alias("_first"))
+    facts = facts.where("_n >= 3").drop("_n")
+    angle = lambda a, b: F.atan2(b - F.col("_my"), a - F.col("_mx"))
+    then = Ordered(hulls, [group], ["corner"]).add(_next=following(F.struct("x", "y"))).df
+    ring = attach(then, facts, [group]).where("_mx IS NOT NULL").withColumns({
+        "_angle": angle(F.col("x"), F.col("y")), "_side": F.struct(F.struct("x", "y").alias("a"), F.coalesce("_next", "_first").alias("b"))})
+    before = ring.groupBy(group).agg(F.max_by("_side", "_angle").alias("_side")).select(group, F.lit(-10.0).alias("_angle"), "_side")
+    sides = ring.select(group, "_angle", "_side").unionByName(before)
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    asked = attach(points.select(group, point_id, px.alias("_x"), py.alias("_y")), facts, [group])
+    asked = asked.select(group, F.coalesce(angle(F.col("_x"), F.col("_y")), F.lit(-20.0)).alias("_angle"), F.lit(1).alias("_asked"), point_id, "_x", "_y")
+    both = sides.withColumn("_asked", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    met = Ordered(both, [group], ["_angle", "_asked", point_id]).add(_s=last_known(F.col("_side"))).df.where("_asked = 1")
+    a, b = F.col("_s.a"), F.col("_s.b")
+    left = _cross(a["x"], a["y"], b["x"], b["y"], F.col("_x"), F.col("_y")) >= -1e-12
+    return met.select(group, point_id, F.coalesce(left & _finite(["_x", "_y"]), F.lit(False)).alias("inside"))

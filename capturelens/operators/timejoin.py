@@ -7,6 +7,7 @@ spread over many tasks. Interval joins bucket time, so only rows that share a bu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,13 +77,13 @@ def _length_class(start: Column, end: Column, width: float) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((end - start).cast("double") / width, F.lit(1.0))))).cast("int")
 
 
-def _spread(df: DataFrame, start: Column, end: Column, width: float, classes: Sequence[int]) -> DataFrame:
+def _spread(df: DataFrame, start: Column, end: Column, width: float, classes: DataFrame) -> DataFrame:
     """Each interval once or twice in every length class from its own on: ``_own, _class, _bucket``.
 
     The buckets of a class are as wide as its longest interval, so none lies in more than two of them.
     """
-    own = df.withColumn("_own", _length_class(start, end, width))
-    wider = own.withColumn("_class", F.explode(F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c >= F.col("_own"))))
+    own = df.withColumn("_own", _length_class(start, end, width)).crossJoin(F.broadcast(classes))  # one row
+    wider = own.withColumn("_class", F.explode(F.filter("_classes", lambda c: c >= F.col("_own")))).drop("_classes")
     return wider.withColumn("_bucket", F.explode(F.sequence(_bucket(start, width), F.greatest(_bucket(start, width), _bucket(end, width)))))
 
 
@@ -90,12 +91,10 @@ def _bucket(t: Column, width: float) -> Column:
     return F.floor(t / (F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_class")))).cast("bigint")
 
 
-def _classes_of(*sides: tuple[DataFrame, Column, Column], width: float) -> list[int]:
-    """The length classes that occur: a few dozen at most, as lengths double from one to the next."""
-    found: set[int] = {0}
-    for df, start, end in sides:
-        found |= {r[0] for r in df.select(_length_class(start, end, width)).distinct().collect() if r[0] is not None}
-    return sorted(found)
+def _classes_of(*sides: tuple[DataFrame, Column, Column], width: float) -> DataFrame:
+    """One row ``_classes``: the length classes that occur, a few dozen at most, as lengths double from one to the next."""
+    found = [df.select(_length_class(start, end, width).alias("_c")) for df, start, end in sides]
+    return reduce(DataFrame.union, found).agg(F.array_sort(F.collect_set("_c")).alias("_classes"))
 
 
 def overlap_pairs(
@@ -148,7 +147,7 @@ def within_intervals(
 ) -> DataFrame:
     """Points inside a closed interval of their group; the interval's columns are attached."""
     classes = _classes_of((intervals, F.col(span[0]), F.col(span[1])), width=width)
-    every = points.withColumn("_class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    every = points.crossJoin(F.broadcast(classes)).withColumn("_class", F.explode("_classes")).drop("_classes")  # one row
     spread = _spread(intervals, F.col(span[0]), F.col(span[1]), width, classes).where("_class = _own").drop("_own")
     return (
         every.withColumn("_bucket", _bucket(F.col(t), width)).join(spread, [*by, "_class", "_bucket"])

@@ -65,8 +65,12 @@ def _(t):
     return spt.points_in_boxes(photos(t), boxes, "s_suppkey", "x", "y", 50.0).select("s_suppkey", "n_inside")
 
 
-# A site is outside its nation's hull of photos when some line through it leaves all of them on one side.
-@query("jon14_points_in_hull")
+# A site is outside its nation's hull of photos when, seen from it, they leave a gap of more than half a turn.
+@query("jon14_points_in_hull", f"""WITH {SITES}, f AS (SELECT c_nationkey AS g, x, y FROM customer JOIN qs USING (c_custkey)), p AS (SELECT s_nationkey AS g, s_suppkey, x, y FROM supplier JOIN ss USING (s_suppkey)),
+  a AS (SELECT p.g, s_suppkey, f.x = p.x AND f.y = p.y AS same, atan2(f.y - p.y, f.x - p.x) AS a FROM p JOIN f USING (g)),
+  gaps AS (SELECT s_suppkey, same, CASE WHEN NOT same THEN coalesce(lead(a) OVER w, first_value(a) OVER w + 2 * pi()) - a END AS gap FROM a WINDOW w AS (PARTITION BY s_suppkey, same ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  i AS (SELECT s_suppkey, bool_or(same) OR max(gap) <= pi() + 1e-9 AS inside FROM gaps GROUP BY s_suppkey)
+  SELECT p.g, count(*) AS n_gcp, CAST(count(*) FILTER (inside) AS BIGINT) AS inside FROM p LEFT JOIN i USING (s_suppkey) GROUP BY p.g""")
 def _(t):
     flown = t.customer.join(photos(t), "c_custkey").select(F.col("c_nationkey").alias("g"), "x", "y")
     hulls = spt.hull_corners(flown, "g", "x", "y")

@@ -68,3 +68,49 @@ def test_nearest_without_answers(spark):
     got = spt.nearest(some, some.withColumnRenamed("q", "s"), ["g"], ["x"], "q", "s", k=2).collect()
     assert [(r.q, r.s, r.dist) for r in got] == [(1, 1, 0.0)]
     assert spt.nearest(some.drop("g"), some.drop("g").withColumnRenamed("q", "s"), [], ["x"], "q", "s").count() == 2
+
+
+def plain_hull(points):
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
+
+    def half(seq):
+        out = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return half(ordered) + half(ordered[::-1])
+
+
+def test_hulls_and_points_in_them(spark):
+    """A circle (every point a corner), a cloud, a grid, a line, one place, two places, a null group."""
+    rng = np.random.default_rng(2)
+    turn = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    groups = {
+        1: np.stack([np.cos(turn), np.sin(turn)], axis=1) * 1000, 2: rng.normal(0, 5, (500, 2)), 3: np.array([(i, j) for i in range(9) for j in range(7)], float),
+        4: np.array([(i, 2 * i) for i in range(10)], float), 5: np.full((6, 2), 3.0), 6: np.array([(0.0, 0.0), (1.0, 1.0)]), None: rng.random((40, 2)),
+    }
+    rows = [(g, float(a), float(b)) for g, ps in groups.items() for a, b in ps]
+    df = spark.createDataFrame(rows + [(2, float("nan"), 1.0), (2, None, 1.0)], "g bigint, x double, y double").repartition(5)
+    corners = spt.hull_corners(df, "g", "x", "y")
+    got = {}
+    for r in corners.orderBy("corner").collect():
+        got.setdefault(r.g, []).append((r.x, r.y))
+    for g, ps in groups.items():
+        want = plain_hull([tuple(map(float, p)) for p in ps])
+        assert set(got[g]) == set(want) and len(got[g]) == len(want), g
+        at = want.index(got[g][0])
+        assert got[g] == want[at:] + want[:at] or len(want) < 3
+    asked = [(g, i, float(a), float(b)) for i, g in enumerate([1, 2, 3, 4, None] * 40) for a, b in [rng.normal(3, 4, 2) * (200 if g == 1 else 0.2 if g is None else 1)]]
+    asked += [(3, 1000, 8.0, 3.0), (3, 1001, 8.0001, 3.0), (3, 1002, 0.0, 0.0), (2, 1003, float("nan"), 0.0), (9, 1004, 0.0, 0.0), (3, 1005, 4.0, 3.0)]
+    points = spark.createDataFrame(asked, "g bigint, q bigint, x double, y double")
+    inside = {r.q: r.inside for r in spt.points_in_hull(points, corners, "g", "x", "y", "q").collect()}
+    for g, q, a, b in asked:
+        ring = plain_hull([tuple(map(float, p)) for p in groups.get(g, [])])
+        held = len(ring) > 2 and all(
+            (bx - ax) * (b - ay) - (by - ay) * (a - ax) >= -1e-9 for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
+        assert inside[q] == held, (g, q)
