@@ -5,8 +5,9 @@ trees: a node deals its documents out by their minwise token at coordinates that
 average one divided by the similarity sought, so that similar documents keep meeting while others part.
 Small nodes are compared exhaustively by signatures, large ones in blocks first. What the signatures
 let through is confirmed on the full shingle sets. Large nodes whose documents are then not all linked
-go on: documents outside the node's largest group meet all others, after branching again where they are
-many. Links leave a block as a spanning forest, so a group of copies gives as many rows as it has members.
+go on: a few documents outside the node's largest group meet all others, and where they are many the node
+branches again, level by level, until its nodes are small, of one group, or have only a few such documents. Links
+leave a block as a spanning forest, so a group of copies gives as many rows as it has members.
 
 With 16 trees a pair of exactly the similarity sought is missed by all of them with a chance of about
 2e-6, and lost by its signature with one of about 1e-5.
@@ -21,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .work import Forest, components, written
@@ -30,7 +31,7 @@ TREES = 16
 COORDINATES = 128  # of a signature
 LEAF = 64  # documents of a node that are compared exhaustively
 BLOCK = 256  # documents of a block of a larger node
-LEVELS = 4
+LEVELS = 96  # of branching; no more, so that documents that never part are told apart by comparing them all
 DEVIATIONS = 4.2  # by which a signature may underestimate
 KEPT_WORDS = 500_000
 
@@ -106,9 +107,9 @@ def sketcher(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 roots.append(least[:TREES].tobytes())
                 signs.append(signature(least).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(roots, pa.binary()), pa.array(signs, pa.binary())],
-                ["doc_id", "n", "digest", "roots", "sign"],
+                ["doc_id", "mark", "n", "digest", "roots", "sign"],
             )
 
     return sketch
@@ -154,7 +155,7 @@ def branching(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def shared_nodes(members: DataFrame) -> DataFrame:
     """``node, doc, n`` of nodes with at least two documents; small nodes with the same documents count once."""
-    marks = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    marks = [F.sum(F.shiftright(F.xxhash64("doc", F.lit(i)), 24)).alias(f"x{i}") for i in range(2)]
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), *marks)
     sizes = sizes.where("n > 1").withColumn("own", F.when(F.col("n") > LEAF, F.col("node")))
     once = sizes.groupBy("n", "lo", "hi", "x0", "x1", "own").agg(F.min("node").alias("node")).select("node", "n")
@@ -289,7 +290,7 @@ def confirmed(needs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 def small_blocks_once(needs: DataFrame) -> DataFrame:
     """Blocks with the same documents count once."""
-    marks = [F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    marks = [F.sum(F.shiftright(F.xxhash64("doc", F.lit(i)), 24)).alias(f"x{i}") for i in range(2)]
     sets = needs.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *marks)
     return needs.join(sets.groupBy("n", "x0", "x1").agg(F.min("block").alias("block")).select("block"), "block")
 
@@ -334,12 +335,12 @@ def unlinked_blocks(large: DataFrame, labels: DataFrame, signs: DataFrame, simil
     for level in range(1, LEVELS + 1):
         wide = written(wide, "large-nodes")
         counts = open_counts(wide)
-        many = counts.where(F.col("n_open") > BLOCK)
+        many = written(counts.where(F.col("n_open") > BLOCK).select("node"), "wide-nodes")
         if level == LEVELS or many.isEmpty():
-            out.append(large_blocks(wide, counts))
+            out.append(written(large_blocks(wide, counts), "blocks"))
             break
-        out.append(large_blocks(wide, counts.where(F.col("n_open") <= BLOCK)))
-        below = wide.join(many.select("node"), "node", "left_semi").join(signs, "doc").select("node", "doc", "sign")
+        out.append(written(large_blocks(wide, counts.where(F.col("n_open") <= BLOCK)), "blocks"))
+        below = wide.join(many, "node", "left_semi").join(signs, "doc").select("node", "doc", "sign")
         below = written(below.mapInArrow(branching(similarity), "node bigint, doc bigint"), "nodes")
         children = written(shared_nodes(below).join(labels, "doc").select("node", "doc", "label", "n"), "nodes")
         out.append(torn_blocks(children.where(F.col("n") <= LEAF).select(F.col("node").alias("block"), "doc", "label")))
@@ -359,12 +360,22 @@ def near_groups(
     group of its own equal set, and is its own when no row of that set has an id. An empty table gives
     no rows, other columns are not looked at, and no text is cut.
     """
+    return marked_groups(docs, id_col, text_col, words, similarity).drop("mark")
+
+
+def text_mark(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def marked_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``near_groups`` with the ``mark`` of each row's text."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = written(rows.mapInArrow(
-        sketcher(words), "doc_id bigint, n bigint, digest binary, roots binary, sign binary"), "sketches")
+    sketches = written(rows.select("*", text_mark(F.col("text")).alias("mark")).mapInArrow(
+        sketcher(words), "doc_id bigint, mark binary, n bigint, digest binary, roots binary, sign binary"), "sketches")
     equal = sketches.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"))
     sets = written(
-        sketches.join(equal.where("doc is not null"), "digest").where("doc_id = doc").select("doc", "roots", "sign"), "sets"
+        sketches.join(equal.where("doc is not null"), "digest").where("doc_id = doc")
+        .groupBy("doc", "digest").agg(F.first("roots").alias("roots"), F.first("sign").alias("sign")), "sets"
     )
     signs = sets.select("doc", "sign")
 
@@ -383,27 +394,39 @@ def near_groups(
     links = written(confirmed(needs.withColumn("label", F.col("doc")), texts, words, similarity), "links")
     roots = components(links)
 
+    # blocks in which a pair that looked similar is not linked: other pairs of theirs may be
     labels = looked_at.join(roots, F.col("doc") == F.col("member"), "left").select(
         "doc", F.coalesce("root", "doc").alias("label"))
     labels = written(labels, "labels")
-    mine = few.join(labels.join(needs.select("doc").distinct(), "doc", "left_semi"), "doc")
+    ends = [labels.select(F.col("doc").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"]
+    failed = pairs.join(ends[0], "a").join(ends[1], "b").where("label_a <> label_b").select("block").distinct()
+    mine = few.join(failed, "block", "left_semi").join(labels.join(needs.select("doc").distinct(), "doc", "left_semi"), "doc")
     again = torn_blocks(mine.select("block", "doc", "label")).union(unlinked_blocks(large, labels, signs, similarity))
     apart = by_block(again.join(signs, "doc").select("block", "doc", "sign", "label"))
     rest = written(apart.mapInArrow(unlinked(similarity), "block bigint, doc bigint"), "rest")
     if not rest.isEmpty():
-        more = confirmed(small_blocks_once(rest).join(labels, "doc"), texts, words, similarity)
+        more = written(confirmed(small_blocks_once(rest).join(labels, "doc"), texts, words, similarity), "links")
         roots = components(links.union(more))
 
-    own = sketches.select("doc_id", "n", "digest").join(equal, "digest", "left")
+    own = sketches.select("doc_id", "mark", "n", "digest").join(equal, "digest", "left")
     out = own.join(roots, F.col("doc") == F.col("member"), "left")
     reached = F.when(F.col("n") > 0, F.coalesce("root", "doc")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), reached.alias("component_id"),
-        F.col("doc_id").eqNullSafe(reached).alias("kept"),
+        F.col("doc_id").eqNullSafe(reached).alias("kept"), "mark",
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of each group with all its columns (see ``near_groups``)."""
-    kept = near_groups(docs, id_col, text_col, **how).where("kept").select("doc_id").distinct().hint("merge")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of each group with all its columns (see ``near_groups``).
+
+    Of rows that share the id that stays, the one with the smallest digest of its text; of rows with a null id
+    that belong to no group of rows with one, one for each text. No rows of an empty table.
+    """
+    kept = marked_groups(docs, id_col, text_col, **how).where("kept").select("doc_id", "mark").distinct().hint("merge")
+    ours = docs[id_col].eqNullSafe(kept["doc_id"]) & (text_mark(docs[text_col]) == kept["mark"])
+    stays = docs.join(kept, ours, "left_semi")
+    row, mark = F.struct(*[stays[c] for c in docs.columns]).alias("row"), text_mark(stays[text_col]).alias("mark")
+    one = Window.partitionBy("id", F.when(F.col("id").isNull(), F.col("mark"))).orderBy("mark")
+    first = stays.select(row, stays[id_col].alias("id"), mark).withColumn("place", F.row_number().over(one)).where("place = 1")
+    return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -118,3 +118,19 @@ def test_nulls_empty_short_and_repeated_rows(documents):
     nulls = [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None]
     assert sorted(nulls, key=repr) == [(4, False), (None, True)]
     assert near_groups(documents([])).count() == 0
+
+
+def test_one_row_of_each_group_stays(documents):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (3, text), (3, "quite another text than the others"), (4, text + " end"), (None, "of no id at all"), (None, "of no id at all"), (None, text), (9, None), (9, None)]
+    left = near_text.drop_near_copies(documents(rows), words=4)
+    assert left.columns == documents(rows).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert [g[0] for g in got] == [3, 9, None] and got[-1][1] == "of no id at all"
+
+
+def test_even_repeats_and_small_equal_nodes(documents):
+    """Every row twice: the nodes' marks must describe sets."""
+    texts = family(random.Random(4), 12, 40, 0.04) + family(random.Random(6), 12, 40, 0.04)
+    rows = list(enumerate(texts)) * 2
+    assert result(near_groups(documents(rows), words=4)) == brute(dict(rows).items(), 4)
