@@ -13,13 +13,14 @@ from ..operators import rollup as ru
 from ..operators import sampling as sp
 from ..operators import tables as tb
 from ..operators.ordered import Ordered, attach, running_sum
+from ..operators.populations import Population, population_table, population_values
 from ..operators.quantiles import exact_quantiles
 from ..sources import sinks as sk
 from .bindings import NUMBERED, RUNS, VIEWS
 from .queries_geometry import moved_pairs, nearest_site
 from .queries_raster import REGION, regions
 from .queries_scalar import dec
-from .queries_study import ARMS, RATES, REPEAT, append_kinds, APPEND, arms, range_sql, rates, repeat_runs, rounded
+from .queries_study import ARMS, COUNTED, RATES, REPEAT, append_kinds, APPEND, arms, range_sql, rates, repeat_runs, rounded
 from .queries_time import GAPS, TWO, _gaps
 from .registry import query
 
@@ -164,6 +165,66 @@ def _(t):
     return rows.groupBy("pop").agg(F.count(F.lit(1)).alias("sequences")).join(cell, "pop")
 
 
+# Three sources: runs with their largest model, quality per run, one row per run and seed.
+POPULATIONS = [
+    Population("urg", "urgent, done", "runs", "status = 'F' AND condition = '1-URGENT'"),
+    Population("urg", "urgent, open", "runs", "status = 'O' AND condition = '1-URGENT'"),
+    Population("hig", "high, done", "runs", "status = 'F' AND condition = '2-HIGH'"),
+    Population("hig", "high, open", "runs", "status = 'O' AND condition = '2-HIGH'"),
+    Population("all", "pending", "runs", "status = 'P'"),
+    Population("all", "every run", "runs", "true"),
+    Population("med", "medium with stills only", "runs", "condition = '3-MEDIUM'", hidden=("models", "share")),
+    Population("low", "low, first sequences", "runs", "condition = '5-LOW' AND sequence < 50", hidden=("share",)),
+    Population("qua", "quality of short runs", "quality", "models < 3"),
+    Population("qua", "quality of long runs", "quality", "models >= 3"),
+    Population("qua", "quality, many given", "quality", "given > 30"),
+    Population("see", "first seed", "seeds", "seed = 1"),
+    Population("see", "other seeds", "seeds", "seed <> 1"),
+    Population("see", "returned seeds", "seeds", "flag = 'R'"),
+    Population("vld", "point clouds", "quality", "models < 0"),
+]
+POP_VALUES = {"given": "f2", "models": "count", "share": "f2"}
+POP_SOURCES = f"""{REPEAT}, src_runs AS (SELECT status, condition, sequence, largest AS given, n_lines AS models, round(largest / n_lines, 6) AS share FROM rr),
+  src_quality AS (SELECT round(avg(l_quantity), 6) AS given, count(*) AS models, CAST(NULL AS DOUBLE) AS share FROM lineitem GROUP BY l_orderkey),
+  src_seeds AS (SELECT l_linenumber AS seed, l_returnflag AS flag, l_quantity AS given, CAST(NULL AS BIGINT) AS models, l_discount AS share FROM lineitem)"""
+
+
+def population_sources(t):
+    li = t.lineitem
+    return {
+        "runs": repeat_runs(t).select("status", "condition", "sequence", F.col("largest").alias("given"), F.col("n_lines").alias("models"),
+                                      r6(F.col("largest") / F.col("n_lines")).alias("share")),
+        "quality": li.groupBy("l_orderkey").agg(r6(F.avg("l_quantity")).alias("given"), F.count(F.lit(1)).alias("models")),
+        "seeds": li.select(F.col("l_linenumber").alias("seed"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("given"), F.col("l_discount").alias("share")),
+    }
+
+
+def population_sql():
+    """One row per population and value: counts, ends and median of the rows for which its rule holds."""
+    one = "SELECT {i} AS i, '{v}' AS value, count(*) AS n, count({v}) AS k, CAST(min({v}) AS DECIMAL(28,11)) AS lo, CAST(max({v}) AS DECIMAL(28,11)) AS hi, CAST(median(CAST(CAST({v} AS VARCHAR) AS DECIMAL(28,11))) AS DECIMAL(28,11)) AS mid FROM src_{s} WHERE {r}"
+    return " UNION ALL ".join(one.format(i=i, v=v, s=p.source, r=p.rule) for i, p in enumerate(POPULATIONS) for v in POP_VALUES)
+
+
+POP_NAMES = "(VALUES " + ", ".join(f"({i}, '{p.code}', '{p.name}', '{p.source}')" for i, p in enumerate(POPULATIONS)) + ") AS names(i, code, pop, source)"
+
+
+@query("agg51_fifteen_populations", f"""WITH {POP_SOURCES}, m AS ({population_sql()}) SELECT code, pop, source, value, n AS rows, k AS known, CAST(lo AS DOUBLE) AS lo, CAST(mid AS DOUBLE) AS mid, CAST(hi AS DOUBLE) AS hi FROM {POP_NAMES} JOIN m USING (i)""")
+def _(t):
+    out = population_values(population_sources(t), POPULATIONS, POP_VALUES)
+    return out.select("code", "pop", "source", "value", "rows", "known", *[F.col(c).cast("double").alias(c) for c in ("lo", "mid", "hi")])
+
+
+def population_cell(v):
+    hidden = [i for i, p in enumerate(POPULATIONS) if v in p.hidden]
+    text = range_sql(COUNTED if POP_VALUES[v] == "count" else rounded(2))
+    return f"max(CASE WHEN value = '{v}' THEN CASE WHEN i IN ({', '.join(map(str, hidden or [-1]))}) THEN '—' ELSE {text} END END) AS {v}"
+
+
+@query("rpt12_population_table", f"""WITH {POP_SOURCES}, m AS ({population_sql()}) SELECT code, pop, source, max(n) AS sequences, {', '.join(map(population_cell, POP_VALUES))} FROM {POP_NAMES} JOIN m USING (i) GROUP BY ALL""")
+def _(t):
+    return population_table(population_sources(t), POPULATIONS, POP_VALUES)
+
+
 @query("rpt12_registration_values", f"""WITH z AS (SELECT l_orderkey AS run, count(*) AS n_models, max(l_quantity) AS n, sum(l_quantity) AS total, string_agg(CAST(CAST(l_quantity AS INT) AS VARCHAR), ', ' ORDER BY l_quantity DESC) AS sizes, sum(l_extendedprice) AS p FROM lineitem GROUP BY 1)
   SELECT run, format('{{:,}}', CAST(n * 100 AS BIGINT)) || ' / ' || format('{{:,}}', CAST(total * 100 AS BIGINT)) AS registered, n_models || ' (' || sizes || ')' AS models, {dec('round(n / total, 9) * 100', 1)} || ' %' AS reg_rate,
     CASE WHEN n < 3 THEN 'failed' WHEN n / total < 0.5 OR n_models > 1 THEN 'partial' ELSE 'ok' END AS outcome FROM z""")
