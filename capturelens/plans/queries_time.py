@@ -8,6 +8,8 @@ from ..operators import sequence as sq
 from ..operators import timejoin as tj
 from ..operators.ordered import Ordered, following, ordinal
 from ..operators.spacing import spaced_frames
+from ..session import new_folder
+from ..sources.message_log import scan_chunks, write_chunks
 from .bindings import FRAMES, LOG, NUMBERED, POSES
 from .registry import query
 
@@ -357,3 +359,15 @@ def _(t):
 @query("rpt9_stationary_summary", EDGE)
 def _(t):
     return edge_summary(t)
+
+
+@query("src8_window_scan", f"""WITH {FRAMES}, b AS (SELECT min(t) AS a, max(t) AS z FROM frames)
+  SELECT seq, t, event_id, lum, kind FROM frames, b WHERE t BETWEEN a + (z - a) // 4 AND a + (z - a) // 3 AND kind IN ('click', 'view')""")
+def _(t):
+    log = t.frames.select("seq", "t", "event_id", "lum", "kind")
+    folder = new_folder(t.spark, "message-log")
+    write_chunks(log, folder, "t", "kind", chunks=24)
+    ends = log.agg(F.min("t").alias("a"), F.max("t").alias("z")).first()  # the window asked for: a twelfth of the log
+    a, span = (ends["a"], ends["z"] - ends["a"]) if ends["a"] is not None else (0, 0)
+    messages = scan_chunks(t.spark, folder, log.schema, "t", "kind")
+    return messages.where(F.col("t").between(a + span // 4, a + span // 3) & F.col("kind").isin("click", "view"))

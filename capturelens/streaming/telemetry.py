@@ -48,6 +48,39 @@ def select_on_event_time(
     )
 
 
+def rows_in_windows(
+    rows: DataFrame, windows: DataFrame, by: Sequence[str], header: str, arrival: str, start: str, end: str,
+    lag: str = "30 seconds", longest: str = "10 minutes", bucket: int = 60,
+) -> DataFrame:
+    """Rows of one stream in the windows of another: each row once for every window that holds its event stamp.
+
+    Windows may come before or after their rows and may overlap. Both wait in state until the watermark, ``lag``
+    behind the newest event stamps, has passed all they could still meet; windows are at most ``longest`` (longer
+    ones meet nothing before their last stretch of that length). ``late`` marks rows that arrived later than the
+    lag but still in time. Rows and windows meet in buckets of so many seconds, so a busy sequence is spread over
+    many tasks. Rows without a key or stamp are in no window.
+    """
+    place = lambda c: F.floor(F.unix_seconds(c) / bucket)
+    spread = windows.withWatermark(end, lag).withColumn("_at", F.explode(F.sequence(
+        place(F.greatest(F.col(start), F.col(end) - F.expr(f"INTERVAL {longest}"))), place(F.col(end)))))
+    keys = [F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]
+    named = spread.select(*keys, "_at", *[c for c in windows.columns if c not in by])
+    stamped = rows.withWatermark(header, lag).withColumn("_of", place(F.col(header)))
+    met = (F.col("_of") == F.col("_at")) & (F.col(header) >= F.col(start)) & (F.col(header) <= F.col(end))
+    met = met & (F.col(header) >= F.col(end) - F.expr(f"INTERVAL {longest}"))
+    for i, k in enumerate(by):
+        met = met & (F.col(k) == F.col(f"_k{i}"))
+    joined = stamped.join(named, met).drop("_of", "_at", *[f"_k{i}" for i in range(len(by))])
+    return joined.withColumn("late", F.col(arrival) - F.col(header) > F.expr(f"INTERVAL {lag}"))
+
+
+def closed_windows(joined: DataFrame, by: Sequence[str], window_id: str, end: str, value: str) -> DataFrame:
+    """One row per window once the watermark has passed its end and the lag: rows, late rows, mean and peak. Windows
+    without rows give none."""
+    return joined.groupBy(*by, window_id, end).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.avg(value).alias("mean"), F.max(value).alias("peak"))
+
+
 def dedup_within_lag(stream: DataFrame, keys: Sequence[str], header: str, lag: str = "30 seconds") -> DataFrame:
     """Drop messages sent again within the recording lag; older keys leave the state."""
     return stream.withWatermark(header, lag).dropDuplicatesWithinWatermark(list(keys))

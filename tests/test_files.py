@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from capturelens.operators.documents import document_tokens, number_labels
 from capturelens.sources import readers as rd
+from capturelens.sources.message_log import scan_chunks, write_chunks
 from capturelens.sources import sinks as sk
 
 
@@ -216,3 +217,20 @@ def test_report_cells(spark):
     assert sk.report_lines(good, ["x", "y"]).first()["line"] == "| a | 1 |"
     with pytest.raises(Exception, match="bad cell"):
         sk.report_lines(spark.createDataFrame([("a|b", 1)], "x string, y int"), ["x", "y"]).collect()
+
+
+def test_chunks_are_dropped_unopened(spark, tmp_path):
+    """A scan opens the chunks whose times and topics can match, and gives what a filter on the messages gives."""
+    rows = [(i, "odd" if i % 2 else "even" if i < 500 else "rare", float(i % 7)) for i in range(1000)] + [(None, "odd", 1.0), (5, None, 2.0)]
+    log = spark.createDataFrame(rows, "s int, topic string, v double").select(F.timestamp_seconds("s").alias("t"), "topic", "v", "s")
+    write_chunks(log, f"{tmp_path}/log", "t", "topic", 20)
+    scan = scan_chunks(spark, f"{tmp_path}/log", log.schema, "t", "topic")
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    cases = {
+        "all": (F.lit(True), 20, 20), "window": (F.col("t").between(at(310), at(340)), 1, 2), "topic": (F.col("topic") == "rare", 9, 12),
+        "both": ((F.col("t") < at(520)) & F.col("topic").isin("rare", "none"), 1, 3), "none": (F.col("t") > at(5000), 0, 0),
+    }
+    for name, (rule, least, most) in cases.items():
+        found = scan.where(rule)
+        assert sorted(map(str, found.collect())) == sorted(map(str, log.where(rule).collect())), name
+        assert least <= found.rdd.getNumPartitions() <= max(most, 1), name

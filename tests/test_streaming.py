@@ -105,3 +105,34 @@ def test_attempts_with_late_lines(spark, tmp_path):
     ended = batch.where("run = 1").count()
     want = batch.unionByName(after.withColumn("attempt", F.col("attempt") + ended))
     assert got == sorted((r.run, r.attempt, r.first_line, r.n_after, r.discarded) for r in want.collect())
+
+
+def test_windows_that_are_a_stream(spark, tmp_path):
+    """Early, late, overlapping and empty windows, late rows, two sequences: rows and closed windows equal the batch result."""
+    secs = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + F.col(c))
+    rows = [(i % 2, i, i + (25 if i % 10 == 0 else 40 if i % 37 == 5 else 2), float(i)) for i in range(600)] + [(None, 5, 6, 1.0)]
+    frames = spark.createDataFrame(rows, "seq int, h int, b int, v double").select("seq", "h", "b", secs("h").alias("header"), secs("b").alias("bag"), "v")
+    spans = [(0, "early", 200, 290), (0, "over", 250, 330), (1, "late", 60, 100), (1, "point", 301, 301), (0, "empty", 301, 301), (1, "open", 500, 2000)]
+    wins = spark.createDataFrame(spans, "seq int, name string, a int, z int").select("seq", "name", "a", "z", secs("a").alias("start"), secs("z").alias("end"))
+    parts = [frames.where("h < 120"), frames.where("h >= 120 AND h < 320"), frames.where("h >= 320")]
+    more = spark.createDataFrame([(7, s, s, 0.0) for s in (4000, 9000)], "seq int, h int, b int, v double").select("seq", "h", "b", secs("h").alias("header"), secs("b").alias("bag"), "v")
+    ends = spark.createDataFrame([(7, "end", s, s) for s in (4000, 9000)], "seq int, name string, a int, z int").select("seq", "name", "a", "z", secs("a").alias("start"), secs("z").alias("end"))
+    first = wins.where("name IN ('early', 'over', 'empty', 'open')")
+    wparts = [first.where("name IN ('early', 'over')"), first.where("name IN ('empty', 'open')").union(wins.where("name IN ('late', 'point')")), ends.limit(1), ends, ends]
+    for folder, summary in (("rows", False), ("sums", True)):
+        live = stream_of(spark, tmp_path, [*parts, more.where("h < 5000"), more], f"in-{folder}")
+        ws = stream_of(spark, tmp_path, wparts, f"win-{folder}")
+        met = st.rows_in_windows(live, ws, ["seq"], "header", "bag", "start", "end")
+        stream = st.closed_windows(met, ["seq"], "name", "end", "v") if summary else met
+        out = []
+        st.run_to_end(stream, lambda df: out.append(df.toPandas()), f"{tmp_path}/ck-{folder}")
+        got = collected(spark, out)
+        got = got[got["name"] != "end"]
+        want = {(s, n, h) for s, h, b, v in rows for t, n, a, z in spans if s == t and a <= h <= z and h >= z - 600}
+        if summary:
+            counts = {(s, n): sum((x[0], x[1]) == (s, n) for x in want) for s, n, _ in want}
+            assert dict(zip(zip(got["seq"], got["name"]), got["n"])) == counts
+            late = {(s, n): sum(b - h > 30 for t, h, b, _ in rows if (s, n, h) in want and t == s) for s, n in counts}
+            assert dict(zip(zip(got["seq"], got["name"]), got["n_late"])) == late
+        else:
+            assert {(s, n, h) for s, n, h in zip(got["seq"], got["name"], got["h"])} == want and len(got) == len(want)
