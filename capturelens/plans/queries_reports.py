@@ -12,6 +12,7 @@ from ..operators import pose as ps
 from ..operators import rollup as ru
 from ..operators import sampling as sp
 from ..operators import tables as tb
+from ..operators.audit import Registered, audit, audit_summary
 from ..operators.ordered import Ordered, attach, running_sum
 from ..operators.populations import Population, population_table, population_values
 from ..operators.quantiles import exact_quantiles
@@ -22,7 +23,7 @@ from .queries_raster import REGION, regions
 from .queries_scalar import dec
 from .queries_study import ARMS, COUNTED, RATES, REPEAT, append_kinds, APPEND, arms, range_sql, rates, repeat_runs, rounded
 from .queries_time import GAPS, TWO, _gaps
-from .registry import query
+from .registry import QUERIES, query
 
 
 def r6(c):
@@ -368,6 +369,48 @@ def audited(report, orders, lineitem):
         F.coalesce("condition", "_condition").alias("condition"), F.coalesce("n", "_n").alias("n"), reported.alias("reported"), "recomputed", agrees.alias("agrees"))
 
 
+def registered_cells(t):
+    """Cells of six reports with the routes by which they are worked out again from the raw tables."""
+    li, orders = t.lineitem, t.orders
+    runs = ru.repeat_summary(repeat_runs(t), "condition", "run", "largest", F.col("ok"), {"first_pairs": F.col("pair")})
+    repeats = recounted(orders, li)
+    repeats = repeats.select(*[F.col(c).alias(c.removeprefix("_")) for c in repeats.columns if c.startswith("_")])
+    per_user = t.events.groupBy(F.concat(F.lit("ev_"), F.col("user_id").cast("string")).alias("id")).agg(F.count("event_id").alias("n_total"))
+    steps = per_user.withColumn("k", F.when(F.col("n_total") < 120, 1).otherwise(F.expr("n_total div 60")))
+    frames = steps.withColumn("n_images", F.size(F.slice(F.sequence(F.lit(1).cast("bigint"), F.col("n_total"), F.col("k")), 1, 60)))
+    lines = orders.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy(F.col("o_orderkey").alias("run")).agg(
+        F.first("o_orderstatus").alias("outcome"), F.count("l_orderkey").alias("n"))
+    some = lambda c: F.when(c > 0, c)
+    halves = lines.select("run", "outcome", some(F.expr("(n + 1) div 2")).alias("interp_n_views"), some(F.expr("n div 2")).alias("block_n_views"))
+    best, total = F.max("l_quantity"), F.sum("l_quantity")
+    rates_ = li.groupBy(F.col("l_orderkey").alias("run")).agg(
+        F.concat(F.round((best * 100).cast("decimal(20,8)") / total.cast("decimal(20,8)"), 1).cast("decimal(10,1)").cast("string"), F.lit(" %")).alias("reg_rate"),
+        F.when(best < 3, "failed").when((best * 2 >= total) & (F.count(F.lit(1)) == 1), "ok").otherwise("partial").alias("outcome"))
+    tails = orders.groupBy(F.col("o_custkey").alias("sequence")).agg(F.least(F.count(F.lit(1)), F.lit(5)).alias("runs_done"))
+    counts = []
+    for name, df in population_sources(t).items():
+        mine = [p for p in POPULATIONS if p.source == name]
+        one = df.agg(F.array(*[F.struct(F.lit(p.name).alias("pop"), F.count(F.when(F.expr(p.rule), 1)).alias("sequences")) for p in mine]).alias("a"))
+        counts.append(one.select(F.explode("a").alias("a")).select("a.*"))
+    pops = counts[0].union(counts[1]).union(counts[2])
+    named = {n: QUERIES[n](t) for n in ("rpt1_sequences", "rpt3_quality_splits", "rpt8_tail_wide", "rpt12_registration_values", "rpt12_population_table")}
+    return [
+        Registered("repeats", runs.select("condition", *repeat_cells()), "condition", ["n", "success_count", "success_rate", "registered", "first_pairs"], repeats),
+        Registered("sequences", named["rpt1_sequences"], "id", ["n_total", "k", "n_images"], frames),
+        Registered("quality splits", named["rpt3_quality_splits"], "run", ["outcome", "interp_n_views", "block_n_views"], halves),
+        Registered("tail", named["rpt8_tail_wide"], "sequence", ["runs_done"], tails),
+        Registered("registration values", named["rpt12_registration_values"], "run", ["reg_rate", "outcome"], rates_),
+        Registered("populations", named["rpt12_population_table"], "pop", ["sequences"], pops),
+    ]
+
+
+@query("rpt20_cell_audit", f"""SELECT 'repeats' AS report, 5 * count(DISTINCT o_orderpriority) AS cells, 0 AS differing FROM orders
+  UNION ALL SELECT 'sequences', 3 * count(DISTINCT user_id), 0 FROM events UNION ALL SELECT 'quality splits', 3 * count(DISTINCT o_orderkey), 0 FROM orders
+  UNION ALL SELECT 'tail', count(DISTINCT o_custkey), 0 FROM orders UNION ALL SELECT 'registration values', 2 * count(DISTINCT l_orderkey), 0 FROM lineitem UNION ALL SELECT 'populations', {len(POPULATIONS)}, 0""")
+def _(t):
+    return audit_summary(audit(registered_cells(t)))
+
+
 # ---- sinks whose result is a frame
 
 @query("snk3_upsert", """SELECT c_custkey AS run, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_custkey, round(max(o_totalprice), 2) FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey""")
