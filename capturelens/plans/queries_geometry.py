@@ -217,12 +217,12 @@ def _(t):
     return ps.baseline_fraction(t.poses, t.poses, "seq", ["image"], XYZ).select("seq", r6(F.col("baseline_frac")).alias("baseline_frac"))
 
 
-@query("agg28_view_coverage", f"""WITH {POSES}, li AS (SELECT i, 1 - (2.0::DOUBLE * i + 1) / 2000 AS z, i * (pi() * (3 - sqrt(5.0))) AS phi FROM (SELECT unnest(range(2000)) AS i)),
+@query("agg28_view_coverage", f"""WITH {POSES}, li AS (SELECT i, 1 - (2.0::DOUBLE * i + 1) / 20000 AS z, i * (pi() * (3 - sqrt(5.0))) AS phi FROM (SELECT unnest(range(20000)) AS i)),
   g AS (SELECT i, sqrt(1 - z*z) * cos(phi) AS x, sqrt(1 - z*z) * sin(phi) AS y, z FROM li),
   h AS (SELECT DISTINCT seq, i FROM poses, g WHERE ax * x + ay * y + az * z >= cos(radians(15.0)))
-  SELECT seq, round(count(*) / 2000.0::DOUBLE * 4 * pi(), 6) AS coverage_sr FROM h GROUP BY seq""")
+  SELECT seq, round(count(*) / 20000.0::DOUBLE * 4 * pi(), 6) AS coverage_sr FROM h GROUP BY seq""")
 def _(t):
-    return ps.view_coverage(t.poses, "seq", AXIS, directions=2000).select("seq", r6(F.col("coverage_sr")).alias("coverage_sr"))
+    return ps.view_coverage(t.poses, "seq", AXIS, directions=20000).select("seq", r6(F.col("coverage_sr")).alias("coverage_sr"))
 
 
 @query("agg29_view_spread", f"""WITH {POSES}, m AS (SELECT seq, avg(ax) AS mx, avg(ay) AS my, avg(az) AS mz FROM poses GROUP BY seq),
@@ -247,13 +247,43 @@ def moved_pairs(t):
         "seq", "image", *XYZ, (2.5 * y + 1 + wobble).alias("dx"), (-2.5 * x + 2).alias("dy"), (2.5 * z - 3).alias("dz"))
 
 
-@query("agg32_similarity_alignment")
+def squared(n):
+    """A symmetric n x n matrix (a list ``m``) times itself, over its trace: the way to its largest eigenvector."""
+    one = f"list_transform(range({n * n}), lambda i: list_sum(list_transform(range({n}), lambda k: m[(i // {n}) * {n} + k + 1] * m[k * {n} + i % {n} + 1])))"
+    trace = "list_sum(list_transform(m, lambda x: x * x))"
+    return f"list_transform({one}, lambda x: x / {trace})"
+
+
+def top_vector(n):
+    """From m = v v' back to v, by its largest entry on the diagonal."""
+    best = f"list_position(list_transform(range({n}), lambda i: m[i * {n} + i + 1]), list_max(list_transform(range({n}), lambda i: m[i * {n} + i + 1])))"
+    return f"list_transform(range({n}), lambda j: m[({best} - 1) * {n} + j + 1] / sqrt(m[({best} - 1) * {n} + {best}]))"
+
+
+# The best rotation as a unit quaternion: the largest eigenvector of a symmetric 4 x 4 matrix, made positive by a shift.
+ALIGNED = f"""WITH RECURSIVE {POSES}, pr AS (SELECT seq, image, cx, cy, cz, 2.5 * cy + 1 + (image % 7 - 3) * 0.001 AS dx, -2.5 * cx + 2 AS dy, 2.5 * cz - 3 AS dz FROM poses),
+  mu AS (SELECT seq, count(*) AS n, avg(cx) AS mx, avg(cy) AS my, avg(cz) AS mz, avg(dx) AS ux, avg(dy) AS uy, avg(dz) AS uz FROM pr GROUP BY seq),
+  ctr AS (SELECT seq, cx - mx AS x, cy - my AS y, cz - mz AS z, dx - ux AS a, dy - uy AS b, dz - uz AS c FROM pr JOIN mu USING (seq)),
+  s AS (SELECT seq, sum(x*a) AS xx, sum(x*b) AS xy, sum(x*c) AS xz, sum(y*a) AS yx, sum(y*b) AS yy, sum(y*c) AS yz, sum(z*a) AS zx, sum(z*b) AS zy, sum(z*c) AS zz, sum(x*x + y*y + z*z) AS ss FROM ctr GROUP BY seq),
+  h AS (SELECT *, abs(xx) + abs(xy) + abs(xz) + abs(yx) + abs(yy) + abs(yz) + abs(zx) + abs(zy) + abs(zz) AS up FROM s),
+  pw AS (SELECT seq, 0 AS k, [up+xx+yy+zz, yz-zy, zx-xz, xy-yx, yz-zy, up+xx-yy-zz, xy+yx, zx+xz, zx-xz, xy+yx, up-xx+yy-zz, yz+zy, xy-yx, zx+xz, yz+zy, up-xx-yy+zz] AS m FROM h
+    UNION ALL SELECT seq, k + 1, {squared(4)} FROM pw WHERE k < 24),
+  q AS (SELECT seq, {top_vector(4)} AS q FROM pw WHERE k = 24),
+  r AS (SELECT seq, q[1]*q[1]+q[2]*q[2]-q[3]*q[3]-q[4]*q[4] AS r11, 2*(q[2]*q[3]-q[1]*q[4]) AS r12, 2*(q[2]*q[4]+q[1]*q[3]) AS r13, 2*(q[2]*q[3]+q[1]*q[4]) AS r21,
+    q[1]*q[1]-q[2]*q[2]+q[3]*q[3]-q[4]*q[4] AS r22, 2*(q[3]*q[4]-q[1]*q[2]) AS r23, 2*(q[2]*q[4]-q[1]*q[3]) AS r31, 2*(q[3]*q[4]+q[1]*q[2]) AS r32, q[1]*q[1]-q[2]*q[2]-q[3]*q[3]+q[4]*q[4] AS r33 FROM q),
+  f AS (SELECT *, (r11*xx + r12*yx + r13*zx + r21*xy + r22*yy + r23*zy + r31*xz + r32*yz + r33*zz) / ss AS sc FROM r JOIN s USING (seq) JOIN mu USING (seq)),
+  g AS (SELECT *, ux - sc*(r11*mx + r12*my + r13*mz) AS t0, uy - sc*(r21*mx + r22*my + r23*mz) AS t1, uz - sc*(r31*mx + r32*my + r33*mz) AS t2 FROM f),
+  e AS (SELECT seq, count(*) AS n_matched, sqrt(avg(pow(sc*(r11*cx + r12*cy + r13*cz) + t0 - dx, 2) + pow(sc*(r21*cx + r22*cy + r23*cz) + t1 - dy, 2) + pow(sc*(r31*cx + r32*cy + r33*cz) + t2 - dz, 2))) AS err, any_value(sc) AS sc FROM pr JOIN g USING (seq) GROUP BY seq)"""
+FLAGGED = "CASE WHEN n_matched BETWEEN 4 AND 7 THEN 'yes' ELSE '' END AS flagged"
+
+
+@query("agg32_similarity_alignment", f"{ALIGNED} SELECT seq, n, round(sc, 4) AS scale, round(t0, 4) AS t0, round(t1, 4) AS t1, round(t2, 4) AS t2 FROM g")
 def _(t):
     fit = ps.align_similarity(moved_pairs(t), "seq", XYZ, ["dx", "dy", "dz"])
     return fit.select("seq", "n", F.round("scale", 4).alias("scale"), *[F.round(F.col("shift")[i], 4).alias(f"t{i}") for i in range(3)])
 
 
-@query("agg33_trajectory_rmse")
+@query("agg33_trajectory_rmse", f"{ALIGNED} SELECT seq, n_matched, CASE WHEN n_matched >= 4 THEN round(err, 6) END AS ate_rmse, CASE WHEN n_matched >= 4 THEN round(sc, 4) END AS scale, {FLAGGED} FROM e")
 def _(t):
     out = ps.trajectory_error(moved_pairs(t), "seq", XYZ, ["dx", "dy", "dz"])
     return out.select("seq", "n_matched", r6(F.col("ate_rmse")).alias("ate_rmse"), F.round("scale", 4).alias("scale"), "flagged")
@@ -317,7 +347,12 @@ def axes(t):
     return cl.principal_axis(t.poses, "seq", XYZ).select("seq", F.col("ax").alias("ux"), F.col("ay").alias("uy"), F.col("az").alias("uz"))
 
 
-@query("cld7_principal_axis")
+AXES = f"""WITH RECURSIVE {POSES}, cv AS (SELECT seq, covar_pop(cx, cx) AS a, covar_pop(cx, cy) AS b, covar_pop(cx, cz) AS c, covar_pop(cy, cy) AS d, covar_pop(cy, cz) AS e, covar_pop(cz, cz) AS f FROM poses GROUP BY seq),
+  pw AS (SELECT seq, 0 AS k, [a, b, c, b, d, e, c, e, f] AS m FROM cv UNION ALL SELECT seq, k + 1, {squared(3)} FROM pw WHERE k < 24),
+  v AS (SELECT seq, {top_vector(3)} AS v FROM pw WHERE k = 24), ax AS (SELECT seq, list_transform(v, lambda x: CASE WHEN v[3] < 0 THEN -x ELSE x END) AS u FROM v)"""
+
+
+@query("cld7_principal_axis", f"{AXES} SELECT seq, round(u[1], 5) AS ux, round(u[2], 5) AS uy, round(u[3], 5) AS uz FROM ax")
 def _(t):
     return axes(t).select("seq", *[F.round(c, 5).alias(c) for c in ("ux", "uy", "uz")])
 
@@ -343,7 +378,7 @@ def _(t):
     return cl.pick_fractions(_ordered(t), [0.0, 0.25, 0.5, 0.75, 1.0]).select("seq", "fraction", "image")
 
 
-@query("cld8_axis_order")
+@query("cld8_axis_order", f"{AXES} SELECT seq, image, row_number() OVER (PARTITION BY seq ORDER BY cx * u[1] + cy * u[2] + cz * u[3], image) - 1 AS place FROM poses JOIN ax USING (seq)")
 def _(t):
     return cl.order_cameras(t.poses, axes(t), "seq", XYZ, ["ux", "uy", "uz"], "image").select("seq", "image", "place")
 

@@ -18,7 +18,7 @@ from ..operators.populations import Population, population_table, population_val
 from ..operators.quantiles import exact_quantiles
 from ..sources import sinks as sk
 from .bindings import NUMBERED, RUNS, VIEWS
-from .queries_geometry import moved_pairs, nearest_site
+from .queries_geometry import ALIGNED, FLAGGED, moved_pairs, nearest_site
 from .queries_raster import REGION, regions
 from .queries_scalar import dec
 from .queries_study import ARMS, COUNTED, RATES, REPEAT, append_kinds, APPEND, arms, range_sql, rates, repeat_runs, rounded
@@ -140,7 +140,8 @@ def _(t):
     return wide.join(good, "sequence").select("sequence", "runs_done", "successes", *[F.round(c, 4).alias(c) for c in cols])
 
 
-@query("rpt10_scale_anchors")
+@query("rpt10_scale_anchors", f"""{ALIGNED} SELECT seq, n_matched || ' / ' || n_matched AS matched, CASE WHEN n_matched >= 4 THEN {dec('round(err, 6)', 3)} ELSE '—' END AS ate_rmse_m,
+  CASE WHEN n_matched >= 4 THEN {dec('round(sc, 6)', 3)} ELSE '—' END AS scale_m_per_unit, {FLAGGED} FROM e""")
 def _(t):
     out = ps.trajectory_error(moved_pairs(t), "seq", ["cx", "cy", "cz"], ["dx", "dy", "dz"])
     cameras = t.poses.groupBy("seq").agg(F.count(F.lit(1)).alias("n_cameras"))
