@@ -133,16 +133,17 @@ def building(arity: int):
     depth = block_depth(arity)
 
     def build(table: pa.Table) -> pa.Table:
-        """The nodes of one block (grp, block, idx, n, digest) as one row; ``n`` nodes in the whole group."""
+        """The nodes of one block (grp, block, idx, digest) as one row. A first block that is not full is the only
+        one of its group and ends at its root; all others have every level of a block."""
         nodes = from_hex(table.sort_by("idx").column("digest").to_pylist())
-        n, levels, digests, states = table.column("n")[0].as_py(), [], [], []
-        for _ in range(min(depth, height(n, arity))):
+        levels, digests, states = [], [], []
+        for _ in range(depth if table.column("block")[0].as_py() else height(len(nodes), arity)):
             digests.append(to_bytes(nodes))
             levels.append(len(nodes))
             nodes, before = raised(nodes, arity)
             states.append(to_bytes(before))
         return pa.table({
-            "grp": table.column("grp").slice(0, 1), "block": table.column("block").slice(0, 1), "n": pa.array([n], pa.int64()),
+            "grp": table.column("grp").slice(0, 1), "block": table.column("block").slice(0, 1),
             "levels": pa.array([levels], pa.list_(pa.int32())), "digests": pa.array([b"".join(digests)], pa.binary()),
             "states": pa.array([b"".join(states)], pa.binary()), "root": pa.array(hex_texts(nodes)),
         })
@@ -150,21 +151,20 @@ def building(arity: int):
     return build
 
 
-BLOCK_SCHEMA = "grp string, block bigint, n bigint, levels array<int>, digests binary, states binary, root string"
+BLOCK_SCHEMA = "grp string, block bigint, levels array<int>, digests binary, states binary, root string"
 BLOCK_KEY = ("grp", "block")
 
 
 def block_passes(nodes: DataFrame, arity: int) -> list[DataFrame]:
-    """Blocks of every pass over nodes (grp, idx, n, digest); in the last one each group is one block."""
+    """Blocks of every pass over nodes (grp, idx, digest); in the last one each group is one block."""
     width, passes = arity ** block_depth(arity), []
     while True:
         dealt = nodes.withColumn("block", F.expr(f"idx div {width}"))
         blocks = written(dealt.groupBy(*BLOCK_KEY).applyInArrow(building(arity), BLOCK_SCHEMA), "merkle-blocks")
         passes.append(blocks)
-        most = blocks.agg(F.max(F.ceil(F.col("n") / width))).first()[0]
-        if most is None or most <= 1:
+        if blocks.where("block > 0").isEmpty():
             return passes
-        nodes = blocks.select("grp", F.col("block").alias("idx"), F.ceil(F.col("n") / width).alias("n"), F.col("root").alias("digest"))
+        nodes = blocks.select("grp", F.col("block").alias("idx"), F.col("root").alias("digest"))
 
 
 @dataclass
@@ -191,12 +191,10 @@ def build_manifest(rows: DataFrame, group_col: str, order: Sequence[str], leaf_c
     named = rows.withColumn("grp", F.coalesce(F.concat(F.lit("="), F.col(group_col)), F.lit(""))).withColumn("_one", F.lit(1))
     placed = running_totals(named, ["grp"], [*order, leaf_col], "_one", "idx")
     leaves = written(placed.drop("_one").withColumnRenamed(leaf_col, "leaf"), "leaves")
-    sizes = leaves.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    passes = block_passes(leaves.join(sizes, "grp").select("grp", "idx", "n", F.col("leaf").alias("digest")), arity)
+    passes = block_passes(leaves.select("grp", "idx", F.col("leaf").alias("digest")), arity)
     roots = passes[-1].select(F.lit("").alias("all"), "grp", "root", F.lit(1).alias("_one"))
     names = written(running_totals(roots, ["all"], ["grp"], "_one", "idx").select("all", "grp", "idx", F.col("root").alias("digest")), "roots")
-    count = names.groupBy("all").agg(F.count(F.lit(1)).alias("n"))
-    top = block_passes(names.join(count, "all").select(F.col("all").alias("grp"), "idx", "n", "digest"), arity)
+    top = block_passes(names.select(F.col("all").alias("grp"), "idx", "digest"), arity)
     return Manifest(arity, leaves, passes, names, top)
 
 
