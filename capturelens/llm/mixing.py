@@ -45,6 +45,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
     return opened.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
+def placed_rows(sized: DataFrame, weights: Sequence[int], epochs: int, seed: str) -> DataFrame:
+    """Rows (doc_id, size and any others) with ``source_size, target, taken`` of their ``source``."""
+    keyed = sized.withColumn("key", F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    placed = running_totals(keyed, ["source"], ["key", "doc_id", "size"], "size", "before")
+    targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
+    budget = F.floor("target").cast("bigint")
+    passes = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
+    rest = budget - passes * F.col("source_size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
+    joined = placed.join(targets, same(placed, targets, ["source"]))
+    return joined.select(
+        *[c for c in sized.columns if c != "source"], "source_size", "target", (passes * F.col("size") + part).cast("bigint").alias("taken"))
+
+
 def plan_mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[int] = WEIGHTS, epochs: int = 3, seed: str = "mix-0",
@@ -57,44 +71,38 @@ def plan_mix(
     rounded down. Other columns are not looked at.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-    ).withColumn("key", F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    placed = running_totals(sized, ["source"], ["key", "doc_id", "size"], "size", "before")
-    targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs)
-    budget = F.floor("target").cast("bigint")
-    passes = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(0)
-    rest = budget - passes * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
-    joined = placed.join(targets, same(placed, targets, ["source"]))
-    return joined.select(
-        "doc_id", "size", "source_size", "target", (passes * F.col("size") + part).cast("bigint").alias("taken")
-    )
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return placed_rows(sized, weights, epochs, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **plan) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = WEIGHTS, epochs: int = 3, seed: str = "mix-0",
+) -> DataFrame:
     """The mixed rows with the columns of ``docs``: one per whole pass over a document, and one whose
-    text ends at the budget's last word (its words joined by spaces) for the document at the edge. Documents without words cost
-    nothing and stay once. Rows that share an id count as one document here: what the plan takes of
-    them is shared out evenly."""
-    planned = plan_mix(docs, id_col, text_col, source_col, **plan)
-    takes = planned.groupBy("doc_id").agg(
-        F.sum("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows")
-    )
-    size = F.expr("_size div _rows")
-    share = F.expr("_taken div _rows")
-    joined = docs.join(takes.hint("merge"), docs[id_col].eqNullSafe(takes["doc_id"])).select(
-        *[docs[c] for c in docs.columns], size.alias("_size"), share.alias("_taken")
-    )
-    whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(1)
-    edge = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0)
+    text ends at the budget's last word (its words joined by spaces) for the document at the edge.
+
+    Every row takes what ``plan_mix`` says of it, rows that share an id too; of rows equal in id and number of
+    words any may be the one at the edge. Documents without words (null, empty, blank) cost nothing and stay once.
+    Null ids and sources are values like any other, columns may have any names, an empty table gives no rows.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns])
+    mark = F.concat(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256), F.hex(F.xxhash64(*[docs[c] for c in docs.columns if c != text_col])))
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), mark.alias("mark"))
+    planned = placed_rows(sized, weights, epochs, seed)
+    # rows equal in all columns are one row here, which takes what the plan gives to all of them
+    takes = planned.groupBy("doc_id", "mark").agg(F.first("size").alias("size"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), mark.alias("mark"), row.alias("row")).groupBy("doc_id", "mark").agg(F.first("row").alias("row"))
+    joined = texts.join(takes.hint("merge"), same(texts, takes, ["doc_id", "mark"])).select("row", "size", "taken", "rows")
+    times = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.col("rows"))
+    edge = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(0)
     copies = F.concat(
-        F.array_repeat(F.lit(None).cast("bigint"), whole.cast("int")),
+        F.array_repeat(F.lit(None).cast("bigint"), times.cast("int")),
         F.when(edge > 0, F.array(edge)).otherwise(F.array().cast("array<bigint>")),
     )
-    pieces = joined.select(*[F.col(c) for c in docs.columns], F.explode(copies).alias("_words"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")
-    return pieces.select(*[
-        F.when(F.col("_words").isNull(), F.col(c)).otherwise(head).alias(c) if c == text_col else F.col(c)
-        for c in docs.columns
-    ])
+    pieces = joined.select("row", F.explode(copies).alias("first_words"))
+    text = F.col("row").getField(text_col)
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("first_words").cast("int")), " ")
+    cut = F.when(F.col("first_words").isNull(), text).otherwise(head)
+    return pieces.select(*[(cut if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from capturelens.llm.mixing import mix, plan_mix, source_targets
 
@@ -73,3 +74,25 @@ def test_null_and_repeated_ids_and_empty_table(documents):
     got = plan_mix(documents(rows)).collect()
     assert len(got) == 4 and sum(r["taken"] for r in got) == sum({int(r["target"]) for r in got})
     assert plan_mix(documents([])).count() == 0 and mix(documents([])).count() == 0
+
+
+def test_every_row_of_a_repeated_id_takes_its_part(documents):
+    """Three unequal texts of one id: the mix holds as many words as the plan takes."""
+    rows = [(5, "a b c d e f g", "x"), (5, "h i", "x"), (5, "j " * 20, "x"), (None, "k l", "x"), (6, "m " * 9, "y"), (7, "n " * 40, None)]
+    table = documents(rows)
+    taken = Counter()
+    for r in plan_mix(table).collect():
+        taken[r["doc_id"]] += r["taken"]
+    held = Counter()
+    for r in mix(table).collect():
+        held[r["doc_id"]] += len(r["text"].split())
+    assert held == taken
+
+
+def test_mix_of_columns_with_any_names(documents):
+    rows = [(1, "a b c", "x"), (2, "d", "y"), (3, None, None)]
+    table = documents(rows)
+    for name in ("_size", "_taken", "_rows", "_words", "size", "taken", "row", "key", "before", "target"):
+        table = table.withColumn(name, F.lit(1))
+    mixed = mix(table)
+    assert mixed.columns == table.columns and {r["doc_id"] for r in mixed.collect()} == {1, 2, 3}
