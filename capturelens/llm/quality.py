@@ -150,6 +150,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
+def scored(
+    measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, threshold: float, **fit,
+) -> DataFrame:
+    """``doc_id, held_out, score, predicted, digest`` of measured rows; ``digest`` only where they have it."""
+    digest = F.col("digest") if "digest" in measured.columns else F.lit(None).cast("string")
+    measured = written(measured.withColumn("digest", digest), "statistics")
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
+    learnt = written(measured.join(marks.where(~held_out("doc_id")), "doc_id").where("label is not null"), "labelled")
+    score = fit_rules(learnt, **fit).column()
+    return measured.select(
+        "doc_id", held_out("doc_id").alias("held_out"), score.alias("score"),
+        (score >= threshold).cast("int").alias("predicted"), "digest",
+    )
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     threshold: float = 0.7, **fit,
@@ -160,21 +175,22 @@ def score_quality(
     empty and blank texts have all statistics 0 and one score. Repeated ids are scored row by row and
     learnt from once for each labelled row; a null id has no label. Statistics cover whole texts.
     """
-    measured = written(text_statistics(docs, id_col, text_col), "statistics")
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"))
-    learnt = written(measured.join(marks.where(~held_out("doc_id")), "doc_id").where("label is not null"), "labelled")
-    model = fit_rules(learnt, **fit)
-    score = model.column()
-    return measured.select(
-        "doc_id", held_out("doc_id").alias("held_out"), score.alias("score"),
-        (score >= threshold).cast("int").alias("predicted"),
-    )
+    return scored(text_statistics(docs, id_col, text_col), labels, id_col, label_col, threshold, **fit).drop("digest")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_rejected(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    threshold: float = 0.7, **fit,
+) -> DataFrame:
     """The rows of ``docs`` whose text is predicted to be good, with all their columns.
 
-    The decision is a function of the text, so rows that share an id go or stay by their own scores only
-    when ids are unique; a repeated id stays if one of its rows does."""
-    good = score_quality(docs, labels, id_col, text_col, **how).where("predicted = 1").select("doc_id").distinct().hint("merge")
-    return docs.join(good, docs[id_col].eqNullSafe(good["doc_id"]), "left_semi")
+    The decision is a function of the text: rows that share an id go or stay by their own texts, repeated rows
+    go or stay together, null ids are rows like any other.
+    """
+    text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    keyed = docs.select(F.struct(F.col(id_col).alias("doc_id"), text.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    measured = text_statistics(keyed, "key", "text").select("doc_id.doc_id", "doc_id.digest", *STATISTICS)
+    good = scored(measured, labels, id_col, label_col, threshold, **fit).where("predicted = 1")
+    stays = good.select("doc_id", "digest").distinct().hint("merge")
+    ours = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return docs.join(stays, docs[id_col].eqNullSafe(stays["doc_id"]) & (ours == stays["digest"]), "left_semi")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from capturelens.llm.quality import STATISTICS, Rule, fit_rules, score_quality, statistics_of, tree_rules
+from capturelens.llm.quality import STATISTICS, Rule, drop_rejected, fit_rules, score_quality, statistics_of, tree_rules
 
 SF = "/root/testdata/sf0.01"
 
@@ -77,3 +78,15 @@ def test_nulls_repeats_long_texts_and_no_labels(spark, documents):
 def test_one_label_only(spark):
     stats = spark.createDataFrame([(1, *[0.0] * len(STATISTICS))], ["label", *STATISTICS])
     assert fit_rules(stats).rules == () and fit_rules(stats).base > 0
+
+
+def test_rows_of_one_id_go_by_their_texts(spark, documents):
+    rng = random.Random(1)
+    good = [" ".join("".join(rng.choices("abcdeilnrst", k=rng.randint(2, 8))) for _ in range(60)) + "." for _ in range(80)]
+    bad = [" ".join("### !!" for _ in range(30)) for _ in range(40)]
+    rows = list(enumerate(good + bad))
+    labels = spark.createDataFrame([(i, int(i < 80)) for i, _ in rows], "doc_id bigint, quality int")
+    odd = [(0, bad[0]), (0, good[0]), (None, good[1]), (None, bad[1])]
+    left = drop_rejected(documents(rows + odd), labels).collect()
+    kept = [(r["doc_id"], r["text"]) for r in left]
+    assert kept.count((0, good[0])) == 2 and (0, bad[0]) not in kept and (None, good[1]) in kept and (None, bad[1]) not in kept
