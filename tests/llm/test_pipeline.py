@@ -9,8 +9,11 @@ import pytest
 from test_mixing import filled
 from test_near_text import brute, family
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from capturelens.llm.packing import SIZES
+from capturelens.llm.wordpieces import public_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -89,9 +92,10 @@ def test_mix_meets_its_targets(steps):
 
 def test_packing_holds_every_row(steps):
     _, out, final = steps
+    tokenizer = Tokenizer.from_file(public_path(corpus_pipeline.TOKENIZER))
     want, got, filled_ = defaultdict(int), defaultdict(int), defaultdict(int)
     for r in out[4]:
-        want[r["doc_id"]] += len((r["text"] or "").split()) + 1
+        want[r["doc_id"]] += len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
     for r in out[5]:
         got[r["doc_id"]] += r["length"]
         filled_[r["bin"], r["bin_size"]] += r["length"]
