@@ -48,6 +48,14 @@ def _(t):
     return t.documents.select("doc_id", tx.markup_to_text(markup).alias("plain"))
 
 
+@query("txt4_references", """SELECT doc_id, source || ' × 3°: see Table ' || (n_chars % 9) || ' and A.' || (n_chars % 4) || 'ᵃ' AS plain, [lang, 'k2', source] AS cited FROM documents""")
+def _(t):
+    lit, n = F.lit, F.col("n_chars")
+    markup = F.concat(F.col("source"), lit(" $\\times$ 3$^{\\circ}$: see Table~\\ref{tab:x}\\cite{"), F.col("lang"), lit(", k2} and \\ref{sec:y}$^{a}$ \\cite{"), F.col("source"), lit("}% \\cite{no}"))
+    numbers = F.create_map(lit("tab:x"), (n % 9).cast("string"), lit("sec:y"), F.concat(lit("A."), (n % 4).cast("string")))
+    return t.documents.select("doc_id", tx.markup_to_text(markup, numbers).alias("plain"), tx.cited_keys(markup).alias("cited"))
+
+
 @query("txt4_page_text", r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'),
   '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages""")
 def _(t):

@@ -204,19 +204,34 @@ def bibliography(texts: DataFrame, column: str) -> DataFrame:
     return rows.select("_e.key", "_e.type", F.map_from_entries("_e.fields").alias("fields"))
 
 
+HELD, BLANK = "\ue000", " \t\r\n"  # a stand-in for an escaped cell mark; white space
+
+
+def without_options(parts: Column) -> Column:
+    """What follows each command, without the option in square brackets it may have; the first part follows none."""
+    def bare(part: Column, i: Column) -> Column:
+        rest = F.ltrim(part, F.lit(BLANK))
+        return F.when((i > 0) & F.startswith(rest, F.lit("[")), F.substr(rest, F.call_function("locate", F.lit("]"), rest) + 1)).otherwise(part)
+
+    return F.transform(parts, bare)
+
+
 def markup_rows(tables: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of a ruled markup table: ``key, group_no, row_no, cells``, header row as group 0.
 
     The body lies between the top and the bottom rule; middle rules part the groups. A row whose
     number of cells differs from the header's is an error.
     """
-    body = F.regexp_extract(text, r"(?s)\\toprule(.*)\\bottomrule", 1)
-    groups = tables.select(key, F.posexplode(F.split(body, r"\\midrule")).alias("group_no", "_g"))
-    lines = groups.select(key, "group_no", F.posexplode(F.split("_g", r"\\\\(?:\[[^\]]*\])?")).alias("_i", "_r"))
-    clean = lines.withColumn("_r", F.trim(F.regexp_replace(F.regexp_replace("_r", r"\\addlinespace(\[[^\]]*\])?", ""), r"^\s+|\s+$", "")))
-    cells = clean.where("_r <> ''").select(
-        key, "group_no", F.col("_i").alias("row_no"), F.transform(F.split("_r", r"(?<!\\)&"), lambda c: F.trim(c)).alias("cells")
-    )
+    top, bottom = F.lit("\\toprule"), F.lit("\\bottomrule")
+    ruled = F.contains(F.col(text), top) & F.contains(F.col(text), bottom)
+    body = F.substring_index(F.substring_index(F.col(text), "\\toprule", -1), "\\bottomrule", 1)
+    groups = tables.where(ruled).select(key, F.posexplode(F.split(body, re.escape("\\midrule"))).alias("group_no", "_g"))
+    lines = groups.select(key, "group_no", F.posexplode(without_options(F.split("_g", re.escape("\\\\")))).alias("_i", "_r"))
+    clean = lines.withColumn("_r", F.array_join(without_options(F.split("_r", re.escape("\\addlinespace"))), ""))
+    clean = clean.withColumn("_r", F.trim("_r", F.lit(BLANK))).where("_r <> ''")
+    parted = F.split(F.replace("_r", F.lit("\\&"), F.lit(HELD)), "&")
+    cells = clean.select(key, "group_no", F.col("_i").alias("row_no"), F.transform(
+        parted, lambda c: F.trim(F.replace(c, F.lit(HELD), F.lit("\\&")), F.lit(BLANK))).alias("cells"))
     head = cells.where("group_no = 0").groupBy(key).agg(F.max(F.size("cells")).alias("_n"))
     wrong = F.raise_error(F.concat(F.lit("wrong number of cells: "), F.array_join("cells", " & ")))
     return cells.join(head, key).select(

@@ -354,3 +354,31 @@ def test_null_keys_give_the_same_rows_in_blocks(split):
     assert cut.split
     split.conf.unset("spark.capturelens.block.rows")
     assert sorted(cut.df.collect(), key=lambda r: r.id) == sorted(add().df.collect(), key=lambda r: r.id)
+
+
+def test_markup_forms(spark):
+    """Letters, products, raised marks, references; forms that are not known and labels without a number fail."""
+    numbers = F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("B.1"))
+    cases = {
+        r"S\~{n}o \'e \^{o} \c{c}a {\l}a \l b": "Sño é ô ça ła ł b", r"2 $\times$ 3$^{\circ}$ x$^{a, b}$": "2 × 3° xᵃᵇ",
+        r"see \ref{a}--\ref{b} and \textbf{\ref{a}}": "see 2–B.1 and 2", "50\\% of x % gone \\cite{k}\nnext": "50% of x next", "a\\cite{k}b": "ab",
+    }
+    df = spark.createDataFrame([(m, p) for m, p in cases.items()], "m string, p string")
+    assert all(r["got"] == r["p"] for r in df.select("p", tx.markup_to_text(F.col("m"), numbers).alias("got")).collect())
+    for wrong in ("$x^2$", "$^{q}$", "\\ref{zzz}", "\\unknown{a}"):
+        with pytest.raises(Exception, match="markup|label"):
+            spark.createDataFrame([(wrong,)], "m string").select(tx.markup_to_text(F.col("m"), numbers)).collect()
+    keys = spark.createDataFrame([("x \\cite{a, b} y % \\cite{no}\n\\cite{c}",)], "m string").select(tx.cited_keys(F.col("m"))).first()[0]
+    assert keys == ["a", "b", "c"]
+
+
+def test_regions_and_notes(spark):
+    page = "<!--@a-->x<!--/@a--> <!--@b-->y<!--/@b--> <!--@a--><!--/@a-->"
+    one = spark.createDataFrame([(page, "See J. Smith. Then", "A ᵃ b. ᵃOne ᵇ two. ᵇThree")], "p string, s string, c string")
+    filled = one.select(tx.fill_regions(F.col("p"), {"a": F.lit("$1\\"), "b": F.lit("")})).first()[0]
+    assert filled == "<!--@a-->$1\\<!--/@a--> <!--@b--><!--/@b--> <!--@a-->$1\\<!--/@a-->"
+    with pytest.raises(Exception, match="regions without content: b"):
+        one.select(tx.fill_regions(F.col("p"), {"a": F.lit("1")})).collect()
+    assert one.select(tx.first_sentence(F.col("s"))).first()[0] == "See J. Smith."
+    assert one.select(tx.footnotes(F.col("c"), "ᵃᵇ")).first()[0] == ["ᵃOne", "ᵇ two.", "ᵇThree"]
+    assert one.select(tx.footnotes(F.col("s"), "ᵃᵇ")).first()[0] == []
