@@ -67,13 +67,16 @@ def frame_stem(name: Column) -> Column:
 
 
 def mask_candidates(name: Column) -> Column:
-    """File names a mask of this frame may have, best first."""
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    bare = frame_stem(name)
-    tails = [".png", ".jpg.png", ".png.png"]
-    return F.array_distinct(
-        F.array(name, *[F.concat(s, F.lit(t)) for s in (stem, bare) for t in tails])
-    )
+    """File names a mask of this frame may have, best first: its own, then those of each stem.
+
+    Image extensions go one at a time, so ``a.png.jpg`` is looked for under ``a.png`` before ``a``; another extension stays.
+    """
+    endings = F.regexp_extract(name, r"(?i)((\.(png|jpe?g))+)$", 1)
+    dropped = F.sequence(F.lit(1), F.size(F.split(endings, r"\.")) - 1)
+    last = lambda k: F.array_join(F.slice(F.split(name, r"\."), F.lit(1), F.size(F.split(name, r"\.")) - k), ".")
+    tails = F.array(*[F.lit(t) for t in (".png", ".jpg.png", ".png.png")])
+    tried = F.flatten(F.transform(dropped, lambda k: F.transform(tails, lambda t: F.concat(last(k), t))))
+    return F.array_distinct(F.concat(F.array(name), F.when(endings != "", tried).otherwise(F.array().cast("array<string>"))))
 
 
 def pair_key(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     queries_scalar,
     queries_geometry,
     queries_study,
+    queries_tables,
     queries_text,
     queries_time,
 )

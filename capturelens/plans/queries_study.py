@@ -379,6 +379,24 @@ def _(t):
     return tb.candidate_lookup(rows, have, ["event_id"], nm.mask_candidates(F.col("name")), "mask").select("event_id", "mask")
 
 
+# Names with repeated extensions: every stem on the way to the bare name is tried, the longest first.
+DEEP = ["png", "jpg.png", "png.jpeg.jpg", "tiff"]
+
+
+@query("jon19_mask_middle_stems", f"""WITH e AS (SELECT event_id, 'f' || event_id || '.' || {DEEP}[CAST(event_id % 4 AS INT) + 1] AS name FROM events),
+  n AS (SELECT DISTINCT 'f' || event_id || x AS m FROM events, (SELECT unnest(['.png.png', '.png.jpeg.png', '.png.jpg.png', '.jpg.png.png']) AS x, unnest([0, 1, 2, 3]) AS i) WHERE (event_id // 4) % 4 = i),
+  s AS (SELECT event_id, name, name AS stem, 0 AS d FROM e UNION ALL SELECT event_id, name, regexp_replace(regexp_replace(regexp_replace(name, '\\.(png|jpg|jpeg)$', ''), CASE WHEN k > 1 THEN '\\.(png|jpg|jpeg)$' ELSE '^$' END, ''), CASE WHEN k > 2 THEN '\\.(png|jpg|jpeg)$' ELSE '^$' END, ''), k FROM e, (SELECT unnest([1, 2, 3]) AS k)
+    WHERE k <= CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END),
+  c AS (SELECT event_id, CASE WHEN d = 0 THEN stem ELSE stem || x END AS m, d * 3 + i AS r FROM s, (SELECT unnest(['.png', '.jpg.png', '.png.png']) AS x, unnest([0, 1, 2]) AS i) WHERE d > 0 OR i = 0),
+  b AS (SELECT event_id, arg_min(m, r) AS mask FROM c JOIN n USING (m) GROUP BY event_id) SELECT e.event_id, name, mask FROM e LEFT JOIN b USING (event_id)""")
+def _(t):
+    e, k = F.concat(F.lit("f"), F.col("event_id").cast("string")), F.col("event_id")
+    name = F.concat(e, F.lit("."), F.element_at(F.array(*[F.lit(d) for d in DEEP]), (k % 4 + 1).cast("int")))
+    tails = F.element_at(F.array(*[F.lit(x) for x in (".png.png", ".png.jpeg.png", ".png.jpg.png", ".jpg.png.png")]), (F.floor(k / 4) % 4 + 1).cast("int"))
+    rows, have = t.events.select("event_id", name.alias("name")), t.events.select(F.concat(e, tails).alias("mask"))
+    return tb.candidate_lookup(rows, have, ["event_id"], nm.mask_candidates(F.col("name")), "mask").select("event_id", "name", "mask")
+
+
 @query("jon20_required_members", """WITH b AS (SELECT DISTINCT o_custkey AS capture, o_orderstatus AS band FROM orders), n AS (SELECT unnest(['F', 'O', 'P']) AS band), c AS (SELECT DISTINCT capture FROM b)
   SELECT capture, string_agg(n.band, ',' ORDER BY n.band) AS missing FROM c CROSS JOIN n LEFT JOIN b USING (capture, band) WHERE b.band IS NULL GROUP BY capture""".replace("LEFT JOIN b USING (capture, band)", "LEFT JOIN b ON b.capture = c.capture AND b.band = n.band").replace("SELECT capture, string_agg", "SELECT c.capture, string_agg").replace("GROUP BY capture", "GROUP BY c.capture"))
 def _(t):
