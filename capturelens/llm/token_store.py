@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import file_store, hash_sample
+from .work import file_store, hash_sample, task_a_file
 from .wordpieces import encoder
 
 MAGIC, VERSION = b"CLTK", 1
@@ -202,4 +202,4 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return shards.repartition(F.col("file")).mapInArrow(read, kind)
+    return task_a_file(shards).mapInArrow(read, kind)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .work import file_store
+from .work import file_store, task_a_file
 
 PIECE = 64 * 1024
 FILE_BYTES = 64 * 2**20
@@ -257,7 +257,7 @@ def read_pages(spark: SparkSession, folder: str, with_payload: bool = False) ->
                 if rows:
                     yield batch_of(rows, with_payload)
 
-    return files.repartition("file").mapInArrow(read, READ + ", payload binary" * with_payload)
+    return task_a_file(files).mapInArrow(read, READ + ", payload binary" * with_payload)
 
 
 def batch_of(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:

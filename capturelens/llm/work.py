@@ -18,6 +18,7 @@ from ..session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 EDGES_PER_BLOCK = 200_000
+READ_TASKS = 20_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -44,6 +45,15 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def task_a_file(manifest: DataFrame) -> DataFrame:
+    """The rows of a manifest, one a task; more than ``READ_TASKS`` rows are dealt evenly over that many tasks.
+
+    The number is given, so that the engine does not merge the few bytes of a manifest into one task; the rows, a
+    name and some numbers for each file, are dealt in turn from one task, so that each file gets its own.
+    """
+    return manifest.coalesce(1).repartition(max(1, min(READ_TASKS, manifest.count())))
+
+
 def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """At most ``rows`` rows, those with the smallest hashes of the keys; few more than that are ever moved."""
     spread = 2**40

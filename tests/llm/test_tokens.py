@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from capturelens.llm import token_store
@@ -69,6 +70,8 @@ def test_store_in_many_shards_and_single_documents(spark, documents):
     folder = new_folder(spark, "store")
     write_tokens(documents(rows), folder, WORDS, shard_bytes=200)
     assert result(read_tokens(spark, folder)) == expected(rows)
+    shards, tasks = spark.read.parquet(f"{folder}/manifest").count(), read_tokens(spark, folder).select(F.spark_partition_id().alias("p"))
+    assert shards > 1 and tasks.distinct().count() == shards
     ids = {r["doc_id"]: r["ids"] for r in read_tokens(spark, folder, with_ids=True).collect()}
     for r in spark.read.parquet(f"{folder}/manifest").collect():
         assert read_document(folder, r["file"], r["first_id"]).tolist() == ids[r["first_id"]]

@@ -8,6 +8,7 @@ import hashlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from capturelens.llm.warc import read_pages, read_records, record_bytes, write_pages
 from capturelens.llm.work import file_store, new_folder
@@ -54,6 +55,8 @@ def test_copies_nulls_long_payloads_and_many_files(spark, least):
     folder = new_folder(spark, "warc")
     write_pages(table, folder, least_bytes=least, file_bytes=200)
     assert result(read_pages(spark, folder)) == expected(rows, least)
+    files, tasks = spark.read.parquet(f"{folder}/manifest").count(), read_pages(spark, folder).select(F.spark_partition_id().alias("p"))
+    assert files > 3 and tasks.distinct().count() == files
 
 
 def test_null_ids_repeats_and_an_empty_table(spark):
