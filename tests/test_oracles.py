@@ -14,6 +14,7 @@ IN_BLOCKS = [
     "agg1_content_profile", "agg24_otsu_threshold", "agg46_anchor_coverage", "cld4_percentile_clip", "jon6_asof_interp_clamped",
     "txt9_numbering", "win5_edge_summary", "win16_log_attempts", "agg6_median_range", "agg22_veil_score", "agg51_fifteen_populations",
     "jon8_nearest_gap", "jon14_points_in_hull", "win6_corridor_passes", "win18_greedy_spacing", "win20_adjacent_groups", "rpt9_stationary_detail",
+    "rpt1_registration", "rpt7_repeat_runs", "rpt8_tail_runs", "rpt12_sweep_values",
 ]
 
 
