@@ -6,7 +6,8 @@ hold a third of all rows that task never ends. ``Ordered`` cuts the rows into *b
 checkpoint folder together with their block numbers, so every step reads the same blocks, also
 after an executor is lost. A windowed value is then the value inside the block, merged with what
 earlier (or later) blocks of the same sequence carry over; the carry is computed on one row per
-(sequence, block). Rows that fill one block have nothing to carry, and are not written.
+(sequence, block). Rows that fill one block have nothing to carry, and are not written. Nor are the rows
+of sequences of which none is longer than a block: they are dealt by sequence, about a quarter of a block a task.
 
 Null keys are keys like any other: they come first in the order and form a sequence of their own.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import write_through
@@ -25,6 +26,8 @@ BLK = "_blk"
 BLOCK_ROWS_CONF = "spark.capturelens.block.rows"
 BLOCK_ROWS = 1_000_000  # rows of a block, about
 ROW_BYTES = 16  # of the files behind a frame, for each of its rows
+SHARES = 4  # tasks for the rows of a block that are dealt by sequence
+BUCKETS = 2**14  # in which groups are counted together
 
 
 def likely_rows(df: DataFrame) -> int:
@@ -35,6 +38,27 @@ def likely_rows(df: DataFrame) -> int:
     return df.count() if max(sizes, default=0) >= 2**60 else sum(sizes) // ROW_BYTES
 
 
+def block_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
+
+
+def short_groups(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether no group has more rows than a block. Groups are counted together in a fixed number of buckets, so a
+    task sends a few counts only; a bucket that is too large for a block may do without cause, none is missed."""
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in by]), F.lit(BUCKETS)).alias("_bucket")
+    counts = df.select(bucket).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    return (counts.agg(F.max("_n")).first()[0] or 0) <= block_rows(df.sparkSession)
+
+
+def by_group(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
+    """The rows dealt by group for windows over whole groups, about a quarter of a block a task; None where a group may
+    be longer than a block."""
+    if not short_groups(df, by):
+        return None
+    blocks = max(1, -(-likely_rows(df) // block_rows(df.sparkSession)))
+    return df.repartition(blocks * SHARES, *[F.col(c) for c in by]) if blocks > 1 else df
+
+
 def attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:
     """Every row of the frame with the totals of its group; null keys meet null keys."""
     renamed = totals.select(
@@ -150,14 +174,19 @@ def next_known(value: Column) -> Carried:
 
 
 class Ordered:
-    """A frame of sequences in order, ready for windowed values."""
+    """A frame of sequences in order, ready for windowed values.
+
+    ``within`` is a frame whose groups are at least as long and that costs less to count.
+    """
 
-    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str]):
+    def __init__(self, df: DataFrame, by: Sequence[str], order: Sequence[str], within: DataFrame | None = None):
         self.by, self.order = list(by), list(order)
         keys = [F.col(c) for c in self.by + self.order]
-        rows = int(df.sparkSession.conf.get(BLOCK_ROWS_CONF, str(BLOCK_ROWS)))
-        self.blocks = max(1, -(-likely_rows(df.select(*keys)) // rows))
+        self.blocks = max(1, -(-likely_rows(df.select(*keys)) // block_rows(df.sparkSession)))
         self._read_once, self._df = True, df
+        if self.split and self.by and short_groups(df if within is None else within, self.by):
+            self._df = df.repartition(self.blocks * SHARES, *[F.col(c) for c in self.by])
+            self.blocks = 1
         if self.split:
             ranged = df.repartitionByRange(self.blocks, *keys).withColumn(BLK, F.spark_partition_id())
             self._df = write_through(ranged, "blocks")

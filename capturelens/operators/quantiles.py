@@ -28,7 +28,7 @@ def rank_values(
         F.count("_v").alias("_c"), *([F.count(F.lit(1)).alias("_rows")] if ends else [])
     )  # nulls count nothing, but a group of nulls stays a group
     keyed = counted if by else counted.withColumn("_all", F.lit(0))
-    ranked = Ordered(keyed, by or ["_all"], ["_v"]).add(
+    ranked = Ordered(keyed, by or ["_all"], ["_v"], df if by else None).add(
         _cum=running_sum(F.col("_c")), _n=group_total(F.col("_c"))
     ).df
     picks = []

@@ -72,3 +72,40 @@ def test_asof_interp_matches_numpy(split):
     span = right.groupby("s")["u"].agg(["min", "max"])
     inside = sum(span.loc[r.s, "min"] <= r.t <= span.loc[r.s, "max"] for r in left.itertuples())
     assert len(ends) == inside
+
+
+def test_short_sequences_are_not_written(split, monkeypatch):
+    """Sequences of at most a block stay whole; one longer sequence is enough to cut them. Both give the same rows."""
+    pdf, _ = frame(split)
+    short = split.createDataFrame(pdf[["id", "t", "v"]].assign(seq=pdf["id"] // 100).replace({"seq": {3: np.nan}}))
+    short = short.withColumn("seq", F.when(~F.isnan("seq"), F.col("seq")))
+    values = lambda o: o.add(n=od.ordinal(), prev=od.previous(F.col("v"))).add(s=od.running_sum(F.col("n"))).df
+    cut = od.Ordered(short.withColumn("seq", F.lit(1)), ["seq"], ["t", "id"])
+    assert cut.split
+    with monkeypatch.context() as m:
+        m.setattr(od, "short_groups", lambda df, by: False)
+        want = sorted(values(od.Ordered(short, ["seq"], ["t", "id"])).collect(), key=lambda r: r.id)
+        q = sorted(exact_quantiles(short, ["seq"], F.col("v"), {"m": 0.5}).collect(), key=str)
+    m = monkeypatch
+    m.setattr(od, "write_through", lambda *a: (_ for _ in ()).throw(AssertionError("written")))
+    whole = od.Ordered(short, ["seq"], ["t", "id"])
+    assert not whole.split
+    assert sorted(values(whole).collect(), key=lambda r: r.id) == want
+    assert sorted(exact_quantiles(short, ["seq"], F.col("v"), {"m": 0.5}).collect(), key=str) == q
+
+
+def test_scores_of_short_and_long_points(split, monkeypatch):
+    """Points of at most a block are scored where their rows are, without percentiles over blocks; longer ones as before."""
+    from capturelens.operators import robust as rb
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"point": rng.integers(0, 40, 900), "id": np.arange(900), "v": rng.integers(0, 12, 900) / 10, "s": rng.normal(size=900)})
+    df = split.createDataFrame(pdf).withColumns({
+        "point": F.when(F.col("point") != 5, F.col("point")), "v": F.when((F.col("id") % 9 != 0) & (F.col("point") != 7), F.col("v"))})
+    score = lambda: sorted(rb.veil_score(rb.long_tracks(df, "point", 3, F.col("s") < 1.5), "point", "v", "s").collect(), key=lambda r: r.id)
+    split.conf.set("spark.capturelens.block.rows", "20")
+    want = score()
+    split.conf.set("spark.capturelens.block.rows", "150")
+    monkeypatch.setattr(rb, "_channel_medians", lambda *a: (_ for _ in ()).throw(AssertionError("in blocks")))
+    got = score()
+    assert len(got) == len(want) > 700 and got == want
