@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import attach, with_totals
+from ..session import write_through
+from .ordered import attach, by_group, short_groups, with_totals
 from .quantiles import exact_quantiles
 
 MAD_SCALE = 1.4826  # fixed value: MAD to standard deviation of a normal distribution
@@ -17,11 +18,14 @@ LAB_FLOORS = {"l": 1.0, "a": 0.3, "b": 0.3}  # fixed values: smallest deviation
 
 def long_tracks(obs: DataFrame, point: str, least: int = 3, in_bounds: Column | None = None) -> DataFrame:
     """Observations of points seen often enough, before and after the bounds check."""
-    tall = with_totals(obs, [point], _n=F.count(F.lit(1))).where(F.col("_n") >= least).drop("_n")
-    if in_bounds is None:
-        return tall
-    kept = tall.where(in_bounds)
-    return with_totals(kept, [point], _n=F.count(F.lit(1))).where(F.col("_n") >= least).drop("_n")
+    dealt, n = by_group(obs, [point]), F.count(F.lit(1))
+
+    def often(rows: DataFrame) -> DataFrame:
+        counted = with_totals(rows, [point], _n=n) if dealt is None else rows.withColumn("_n", n.over(Window.partitionBy(point)))
+        return counted.where(F.col("_n") >= least).drop("_n")
+
+    tall = often(obs if dealt is None else dealt)
+    return tall if in_bounds is None else often(tall.where(in_bounds))
 
 
 def _channel_medians(obs: DataFrame, point: str, values: Mapping[str, Column], prefix: str) -> DataFrame:
@@ -35,13 +39,33 @@ def _channel_medians(obs: DataFrame, point: str, values: Mapping[str, Column], p
     ])
 
 
+def _with_medians(obs: DataFrame, point: str, values: Mapping[str, Column], prefix: str) -> DataFrame:
+    """The rows with the median of every channel of their point, whose rows are in one task."""
+    whole = Window.partitionBy(point)
+    named = obs.withColumns({f"_v_{ch}": v.cast("double") for ch, v in values.items()})
+    placed = named.withColumns({f"_n_{ch}": F.count(f"_v_{ch}").over(whole) for ch in values}).withColumns({
+        f"_r_{ch}": F.row_number().over(whole.orderBy(F.col(f"_v_{ch}").asc_nulls_last())) - 1 for ch in values})
+    half = {ch: (F.col(f"_n_{ch}") - 1) * 0.5 for ch in values}
+    at = lambda ch, rank: F.max(F.when(F.col(f"_r_{ch}") == rank, F.col(f"_v_{ch}"))).over(whole)
+    around = placed.withColumns({
+        f"_{end}_{ch}": at(ch, rank(half[ch])) for ch in values for end, rank in (("lo", F.floor), ("hi", F.ceil))})
+    return around.withColumns({
+        f"{prefix}{ch}": F.col(f"_lo_{ch}") + (F.col(f"_hi_{ch}") - F.col(f"_lo_{ch}")) * (half[ch] - F.floor(half[ch])) for ch in values
+    }).drop(*[f"_{x}_{ch}" for x in ("v", "n", "r", "lo", "hi") for ch in values])
+
+
 def mad_z(obs: DataFrame, point: str, floors: Mapping[str, float]) -> DataFrame:
-    """Adds ``z_<channel>``: distance to the point's median over its MAD, the MAD floored."""
-    med = _channel_medians(obs, point, {ch: F.col(ch) for ch in floors}, "_med_")
-    centred = attach(obs, med, [point])
+    """Adds ``z_<channel>``: distance to the point's median over its MAD, the MAD floored.
+
+    Points of at most a block of rows are ranked where their rows are; where one has more, in blocks.
+    """
     away = {ch: F.abs(F.col(ch) - F.col(f"_med_{ch}")) for ch in floors}
-    mad = _channel_medians(centred, point, away, "_mad_")
-    return attach(centred, mad, [point]).withColumns({
+    if short_groups(obs, [point]):
+        both = _with_medians(_with_medians(obs, point, {ch: F.col(ch) for ch in floors}, "_med_"), point, away, "_mad_")
+    else:
+        centred = attach(obs, _channel_medians(obs, point, {ch: F.col(ch) for ch in floors}, "_med_"), [point])
+        both = attach(centred, _channel_medians(centred, point, away, "_mad_"), [point])
+    return both.withColumns({
         f"z_{ch}": (F.col(ch) - F.col(f"_med_{ch}")) / F.greatest(MAD_SCALE * F.col(f"_mad_{ch}"), F.lit(floor))
         for ch, floor in floors.items()
     }).drop(*[f"_{m}_{ch}" for ch in floors for m in ("med", "mad")])
@@ -66,8 +90,12 @@ def colour_score(obs: DataFrame, point: str, floors: Mapping[str, float]) -> Dat
 def otsu_threshold(scores: DataFrame, score: str) -> DataFrame:
     """One row: the threshold of largest between-class variance over 256 bins of the maximum.
 
-    Only the 256-bin histogram is windowed. All-zero scores give 0.
+    The scores are written once, as they are read twice. Only the 256-bin histogram is windowed. All-zero scores give 0.
     """
+    return _threshold(write_through(scores.select(score), "scores"), score)
+
+
+def _threshold(scores: DataFrame, score: str) -> DataFrame:
     top = scores.agg(F.max(score).alias("_top"))
     scaled = F.when(F.col("_top") > 0, F.floor(F.col(score) / F.col("_top") * 255)).otherwise(0)
     hist = (
@@ -92,8 +120,9 @@ def otsu_threshold(scores: DataFrame, score: str) -> DataFrame:
 
 
 def flag_outliers(scores: DataFrame, score: str) -> DataFrame:
-    """Adds ``threshold`` and ``flagged`` (above it)."""
-    return scores.join(F.broadcast(otsu_threshold(scores, score))).withColumn(
+    """Adds ``threshold`` and ``flagged`` (above it); the scores are written once, as they are read three times."""
+    scores = write_through(scores, "scores")
+    return scores.join(F.broadcast(_threshold(scores, score))).withColumn(
         "flagged", F.col(score) > F.col("threshold")
     )
 
