@@ -47,13 +47,12 @@ def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], absent: Mapping
 
 
 def dereference(rows: DataFrame, targets: DataFrame, pointer: str, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows that point at another record take its values, others keep their own."""
+    """Rows that point at another record take its values, others keep their own and are not part of the join, as it
+    would put them all, however many they are, into the task of the null key."""
     there = targets.select(F.col(key).alias(pointer), *[F.col(c).alias(f"_t_{c}") for c in columns])
-    out = rows.join(there, pointer, "left")
-    pointed = F.col(pointer).isNotNull()
-    return out.withColumns({
-        c: F.when(pointed, F.col(f"_t_{c}")).otherwise(F.col(c)) for c in columns
-    }).drop(*[f"_t_{c}" for c in columns])
+    out = rows.where(F.col(pointer).isNotNull()).join(there, pointer, "left")
+    out = out.withColumns({c: F.col(f"_t_{c}") for c in columns}).drop(*[f"_t_{c}" for c in columns])
+    return out.unionByName(rows.where(F.col(pointer).isNull()))
 
 
 def split_by_names(views: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

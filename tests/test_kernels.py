@@ -382,3 +382,15 @@ def test_regions_and_notes(spark):
     assert one.select(tx.first_sentence(F.col("s"))).first()[0] == "See J. Smith."
     assert one.select(tx.footnotes(F.col("c"), "ᵃᵇ")).first()[0] == ["ᵃOne", "ᵇ two.", "ᵇThree"]
     assert one.select(tx.footnotes(F.col("s"), "ᵃᵇ")).first()[0] == []
+
+
+def test_rows_without_a_pointer_are_not_joined(spark):
+    """Null pointers would meet in one task of the join, however many there are."""
+    from capturelens.operators.tables import dereference
+
+    rows = spark.createDataFrame([(1, 2, 0.1), (2, None, 0.2), (3, None, None), (4, 9, 0.4)], "level int, summary int, psnr double")
+    out = dereference(rows, rows.select("level", "psnr"), "summary", "level", ["psnr"])
+    got = {r.level: (r.summary, r.psnr) for r in out.collect()}
+    assert got == {1: (2, 0.2), 2: (None, 0.2), 3: (None, None), 4: (9, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "isnull(summary" in plan.split("Join")[0] + plan.split("Join")[1] and "isnotnull(summary" in plan.split("Join")[1]
