@@ -130,7 +130,7 @@ def at_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def branching(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, doc, sign) to the child nodes: each node chooses one coordinate, and now and then a second."""
+    """(node, doc, sign, label) to the child nodes: each node chooses one coordinate, and now and then a second."""
     second = int((1 / similarity - 1) * 2**20)
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,15 +139,17 @@ def branching(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 continue
             node, doc = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             signs = stacked(batch.column(2), np.uint8)
-            rows = np.arange(len(node))
-            children, docs = [], []
+            label, rows = batch.column(3).to_numpy(), np.arange(len(node))
+            children, docs, labels = [], [], []
             for place, chosen in ((1, rows), (2, rows[(mixed(node + PLACES[9]) >> np.uint64(44)) < np.uint64(second)])):
                 own = mixed(node[chosen] * PLACES[10] + np.uint64(place))
                 coordinate = (own % np.uint64(COORDINATES)).astype(np.int64)
                 children.append(mixed(own ^ signs[chosen, coordinate].astype(np.uint64)))
                 docs.append(doc[chosen])
+                labels.append(label[chosen])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(children).view(np.int64)), pa.array(np.concatenate(docs))], ["node", "doc"]
+                [pa.array(np.concatenate(children).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (docs, labels)]],
+                ["node", "doc", "label"],
             )
 
     return branch
@@ -305,12 +307,25 @@ def open_counts(large: DataFrame) -> DataFrame:
     ).where("n_open > 0")
 
 
-def large_blocks(large: DataFrame, counts: DataFrame) -> DataFrame:
-    """``block, doc, label`` in which every document of a large node that has not the node's most frequent
-    label meets every other document of the node."""
-    rows = large.join(counts, "node").withColumns({
-        "k": F.ceil(F.col("n") / BLOCK), "ko": F.ceil(F.col("n_open") / BLOCK),
-    })
+def torn_nodes(members: DataFrame) -> DataFrame:
+    """``node, doc, label, most, n, n_open`` of nodes with more than one label, the others have no links to find; small
+    nodes with the same documents count once."""
+    marks = {f"x{i}": F.shiftright(F.xxhash64("doc", F.lit(i)), 24) for i in range(2)}
+    each = members.groupBy("node", "label").agg(
+        F.count(F.lit(1)).alias("c"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), *[F.sum(m).alias(x) for x, m in marks.items()])
+    sizes = each.groupBy("node").agg(
+        F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), (F.sum("c") - F.max("c")).alias("n_open"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(x).alias(x) for x in marks],
+    ).where("n_open > 0").withColumn("own", F.when(F.col("n") > LEAF, F.col("node")))
+    same = ["n", "n_open", "most", "lo", "hi", *marks, "own"]
+    once = sizes.groupBy(*same).agg(F.min("node").alias("node")).select("node", "most", "n", "n_open")
+    return members.join(once, "node")
+
+
+def large_blocks(nodes: DataFrame) -> DataFrame:
+    """``block, doc, label`` in which every document of a large node (node, doc, label, most, n, n_open) that has
+    not the node's most frequent label meets every other document of the node."""
+    rows = nodes.withColumns({"k": F.ceil(F.col("n") / BLOCK), "ko": F.ceil(F.col("n_open") / BLOCK)})
     own = F.pmod(F.xxhash64("doc", "node"), F.col("k"))
     own_open = F.pmod(F.xxhash64("doc", "node"), F.col("ko"))
     every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
@@ -330,21 +345,22 @@ def torn_blocks(rows: DataFrame) -> DataFrame:
 def unlinked_blocks(large: DataFrame, labels: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
     """``block, doc, label`` for what large nodes hold besides one group: documents outside a node's
     largest group meet all of it, in nodes with more of them than a block after branching again."""
-    out = []
-    wide = large.join(labels, "doc").select("node", "doc", "label")
-    for level in range(1, LEVELS + 1):
-        wide = written(wide, "large-nodes")
-        counts = open_counts(wide)
-        many = written(counts.where(F.col("n_open") > BLOCK).select("node"), "wide-nodes")
-        if level == LEVELS or many.isEmpty():
-            out.append(written(large_blocks(wide, counts), "blocks"))
+    wide = written(large.join(labels, "doc").select("node", "doc", "label"), "large-nodes")
+    counts = open_counts(wide)
+    many = written(counts.where(F.col("n_open") > BLOCK).select("node"), "wide-nodes")
+    out = [written(large_blocks(wide.join(counts.where(F.col("n_open") <= BLOCK), "node")), "blocks")]
+    wide, more = wide.join(many, "node", "left_semi"), not many.isEmpty()
+    for level in range(2, LEVELS + 1):
+        if not more:
             break
-        out.append(written(large_blocks(wide, counts.where(F.col("n_open") <= BLOCK)), "blocks"))
-        below = wide.join(many, "node", "left_semi").join(signs, "doc").select("node", "doc", "sign")
-        below = written(below.mapInArrow(branching(similarity), "node bigint, doc bigint"), "nodes")
-        children = written(shared_nodes(below).join(labels, "doc").select("node", "doc", "label", "n"), "nodes")
-        out.append(torn_blocks(children.where(F.col("n") <= LEAF).select(F.col("node").alias("block"), "doc", "label")))
-        wide = children.where(F.col("n") > LEAF).drop("n")
+        signed = wide.join(signs, "doc").select("node", "doc", "sign", "label")
+        below = written(signed.mapInArrow(branching(similarity), "node bigint, doc bigint, label bigint"), "nodes")
+        children = written(torn_nodes(below), "nodes")
+        out.append(children.where(F.col("n") <= LEAF).select(F.col("node").alias("block"), "doc", "label"))
+        wide = children.where((F.col("n") > LEAF) & (F.col("n_open") > BLOCK))
+        more = level < LEVELS and not wide.isEmpty()
+        met = children.where((F.col("n") > LEAF) & ((F.col("n_open") <= BLOCK) | F.lit(not more)))
+        out.append(written(large_blocks(met), "blocks"))
     return reduce(DataFrame.union, out)
 
 

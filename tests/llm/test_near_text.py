@@ -134,3 +134,12 @@ def test_even_repeats_and_small_equal_nodes(documents):
     texts = family(random.Random(4), 12, 40, 0.04) + family(random.Random(6), 12, 40, 0.04)
     rows = list(enumerate(texts)) * 2
     assert result(near_groups(documents(rows), words=4)) == brute(dict(rows).items(), 4)
+
+
+def test_nodes_of_one_group_are_not_joined_below_the_first_level(spark):
+    """A large group of copies gives no rows but in the nodes that hold something else."""
+    one = [(1, d, 0) for d in range(500)] + [(2, d, 0) for d in range(40)]
+    torn = [(3, d, 0) for d in range(90)] + [(3, 990, 7)] + [(n, d, d % 2) for n in (4, 5) for d in (1, 2)]
+    nodes = near_text.torn_nodes(spark.createDataFrame(one + torn, "node bigint, doc bigint, label bigint"))
+    rows = {(r["node"], r["doc"], r["label"], r["most"], r["n"], r["n_open"]) for r in nodes.collect()}
+    assert rows == {(3, d, 0, 0, 91, 1) for d in range(90)} | {(3, 990, 7, 0, 91, 1), (4, 1, 1, 1, 2, 1), (4, 2, 0, 1, 2, 1)}
