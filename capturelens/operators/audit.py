@@ -24,11 +24,9 @@ class Registered:
     again: DataFrame
 
 
-def long_cells(report: str, rows: DataFrame, key: str, cells: Sequence[str], text: str) -> DataFrame:
-    """``report, key, cell`` and the text of every cell; a null cell has no text."""
-    each = F.array(*[F.struct(F.lit(c).alias("cell"), F.col(c).cast("string").alias("t")) for c in cells])
-    named = rows.select(F.lit(report).alias("report"), F.col(key).cast("string").alias("key"), F.explode(each).alias("c"))
-    return named.select("report", "key", "c.cell", F.col("c.t").alias(text), F.lit(True).alias(f"in_{text}"))
+def cell_texts(report: str, rows: DataFrame, key: str, cells: Sequence[str], text: str) -> DataFrame:
+    """``report, key`` and the texts of a row's cells as one array; a null cell has no text."""
+    return rows.select(F.lit(report).alias("report"), F.col(key).cast("string").alias("key"), F.array(*[F.col(c).cast("string") for c in cells]).alias(text))
 
 
 def picked(share: float, seed: int) -> Column:
@@ -42,15 +40,22 @@ def audit(registry: Sequence[Registered], share: float = 1.0, seed: int = 0) ->
     A row that one side lacks does not agree, nor does one that a side holds twice; two null cells do. Null keys
     meet null keys.
     """
-    reported = reduce(DataFrame.union, [long_cells(r.report, r.rows, r.key, r.cells, "reported") for r in registry])
-    again = reduce(DataFrame.union, [long_cells(r.report, r.again, r.key, r.cells, "recomputed") for r in registry])
-    both = reported.where(picked(share, seed)).unionByName(again.where(picked(share, seed)), allowMissingColumns=True)
-    sides = both.groupBy("report", "key", "cell").agg(
-        F.count("in_reported").alias("n_reported"), F.count("in_recomputed").alias("n_recomputed"),
-        F.max("reported").alias("reported"), F.max("recomputed").alias("recomputed"))
+    reported = reduce(DataFrame.union, [cell_texts(r.report, r.rows, r.key, r.cells, "reported") for r in registry])
+    again = reduce(DataFrame.union, [cell_texts(r.report, r.again, r.key, r.cells, "recomputed") for r in registry])
+    both = reported.unionByName(again, allowMissingColumns=True)
+    # a row's cells meet together, and are listed only then
+    each = range(max((len(r.cells) for r in registry), default=0))
+    sides = both.groupBy("report", "key").agg(
+        F.count("reported").alias("n_reported"), F.count("recomputed").alias("n_recomputed"),
+        *[F.max(F.get(side, F.lit(i))).alias(f"{side}_{i}") for side in ("reported", "recomputed") for i in each])
+    listed = F.lit(None).cast("array<struct<cell:string,reported:string,recomputed:string>>")
+    for r in registry:
+        texts = [F.struct(F.lit(c).alias("cell"), F.col(f"reported_{i}").alias("reported"), F.col(f"recomputed_{i}").alias("recomputed")) for i, c in enumerate(r.cells)]
+        listed = F.when(F.col("report") == r.report, F.array(*texts)).otherwise(listed)
     once = (F.col("n_reported") == 1) & (F.col("n_recomputed") == 1)
-    return sides.select(
-        "report", "key", "cell", "reported", "recomputed", (once & F.col("reported").eqNullSafe(F.col("recomputed"))).alias("agrees"))
+    cells = sides.select("report", "key", once.alias("once"), F.explode(listed).alias("c")).select("report", "key", "once", "c.*")
+    return cells.where(picked(share, seed)).select(
+        "report", "key", "cell", "reported", "recomputed", (F.col("once") & F.col("reported").eqNullSafe(F.col("recomputed"))).alias("agrees"))
 
 
 def audit_summary(cells: DataFrame) -> DataFrame:

@@ -59,3 +59,12 @@ def test_a_planted_error_of_each_report_is_found(spark):
     some = audit(registry, share=0.2, seed=3).collect()
     total = sum(r["cells"] for r in whole.values())
     assert 0.1 * total < len(some) < 0.3 * total and all(r["agrees"] for r in some)
+
+
+def test_cells_are_listed_after_their_rows_have_met(spark):
+    """A row goes through the exchange once, not once for each of its cells."""
+    rows = spark.range(3).selectExpr("id", "id * 2 AS a", "id * 3 AS b", "CAST(NULL AS STRING) AS c")
+    found = audit([Registered("r", rows, "id", ["a", "b", "c"], rows)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate [")
+    assert found.count() == 9 and found.where("agrees").count() == 9
