@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.catalog import class_rank, listing_order, matches, not_characterized
-from .ordered import Ordered, last_known, running_sum
+from .ordered import Ordered, last_known, previous, running_sum
 
 # Environments that float, and the counter their captions share.
 FLOATS = {"table": "table", "sidewaystable": "table", "figure": "figure"}
@@ -44,8 +44,9 @@ def number_labels(tokens: DataFrame, doc: str, part: str, order: Sequence[str])
     """
     kind = F.col("kind")
     one = lambda c: c.cast("bigint")
-    section = Ordered(tokens, [doc, part], list(order)).add(sec=running_sum(one(kind == "section"))).df
-    rows = Ordered(section, [doc], [part, *order]).add(
+    # parts follow each other inside a document: its sections less those before the part are the part's
+    rows = Ordered(tokens, [doc], [part, *order]).add(
+        _secs=running_sum(one(kind == "section")), _part=previous(F.struct(part)),
         _subs=running_sum(one(kind == "subsection")),
         _last=last_known(F.when(kind.isin("section", "subsection"), kind)),
         _env=last_known(F.when(kind.startswith("begin_") | (kind == "end"), kind)),
@@ -53,12 +54,16 @@ def number_labels(tokens: DataFrame, doc: str, part: str, order: Sequence[str])
     counts = {
         f"_{f}s": running_sum(one((kind == "caption") & (F.col("_env") == f"begin_{f}"))) for f in ("table", "figure")
     }
-    rows = rows.add(_sub0=last_known(F.when(kind == "section", F.col("_subs"))), **counts)
+    before = F.col("_secs") - F.coalesce(one(kind == "section"), F.lit(0))
+    rows = rows.add(
+        _sub0=last_known(F.when(kind == "section", F.col("_subs"))),
+        _sec0=last_known(F.when(~F.struct(part).eqNullSafe(F.col("_part")), before)), **counts)
     rows = rows.add(**{
         f"_{f}0": last_known(F.when(kind == f"reset_{f}", F.col(f"_{f}s"))) for f in ("table", "figure")
     })
     since = lambda a, b: F.col(a) - F.coalesce(F.col(b), F.lit(0))
-    head = F.when(F.col(part) == 1, F.char(F.lit(64) + F.col("sec"))).otherwise(F.col("sec").cast("string"))
+    sec = F.col("_secs") - F.col("_sec0")
+    head = F.when(F.col(part) == 1, F.char(F.lit(64) + sec)).otherwise(sec.cast("string"))
     lead = F.when(F.col(part) == 1, head).otherwise("")
     number = (
         F.when(F.col("_env") == "begin_table", F.concat(lead, since("_tables", "_table0").cast("string")))

@@ -17,7 +17,7 @@ from ..functions.names import altitude_note
 from ..functions.phrases import joined_items, listed_items
 from ..functions.runs import outcome_class
 from ..functions.text import notes_when
-from .ordered import Ordered, attach, ordinal
+from .ordered import Ordered, attach, by_group, ordinal
 from .quantiles import exact_quantiles
 from .raster import clip_profile
 from .rollup import comparator, mean_range, pivot_runs
@@ -59,12 +59,8 @@ def quality_cells(stills: str = "state") -> list[Column]:
     ]
 
 
-def registration(runs: DataFrame, models: DataFrame, cameras: DataFrame) -> DataFrame:
-    """One row per run: registered images, model sizes, focal length against the documented one, outcome, notes.
-
-    ``runs(run, population, focal_doc, focal_doc_source)``, ``models(run, size)``, ``cameras(run, focal)``. The
-    largest model counts as registered, all models as given. A run without models is kept: it failed.
-    """
+def _registered_ranked(runs: DataFrame, models: DataFrame, cameras: DataFrame) -> DataFrame:
+    """The runs with the facts of their models and cameras, ranked in blocks."""
     sizes = models.groupBy("run").agg(
         F.count(F.lit(1)).alias("n_models"), F.max("size").alias("n_registered"), F.sum("size").alias("n_images"))
     ranked = models.select("run", (-F.col("size")).alias("_larger"), "size")
@@ -74,6 +70,39 @@ def registration(runs: DataFrame, models: DataFrame, cameras: DataFrame) -> Data
     out = runs
     for part in (sizes, text, ends, focal):
         out = attach(out, part, ["run"])
+    return out
+
+
+def _registered_dealt(runs: DataFrame, models: DataFrame, cameras: DataFrame) -> DataFrame | None:
+    """The same where no run has more models or cameras than a block: each run's rows meet in one task, once."""
+    double = lambda df, c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+    each = [df.select("run", F.lit(k).alias("k"), double(df, "size").alias("size"), double(df, "focal").alias("focal")) for k, df in ((1, models), (0, cameras))]
+    rows = by_group(each[0].union(each[1]), ["run"])
+    if rows is None:
+        return None
+    facts = rows.groupBy("run").agg(
+        F.count_if(F.col("k") == 1).alias("n_models"), F.max("size").alias("n_registered"), F.sum("size").alias("n_images"),
+        F.sort_array(F.collect_list("size"), asc=False).alias("_s"), F.min("focal").alias("focal_min"), F.max("focal").alias("focal_max"),
+        F.count_if(F.col("k") == 0).alias("_cameras"), F.sort_array(F.collect_list("focal")).alias("_f"))
+    n = F.size("_f")
+    lo, hi = (F.get("_f", f((n - 1) * 0.5).cast("int")) for f in (F.floor, F.ceil))
+    text = F.array_join(F.transform("_s", lambda v: v.cast("bigint").cast("string")), ", ")
+    some = lambda held, c: F.when(F.col(held) > 0, c)
+    known = facts.select(
+        "run", some("n_models", F.col("n_models")).alias("n_models"), "n_registered", "n_images", F.when(F.size("_s") > 0, text).alias("model_sizes"),
+        "focal_min", "focal_max", some("_cameras", n.cast("bigint")).alias("n_groups"),
+        F.when(n > 0, lo + (hi - lo) * ((n - 1) * 0.5 - F.floor((n - 1) * 0.5))).alias("focal_px_est"))
+    return attach(runs, known, ["run"])
+
+
+def registration(runs: DataFrame, models: DataFrame, cameras: DataFrame) -> DataFrame:
+    """One row per run: registered images, model sizes, focal length against the documented one, outcome, notes.
+
+    ``runs(run, population, focal_doc, focal_doc_source)``, ``models(run, size)``, ``cameras(run, focal)``. The
+    largest model counts as registered, all models as given. A run without models is kept: it failed.
+    """
+    out = _registered_dealt(runs, models, cameras)
+    out = _registered_ranked(runs, models, cameras) if out is None else out
     share = F.try_divide(F.col("n_registered").cast("double"), F.col("n_images"))
     spread = F.concat(F.lit("focal_px_est range "), fm.half_up(r6("focal_min"), 1), F.lit("-"), fm.half_up(r6("focal_max"), 1),
                       F.lit(" over "), F.col("n_groups").cast("string"), F.lit(" camera groups"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import pair_number
+from .ordered import dealt
 
 
 def prefixed(df: DataFrame, prefix: str, key: str) -> DataFrame:
@@ -55,10 +56,17 @@ def dereference(rows: DataFrame, targets: DataFrame, pointer: str, key: str, col
     return out.unionByName(rows.where(F.col(pointer).isNull()))
 
 
+def marked_by_names(views: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every view and whether it is ``listed``, by one join."""
+    rows, names = dealt(keys, views, holdout.select(*keys).distinct())
+    out = rows.join(names.withColumn("_hit", F.lit(True)), list(keys), "left")
+    return out.select(*[out[c] for c in views.columns], F.col("_hit").isNotNull().alias("listed"))
+
+
 def split_by_names(views: DataFrame, holdout: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Test views (listed) and training views (not listed)."""
-    names = holdout.select(*keys).distinct()
-    return views.join(names, list(keys), "left_semi"), views.join(names, list(keys), "left_anti")
+    marked = marked_by_names(views, holdout, keys)
+    return marked.where("listed").drop("listed"), marked.where("NOT listed").drop("listed")
 
 
 def pair_by_name(truth: DataFrame, guess: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -353,9 +353,8 @@ HOLD = f"{VIEWS}, h AS (SELECT DISTINCT run, view FROM views WHERE (run + view)
 def _(t):
     views = t.views.select("run", "view")
     listed = views.where("(run + view) % 8 = 0 AND run % 10 <> 9").union(views.select("run", F.lit(99).cast("bigint"))).distinct()
-    test, train = tb.split_by_names(views, listed, ["run", "view"])
-    marked = test.withColumn("k", F.lit(1)).unionByName(train.withColumn("k", F.lit(0)))
-    return marked.groupBy("run").agg(F.count_if(F.col("k") == 1).alias("n_test"), F.count_if(F.col("k") == 0).alias("n_train"))
+    marked = tb.marked_by_names(views, listed, ["run", "view"])
+    return marked.groupBy("run").agg(F.count_if("listed").alias("n_test"), F.count_if(~F.col("listed")).alias("n_train"))
 
 
 @query("jon18_pair_by_name", """WITH a AS (SELECT event_id, regexp_replace('frame_' || event_id || '.png.png', '(\\.(png|jpe?g))+$', '') AS stem FROM events WHERE event_id % 3 > 0), b AS (SELECT event_id AS pred, regexp_replace('frame_' || event_id || '.jpg', '(\\.(png|jpe?g))+$', '') AS stem FROM events WHERE event_id % 5 > 0)

@@ -109,3 +109,39 @@ def test_scores_of_short_and_long_points(split, monkeypatch):
     monkeypatch.setattr(rb, "_channel_medians", lambda *a: (_ for _ in ()).throw(AssertionError("in blocks")))
     got = score()
     assert len(got) == len(want) > 700 and got == want
+
+
+def test_views_are_marked_by_one_join(spark):
+    """Listed or not is told by one join, a name listed twice gives no second row, a null name is not listed."""
+    from capturelens.operators.tables import marked_by_names
+
+    views = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 0)], "run long, view long")
+    marked = marked_by_names(views, spark.createDataFrame([(1, 1), (1, 1), (None, 0)], "run long, view long"), ["run", "view"])
+    assert sorted((r["run"] or -1, r["view"], r["listed"]) for r in marked.collect()) == [(-1, 0, False), (1, 0, False), (1, 1, True), (2, 0, False)]
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_labels_are_numbered_in_one_order(spark, monkeypatch):
+    """Sections of a part come from the document's count; a part may begin without a section and a kind may be null."""
+    from capturelens.operators import documents as dc
+    from capturelens.operators.ordered import Ordered
+
+    made = []
+    monkeypatch.setattr(dc, "Ordered", lambda *a: made.append(a) or Ordered(*a))
+    kinds = [(0, ["section", "label", None, "section", "label"]), (1, ["label", "section", "label", "subsection", "label"])]
+    tokens = spark.createDataFrame([("d", p, i, k, f"{p}{i}") for p, ks in kinds for i, k in enumerate(ks)], "doc string, part int, i int, kind string, label string")
+    got = {r["label"]: r["number"] for r in dc.number_labels(tokens, "doc", "part", ["i"]).collect()}
+    assert len(made) == 1 and (got["01"], got["04"], got["12"], got["14"]) == ("1", "2", "A", "A.1")
+
+
+def test_dealt_tasks_follow_the_rows(split, tmp_path):
+    """Frames joined by a key meet in as many tasks as their rows fill, not in a fixed number."""
+    from capturelens.operators.ordered import dealt
+
+    counts = []
+    for n in (2_000, 20_000):
+        split.range(n).write.parquet(f"{tmp_path}/{n}")
+        both = dealt(["id"], split.read.parquet(f"{tmp_path}/{n}"), split.read.parquet(f"{tmp_path}/{n}"))
+        counts.append(both[0].rdd.getNumPartitions())
+        assert counts[-1] == both[1].rdd.getNumPartitions() and both[0].join(both[1], "id").count() == n
+    assert counts[1] > 4 * counts[0]

@@ -125,3 +125,13 @@ def test_empty_tables(spark, runs):
     tail = rp.tail_runs(placed, frames, scores, F.lit(True), 20, 3)
     views = none("sequence string, condition string, seed long, view long, psnr double")
     assert tail.count() == 0 and rp.tail_extended(tail, views, frames, ["raw"], 20, 3).count() == 0
+
+
+def test_short_runs_are_registered_in_one_meeting(spark, runs, monkeypatch):
+    """Rows of runs that fit into a block are not ranked apart, and give what ranking gives."""
+    models = spark.createDataFrame([(1, 40.0), (1, 7.0), (1, None), (1, 40.0), (2, None), (None, 3.0)], "run long, size double")
+    cameras = spark.createDataFrame([(1, 90.0), (1, 110.0), (1, 130.0), (1, 95.0), (3, None), (None, 1.0)], "run long, focal double")
+    same = ["run", "n_models", "n_registered", "n_images", "model_sizes", "focal_min", "focal_max", "n_groups", "focal_px_est"]
+    ranked = rows(rp._registered_ranked(runs, models, cameras).select(*same), "run")
+    monkeypatch.setattr(rp, "_registered_ranked", None)
+    assert rows(rp.registration(runs, models, cameras).select(*same), "run") == ranked
