@@ -59,11 +59,14 @@ def by_group(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     return df.repartition(blocks * SHARES, *[F.col(c) for c in by]) if blocks > 1 else df
 
 
-def dealt(by: Sequence[str], *frames: DataFrame) -> list[DataFrame]:
+def dealt(by: Sequence[str], *frames: DataFrame, within: DataFrame | None = None) -> list[DataFrame]:
     """The frames dealt by the same keys, of which none repeats much, over as many tasks as leave each about a quarter of
-    a block however many rows there are; as they are where one block holds them."""
+    a block however many rows there are; as they are where one block holds them, or where a group of ``within`` may be
+    longer than a block."""
     blocks = max(-(-likely_rows(df) // block_rows(df.sparkSession)) for df in frames)
-    return [df.repartition(blocks * SHARES, *[F.col(c) for c in by]) if blocks > 1 else df for df in frames]
+    if blocks <= 1 or (within is not None and not short_groups(within, by)):
+        return list(frames)
+    return [df.repartition(blocks * SHARES, *[F.col(c) for c in by]) for df in frames]
 
 
 def attach(df: DataFrame, totals: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -267,11 +267,16 @@ def condition_values(first: DataFrame, seeds: DataFrame, masks: DataFrame, key:
     ``masks(*key, mask_kind, masked_share, sfm_mask, loss_mask)``. An untrained condition says so, one without a mask row has none.
     """
     trained = seeds.groupBy(*key).agg(F.count(F.lit(1)).alias("seeds"), *[mean_range(F.col(c), n).alias(f"{c}_cell") for c, n in digits.items()])
-    out = attach(attach(first, trained, key), masks.withColumn("_mask", F.lit(True)), key)
+    return condition_rows(attach(first, trained, key), masks, key, list(digits))
+
+
+def condition_rows(known: DataFrame, masks: DataFrame, key: Sequence[str], scores: Sequence[str]) -> DataFrame:
+    """``condition_values`` where each row of ``first`` has its ``seeds`` and the cell of each score already."""
+    out = attach(known, masks.withColumn("_mask", F.lit(True)), key)
     plain = F.col("_mask").isNull()
     flag = lambda c: F.when(plain, "False").otherwise(F.initcap(F.col(c).cast("string"))).alias(c)
     return out.select(
         *key, F.when(plain, "none").otherwise(F.col("mask_kind")).alias("mask_kind"), fm.fmt_pct(F.col("masked_share")).alias("masked_share"),
         flag("sfm_mask"), flag("loss_mask"), F.concat_ws(" / ", fm.fmt_int(F.col("n_registered")), fm.fmt_int(F.col("n_images"))).alias("registered"),
         "n_models", F.when(F.col("rate").isNull(), "not repeated").otherwise(fm.fmt_pct(F.col("rate"))).alias("repeat_rate"),
-        F.coalesce("seeds", F.lit(0).cast("bigint")).alias("seeds"), *[F.coalesce(f"{c}_cell", F.lit("not trained")).alias(c) for c in digits])
+        F.coalesce("seeds", F.lit(0).cast("bigint")).alias("seeds"), *[F.coalesce(f"{c}_cell", F.lit("not trained")).alias(c) for c in scores])

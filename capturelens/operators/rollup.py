@@ -11,6 +11,8 @@ from ..functions.formats import DASH, as_decimal, half_up, shown_range
 from .ordered import Ordered, attach, group_total, ordinal
 from .quantiles import exact_median_decimal, exact_quantiles
 
+PARTS = ["n", "total", "low", "high"]
+
 
 def median_range(df: DataFrame, by: Sequence[str], value: Column, kind: str, name: str) -> DataFrame:
     """Cell text ``median [min–max] (n = k)`` over the values that are determined."""
@@ -22,14 +24,29 @@ def median_range(df: DataFrame, by: Sequence[str], value: Column, kind: str, nam
 
 def mean_range(value: Column, digits: int) -> Column:
     """Aggregate: cell text ``mean [min–max]``; the bracket goes for a single value."""
+    return _mean_cell(*_mean_facts(value), digits)
+
+
+def _mean_facts(value: Column) -> list[Column]:
     v = as_decimal(value).cast("decimal(28,10)")
-    mean = (F.sum(v) / F.count(v)).cast("decimal(38,12)")
-    ends = F.concat(
-        F.lit(" ["), half_up(F.min(v), digits), F.lit("–"), half_up(F.max(v), digits), F.lit("]")
-    )
-    return F.when(F.count(v) == 0, DASH).otherwise(
-        F.concat(half_up(mean, digits), F.when(F.count(v) > 1, ends).otherwise(""))
-    )
+    return [F.count(v), F.sum(v), F.min(v), F.max(v)]
+
+
+def _mean_cell(n: Column, total: Column, low: Column, high: Column, digits: int) -> Column:
+    mean = (total / n).cast("decimal(38,12)")
+    ends = F.concat(F.lit(" ["), half_up(low, digits), F.lit("–"), half_up(high, digits), F.lit("]"))
+    return F.when(n == 0, DASH).otherwise(F.concat(half_up(mean, digits), F.when(n > 1, ends).otherwise("")))
+
+
+def mean_parts(value: Column, name: str) -> Column:
+    """Aggregate: what ``mean_range`` needs of a part of a group's rows. Sums are decimals, so parts add up exactly."""
+    return F.struct(*[c.alias(k) for k, c in zip(PARTS, _mean_facts(value))]).alias(name)
+
+
+def mean_of_parts(parts: Column, digits: int) -> Column:
+    """Aggregate: ``mean_range`` over the rows of all parts; null where no part is given."""
+    n, total, low, high = (f(parts[k]) for k, f in zip(PARTS, (F.sum, F.sum, F.min, F.max)))
+    return F.when(n.isNotNull(), _mean_cell(n, total, low, high, digits))
 
 
 def repeat_summary(

@@ -8,7 +8,7 @@ from ..functions import names as nm
 from ..functions.phrases import joined_items, listed_items, with_counts
 from ..operators import rollup as ru
 from ..operators import tables as tb
-from ..operators.ordered import Ordered, ordinal
+from ..operators.ordered import Ordered, dealt, ordinal
 from ..operators.quantiles import exact_quantiles
 from .bindings import FRAMES, NUMBERED, RUNS, VIEWS
 from .queries_scalar import IDS, dec, ids
@@ -64,13 +64,20 @@ REPEAT = RUNS + """, li AS (SELECT l_orderkey AS run, max(l_quantity) AS largest
   rr AS (SELECT r.*, l.largest, l.n_lines, CASE WHEN n_lines > 2 THEN least(a, b) % 9 || '+' || greatest(a, b) % 9 END AS pair, largest / total >= 0.5 AS ok FROM runs r LEFT JOIN li l USING (run))"""
 
 
+def run_lines(t):
+    """Runs and their lines, both dealt by run."""
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "run")
+    return dealt(["run"], t.runs, lines, within=lines)
+
+
 def repeat_runs(t):
-    li = t.lineitem.groupBy(F.col("l_orderkey").alias("run")).agg(
+    runs, lines = run_lines(t)
+    li = lines.groupBy("run").agg(
         F.max("l_quantity").alias("largest"), F.count(F.lit(1)).alias("n_lines"), F.min("l_partkey").alias("a"),
         F.max("l_partkey").alias("b"), F.sum("l_quantity").alias("total"))
     lo, hi = F.least("a", "b") % 9, F.greatest("a", "b") % 9
     pair = F.when(F.col("n_lines") > 2, F.concat_ws("+", lo.cast("string"), hi.cast("string")))
-    return t.runs.join(li, "run", "left").withColumns({"pair": pair, "ok": F.col("largest") / F.col("total") >= 0.5})
+    return runs.join(li, "run", "left").withColumns({"pair": pair, "ok": F.col("largest") / F.col("total") >= 0.5})
 
 
 @query("agg8_repeat_summary", f"""WITH {REPEAT} SELECT condition, count(*) AS n, CAST(count(*) FILTER (ok) AS BIGINT) AS success_count, round(count(*) FILTER (ok) / count(*)::DOUBLE, 3) AS success_rate,

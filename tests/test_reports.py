@@ -135,3 +135,28 @@ def test_short_runs_are_registered_in_one_meeting(spark, runs, monkeypatch):
     ranked = rows(rp._registered_ranked(runs, models, cameras).select(*same), "run")
     monkeypatch.setattr(rp, "_registered_ranked", None)
     assert rows(rp.registration(runs, models, cameras).select(*same), "run") == ranked
+
+
+def test_conditions_read_the_lines_once_and_blocks_do_not_matter(split):
+    """A run's lines meet once and a sequence's runs once, in tasks that follow the rows; cut or not, the rows are the same."""
+    from capturelens.plans import QUERIES
+    from capturelens.plans.bindings import Tables
+
+    make = lambda: QUERIES["rpt12_condition_values"](Tables(split, "/root/testdata/sf0.001"))
+    cut = make()
+    scans = [x for x in cut._jdf.queryExecution().sparkPlan().toString().splitlines() if "Scan" in x and "lineitem.parquet" in x]
+    got = rows(cut, *cut.columns)
+    split.conf.unset("spark.capturelens.block.rows")
+    whole = make()
+    assert len(scans) == 1 and got == rows(whole, *whole.columns) and len(got) > 100
+
+
+def test_parts_of_a_mean_add_up(spark):
+    """The cell over parts is the cell over their rows; a group without parts has none, one without values a dash."""
+    from capturelens.operators import rollup as ru
+
+    values = spark.createDataFrame([("a", 1, 1.05), ("a", 1, None), ("a", 2, 2.25), ("b", 1, 7.0), ("c", 1, None)], "k string, p int, v double")
+    parts = values.groupBy("k", "p").agg(ru.mean_parts(F.col("v"), "x")).union(spark.createDataFrame([("d", 1, None)], "k string, p int, x struct<n: long, total: decimal(38,10), low: decimal(28,10), high: decimal(28,10)>"))
+    got = {r["k"]: r["c"] for r in parts.groupBy("k").agg(ru.mean_of_parts(F.col("x"), 1).alias("c")).collect()}
+    want = {r["k"]: r["c"] for r in values.groupBy("k").agg(ru.mean_range(F.col("v"), 1).alias("c")).collect()}
+    assert got == want | {"d": None} and got["c"] == "—"
