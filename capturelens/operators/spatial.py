@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_through
-from .ordered import Ordered, attach, following, last_known, ordinal
+from .ordered import Ordered, attach, dealt, following, last_known, ordinal
 
 CELL_SITES = 64  # places in a leaf, at most
 FINER = 3  # halvings that cells with more places take at once
@@ -130,13 +130,32 @@ class Pyramid:
         closer = enough.withColumn("_tau", F.least(F.col("_tau"), tau))
         return closer.where(F.col("_near") <= F.col("_tau")).select(*front.columns)
 
-    def candidates(self, asked: DataFrame, need: int) -> DataFrame:
-        """Query places with the places that may be among their ``need`` nearest."""
+    def reached(self, asked: DataFrame, need: int) -> DataFrame:
+        """Query places with the leaves that may hold one of their ``need`` nearest."""
         front = self.start(asked, need)
         while True:
             front = write_through(self.finer(self.finer(front, need), need), "front")
             if front.where("NOT _leaf").isEmpty():
-                return front.join(self.leaves, [*self.by, "_level", *self.g])
+                return front
+
+    def nearest(self, asked: DataFrame, need: int) -> DataFrame:
+        """The ``need`` nearest sites in each leaf that a query place reaches, as ``_near`` (d, id). A leaf is one row with
+        its few sites, so that a task sorts query places and leaves, and no pairs."""
+        cell = [*self.by, "_level", *self.g]
+        front = self.reached(asked, need)
+        front, leaves = dealt(cell, front, self.leaves, within=front)
+        # places that no grid tells apart may be many: they are listed in parts
+        part = F.when(F.col("_level") >= DEEPEST, F.pmod(F.xxhash64(*self.sites), F.lit(4096))).otherwise(0)
+        sites = leaves.select(*cell, part.alias("_part"), *self.sites, F.explode("_ids").alias("_id"))
+        listed = sites.groupBy(*cell, "_part").agg(F.collect_list(F.struct(*self.sites, "_id")).alias("_sites"))
+        far = lambda s: F.sqrt(sum(((F.col(c) - s[n]) * (F.col(c) - s[n]) for c, n in zip(self.asks, self.sites)), F.lit(0.0)))
+        met = F.transform("_sites", lambda s: F.struct(far(s).alias("d"), s["_id"].alias("id")))
+        near = front.join(listed, cell).select(*self.by, *self.asks, F.slice(F.sort_array(met), 1, need).alias("_near"))
+        return dealt([*self.by, *self.asks], near)[0]
+
+    def candidates(self, asked: DataFrame, need: int) -> DataFrame:
+        """Query places with the places that may be among their ``need`` nearest."""
+        return self.reached(asked, need).join(self.leaves, [*self.by, "_level", *self.g])
 
 
 def site_places(sites: DataFrame, by: list[str], coords: Sequence[str], site_id: str, need: int) -> DataFrame:
@@ -156,8 +175,8 @@ def _finite(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in names])
 
 
-def search_pairs(queries: DataFrame, sites: DataFrame, by: list[str], coords: Sequence[str], site_id: str, need: int) -> DataFrame:
-    """Places of queries (``_c0, …``) with the places of sites (``_s0, …``) they are compared with."""
+def _pyramid(queries: DataFrame, sites: DataFrame, by: list[str], coords: Sequence[str], site_id: str, need: int) -> tuple[Pyramid, DataFrame]:
+    """The counts of the sites, and the places of queries (``_c0, …``)."""
     asks = [f"_c{i}" for i in range(len(coords))]
     asked = queries.select(*by, *[F.col(c).cast("double").alias(a) for c, a in zip(coords, asks)]).where(_finite(asks)).distinct()
     few = site_places(sites, by, coords, site_id, need)
@@ -168,7 +187,13 @@ def search_pairs(queries: DataFrame, sites: DataFrame, by: list[str], coords: Se
     else:
         origin = [float(ends[f"lo{c}"]) for c in asks]
         extent = max(float(ends[f"hi{c}"]) - o for c, o in zip(asks, origin)) * 1.000001 or 1.0
-    return Pyramid(few, by, origin, extent).candidates(asked, need)
+    return Pyramid(few, by, origin, extent), asked
+
+
+def search_pairs(queries: DataFrame, sites: DataFrame, by: list[str], coords: Sequence[str], site_id: str, need: int) -> DataFrame:
+    """Places of queries (``_c0, …``) with the places of sites (``_s0, …``) they are compared with."""
+    counts, asked = _pyramid(queries, sites, by, coords, site_id, need)
+    return counts.candidates(asked, need)
 
 
 def nearest(
@@ -187,11 +212,10 @@ def nearest(
     that are not finite or groups that are null.
     """
     by, need = list(by), k + exclude_self
-    asks, names = [f"_c{i}" for i in range(len(coords))], [f"_s{i}" for i in range(len(coords))]
-    pairs = search_pairs(queries, sites, by, coords, site_id, need)
-    square = sum(((F.col(c) - F.col(s)) * (F.col(c) - F.col(s)) for c, s in zip(asks, names)), F.lit(0.0))
-    found = pairs.select(*by, *asks, F.sqrt(square).alias("_d"), F.explode("_ids").alias("_id"))
-    top = _smallest(found, [*by, *asks], need)
+    asks = [f"_c{i}" for i in range(len(coords))]
+    counts, asked = _pyramid(queries, sites, by, coords, site_id, need)
+    found = counts.nearest(asked, need).select(*by, *asks, F.explode("_near").alias("_n"))
+    top = _smallest(found.select(*by, *asks, F.col("_n.d").alias("_d"), F.col("_n.id").alias("_id")), [*by, *asks], need)
     named = queries.select(*by, F.col(query_id).alias("_q"), *[F.col(c).cast("double").alias(a) for c, a in zip(coords, asks)])
     mine = named.join(top, [*by, *asks])
     others = F.filter("_top", lambda s: s["id"] != F.col("_q")) if exclude_self else F.col("_top")

@@ -114,3 +114,15 @@ def test_hulls_and_points_in_them(spark):
         held = len(ring) > 2 and all(
             (bx - ax) * (b - ay) - (by - ay) * (a - ax) >= -1e-9 for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]))
         assert inside[q] == held, (g, q)
+
+
+def test_a_leaf_gives_its_nearest_sites_only(split, monkeypatch):
+    """What is sorted by query are the few nearest sites of each leaf, not all pairs; cut or not, they are the nearest."""
+    rng = np.random.default_rng(3)
+    points = [(1, i, *map(float, p)) for i, p in enumerate(rng.random((60, 2)))] + [(2, i, *map(float, p)) for i, p in enumerate(np.concatenate([rng.random((300, 2)), np.zeros((20, 2))]))]
+    df = split.createDataFrame(points, "g int, q int, x double, y double")
+    rows, smallest = [], spt._smallest
+    monkeypatch.setattr(spt, "_smallest", lambda found, keys, k: rows.append(found) or smallest(found, keys, k))
+    got = found(spt.nearest(df, df, ["g"], ["x", "y"], "q", "q", 1, exclude_self=True), "neighbour")
+    assert got == brute(points, points, 1, True)
+    assert 2 * rows[0].count() < spt.search_pairs(df, df, ["g"], ["x", "y"], "q", 2).count()
