@@ -360,7 +360,7 @@ HOLD = f"{VIEWS}, h AS (SELECT DISTINCT run, view FROM views WHERE (run + view)
 def _(t):
     views = t.views.select("run", "view")
     listed = views.where("(run + view) % 8 = 0 AND run % 10 <> 9").union(views.select("run", F.lit(99).cast("bigint"))).distinct()
-    marked = tb.marked_by_names(views, listed, ["run", "view"])
+    marked, = dealt(["run"], tb.marked_by_names(views, listed, ["run", "view"]), within=t.lineitem.select(F.col("l_orderkey").alias("run")))
     return marked.groupBy("run").agg(F.count_if("listed").alias("n_test"), F.count_if(~F.col("listed")).alias("n_train"))
 
 

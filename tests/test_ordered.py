@@ -145,3 +145,18 @@ def test_dealt_tasks_follow_the_rows(split, tmp_path):
         counts.append(both[0].rdd.getNumPartitions())
         assert counts[-1] == both[1].rdd.getNumPartitions() and both[0].join(both[1], "id").count() == n
     assert counts[1] > 4 * counts[0]
+
+
+def test_a_holdout_is_counted_in_tasks_that_follow_the_rows(split):
+    """The marked views are dealt by run before they are counted, and cut or not, the counts are the same."""
+    from capturelens.plans import QUERIES
+    from capturelens.plans.bindings import Tables
+
+    make = lambda: QUERIES["jon17_holdout_split"](Tables(split, "/root/testdata/sf0.001"))
+    cut = make()
+    plan = cut._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    got = sorted(map(tuple, cut.collect()))
+    split.conf.unset("spark.capturelens.block.rows")
+    join = next(i for i, x in enumerate(plan) if "Join " in x)
+    assert any("RepartitionByExpression [run#" in x for x in plan[:join])
+    assert got == sorted(map(tuple, make().collect())) and len(got) > 100
