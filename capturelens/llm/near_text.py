@@ -6,8 +6,9 @@ average one divided by the similarity sought, so that similar documents keep mee
 Small nodes are compared exhaustively by signatures, large ones in blocks first. What the signatures
 let through is confirmed on the full shingle sets. Large nodes whose documents are then not all linked
 go on: a few documents outside the node's largest group meet all others, and where they are many the node
-branches again, level by level, until its nodes are small, of one group, or have only a few such documents. Links
-leave a block as a spanning forest, so a group of copies gives as many rows as it has members.
+branches again, level by level, until its nodes are small, of one group, or have only a few such documents. A node
+of a bounded number of documents is walked to its end in one task, on row numbers; only larger ones are dealt anew
+for each level. Links leave a block as a spanning forest, so a group of copies gives as many rows as it has members.
 
 With 16 trees a pair of exactly the similarity sought is missed by all of them with a chance of about
 2e-6, and lost by its signature with one of about 1e-5.
@@ -31,6 +32,8 @@ TREES = 16
 COORDINATES = 128  # of a signature
 LEAF = 64  # documents of a node that are compared exhaustively
 BLOCK = 256  # documents of a block of a larger node
+WALKED = 16_384  # documents of a node whose branches one task walks; with their signatures they take some 5 MB
+WALKED_TIMES = 64  # rows of a walk for each document; beyond them the node's documents are all compared
 LEVELS = 96  # of branching; no more, so that documents that never part are told apart by comparing them all
 DEVIATIONS = 4.2  # by which a signature may underestimate
 KEPT_WORDS = 500_000
@@ -129,26 +132,34 @@ def at_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes.ravel().view(np.int64)), pa.array(docs)], ["node", "doc"])
 
 
+def second_share(similarity: float) -> int:
+    """How many of 2**20 nodes choose a second coordinate."""
+    return int((1 / similarity - 1) * 2**20)
+
+
+def child_nodes(node: np.ndarray, signs: np.ndarray, second: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their child nodes): each node chooses one coordinate, and now and then a second."""
+    rows = np.arange(len(node))
+    for place, chosen in ((1, rows), (2, rows[(mixed(node + PLACES[9]) >> np.uint64(44)) < np.uint64(second)])):
+        own = mixed(node[chosen] * PLACES[10] + np.uint64(place))
+        coordinate = (own % np.uint64(COORDINATES)).astype(np.int64)
+        yield chosen, mixed(own ^ signs[chosen, coordinate].astype(np.uint64))
+
+
 def branching(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(node, doc, sign, label) to the child nodes: each node chooses one coordinate, and now and then a second."""
-    second = int((1 / similarity - 1) * 2**20)
+    """(node, doc, sign, label) to the child nodes."""
+    second = second_share(similarity)
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             node, doc = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            signs = stacked(batch.column(2), np.uint8)
-            label, rows = batch.column(3).to_numpy(), np.arange(len(node))
-            children, docs, labels = [], [], []
-            for place, chosen in ((1, rows), (2, rows[(mixed(node + PLACES[9]) >> np.uint64(44)) < np.uint64(second)])):
-                own = mixed(node[chosen] * PLACES[10] + np.uint64(place))
-                coordinate = (own % np.uint64(COORDINATES)).astype(np.int64)
-                children.append(mixed(own ^ signs[chosen, coordinate].astype(np.uint64)))
-                docs.append(doc[chosen])
-                labels.append(label[chosen])
+            label = batch.column(3).to_numpy()
+            chosen, children = zip(*child_nodes(node, stacked(batch.column(2), np.uint8), second))
+            rows = np.concatenate(chosen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(children).view(np.int64)), *[pa.array(np.concatenate(c)) for c in (docs, labels)]],
+                [pa.array(np.concatenate(children).view(np.int64)), pa.array(doc[rows]), pa.array(label[rows])],
                 ["node", "doc", "label"],
             )
 
@@ -231,6 +242,15 @@ def edge_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
 
+def open_batch(block: int, docs: np.ndarray, signs: np.ndarray, labels: np.ndarray, least: float) -> pa.RecordBatch | None:
+    """The (block, doc) of one block that look like a document of another label."""
+    i, j = alike(signs, least)
+    apart = labels[i] != labels[j]
+    open_docs = np.unique(np.concatenate([docs[i[apart]], docs[j[apart]]]))
+    if len(open_docs):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(open_docs), block, np.int64)), pa.array(open_docs)], ["block", "doc"])
+
+
 def unlinked(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted (block, doc, sign, label) to the (block, doc) that look like a document of another label."""
     least = least_estimate(similarity)
@@ -238,16 +258,73 @@ def unlinked(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_blocks(batches):
             labels, docs = table.column(3).to_numpy(), table.column(1).to_numpy()
-            i, j = alike(stacked(table.column(2).combine_chunks(), np.uint8), least)
-            apart = labels[i] != labels[j]
-            open_docs = np.unique(np.concatenate([docs[i[apart]], docs[j[apart]]]))
-            if len(open_docs):
-                block = np.full(len(open_docs), table.column(0)[0].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(open_docs)], ["block", "doc"])
+            signs = stacked(table.column(2).combine_chunks(), np.uint8)
+            if (found := open_batch(table.column(0)[0].as_py(), docs, signs, labels, least)) is not None:
+                yield found
 
     return compare
 
 
+def met_blocks(node: np.uint64, rows: np.ndarray, opened: np.ndarray, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, rows) in which every opened row of a node meets every row of it."""
+    parts = [np.array_split(r, -(-len(r) // block)) for r in (rows, opened)]
+    for j, part in enumerate(parts[0]):
+        for o, some in enumerate(parts[1]):
+            own = mixed(np.array([node]) ^ mixed(np.array([1 + j * len(parts[1]) + o], np.uint64)))
+            yield int(own.view(np.int64)[0]), np.union1d(part, some)
+
+
+def walked(
+    node: np.uint64, signs: np.ndarray, labels: np.ndarray, second: int, leaf: int, block: int, levels: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, rows) at the ends of a node's branches: small nodes, and nodes with few rows outside their largest
+    group; nodes of one label have no links to find. Rows that do not part are all compared instead."""
+    whole, seen, steps = np.arange(len(labels)), set(), 0
+    ahead = [(node, whole, 1)]
+    while ahead:
+        node, rows, level = ahead.pop()
+        names, counts = np.unique(labels[rows], return_counts=True)
+        if len(names) == 1:
+            continue
+        opened = rows[labels[rows] != names[counts.argmax()]]
+        if len(rows) <= leaf:
+            if (key := rows.tobytes()) not in seen:
+                seen.add(key)
+                yield int(np.array([node]).view(np.int64)[0]), rows
+        elif len(opened) <= block or level == levels:
+            yield from met_blocks(node, rows, opened, block)
+        elif (steps := steps + len(rows)) > WALKED_TIMES * len(whole):
+            names, counts = np.unique(labels, return_counts=True)
+            yield from met_blocks(node, whole, whole[labels != names[counts.argmax()]], block)
+            return
+        else:
+            for chosen, children in child_nodes(np.full(len(rows), node), signs[rows], second):
+                order = np.argsort(children, kind="stable")
+                ends = np.flatnonzero(np.diff(children[order])) + 1
+                for part in np.split(order, ends):
+                    if len(part) > 1:
+                        ahead.append((children[part[0]], rows[chosen[part]], level + 1))
+
+
+def walking(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted (node, doc, sign, label) of whole nodes to the (block, doc) that look like a document of another label
+    at the ends of their branches."""
+    least, limits = least_estimate(similarity), (second_share(similarity), LEAF, BLOCK, LEVELS)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_blocks(batches):
+            docs = table.column(1).to_numpy()
+            order = np.argsort(docs)
+            docs, labels = docs[order], table.column(3).to_numpy()[order]
+            signs = stacked(table.column(2).combine_chunks(), np.uint8)[order]
+            node = table.column(0).to_numpy().view(np.uint64)[0]
+            for block, rows in walked(node, signs, labels, *limits):
+                if (found := open_batch(block, docs[rows], signs[rows], labels[rows], least)) is not None:
+                    yield found
+
+    return walk
+
+
 def confirming(words: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sorted (block, doc, label, text) to a forest of links (a, b) that hold on the full sets."""
     least, percent = least_estimate(similarity), round(similarity * 100)
@@ -280,8 +357,8 @@ def confirming(words: int, similarity: float) -> Callable[[Iterator[pa.RecordBat
     return confirm
 
 
-def by_block(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block")
+def by_block(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    return rows.repartition(*([tasks] if tasks else []), "block").sortWithinPartitions("block")
 
 
 def confirmed(needs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -342,26 +419,27 @@ def torn_blocks(rows: DataFrame) -> DataFrame:
     return rows.join(torn.select("block"), "block", "left_semi").select("block", "doc", "label")
 
 
-def unlinked_blocks(large: DataFrame, labels: DataFrame, signs: DataFrame, similarity: float) -> DataFrame:
-    """``block, doc, label`` for what large nodes hold besides one group: documents outside a node's
-    largest group meet all of it, in nodes with more of them than a block after branching again."""
-    wide = written(large.join(labels, "doc").select("node", "doc", "label"), "large-nodes")
-    counts = open_counts(wide)
-    many = written(counts.where(F.col("n_open") > BLOCK).select("node"), "wide-nodes")
-    out = [written(large_blocks(wide.join(counts.where(F.col("n_open") <= BLOCK), "node")), "blocks")]
-    wide, more = wide.join(many, "node", "left_semi"), not many.isEmpty()
+def unlinked_blocks(large: DataFrame, labels: DataFrame, signs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """What large nodes hold besides one group: documents outside a node's largest group meet all of it, in nodes
+    with more of them than a block after branching again. ``block, doc, label`` of blocks to be compared, and ``node, doc,
+    label`` of the nodes to be walked in one task each."""
+    rows = large.join(labels, "doc").select("node", "doc", "label")
+    wide = written(rows, "large-nodes")
+    wide = written(wide.join(open_counts(wide), "node"), "nodes")
+    few, small = F.col("n_open") <= BLOCK, F.col("n") <= WALKED
+    ends, blocks = [wide.where(small)], [written(large_blocks(wide.where(few & ~small)), "blocks")]
+    wide = wide.where(~few & ~small)
     for level in range(2, LEVELS + 1):
-        if not more:
+        if wide.isEmpty():
             break
         signed = wide.join(signs, "doc").select("node", "doc", "sign", "label")
         below = written(signed.mapInArrow(branching(similarity), "node bigint, doc bigint, label bigint"), "nodes")
         children = written(torn_nodes(below), "nodes")
-        out.append(children.where(F.col("n") <= LEAF).select(F.col("node").alias("block"), "doc", "label"))
-        wide = children.where((F.col("n") > LEAF) & (F.col("n_open") > BLOCK))
-        more = level < LEVELS and not wide.isEmpty()
-        met = children.where((F.col("n") > LEAF) & ((F.col("n_open") <= BLOCK) | F.lit(not more)))
-        out.append(written(large_blocks(met), "blocks"))
-    return reduce(DataFrame.union, out)
+        ends.append(children.where(small))
+        last = F.lit(level == LEVELS)
+        blocks.append(written(large_blocks(children.where(~small & (few | last))), "blocks"))
+        wide = children.where(~small & ~few & ~last)
+    return reduce(DataFrame.union, blocks), reduce(DataFrame.union, [e.select("node", "doc", "label") for e in ends])
 
 
 def near_groups(
@@ -417,9 +495,14 @@ def marked_groups(docs: DataFrame, id_col: str, text_col: str, words: int = 5, s
     ends = [labels.select(F.col("doc").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab"]
     failed = pairs.join(ends[0], "a").join(ends[1], "b").where("label_a <> label_b").select("block").distinct()
     mine = few.join(failed, "block", "left_semi").join(labels.join(needs.select("doc").distinct(), "doc", "left_semi"), "doc")
-    again = torn_blocks(mine.select("block", "doc", "label")).union(unlinked_blocks(large, labels, signs, similarity))
-    apart = by_block(again.join(signs, "doc").select("block", "doc", "sign", "label"))
-    rest = written(apart.mapInArrow(unlinked(similarity), "block bigint, doc bigint"), "rest")
+    blocks, walks = unlinked_blocks(large, labels, signs, similarity)
+    again = torn_blocks(mine.select("block", "doc", "label")).union(blocks)
+    tasks = 1 + 4 * walks.count() // WALKED  # given, as a walk takes longer than the bytes it reads tell
+    looks = [
+        by_block(r.join(signs, "doc").select("block", "doc", "sign", "label"), n).mapInArrow(how(similarity), "block bigint, doc bigint")
+        for r, how, n in ((again, unlinked, None), (walks.withColumnRenamed("node", "block"), walking, tasks))
+    ]
+    rest = written(looks[0].union(looks[1]), "rest")
     if not rest.isEmpty():
         more = written(confirmed(small_blocks_once(rest).join(labels, "doc"), texts, words, similarity), "links")
         roots = components(links.union(more))

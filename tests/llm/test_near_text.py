@@ -143,3 +143,50 @@ def test_nodes_of_one_group_are_not_joined_below_the_first_level(spark):
     nodes = near_text.torn_nodes(spark.createDataFrame(one + torn, "node bigint, doc bigint, label bigint"))
     rows = {(r["node"], r["doc"], r["label"], r["most"], r["n"], r["n_open"]) for r in nodes.collect()}
     assert rows == {(3, d, 0, 0, 91, 1) for d in range(90)} | {(3, 990, 7, 0, 91, 1), (4, 1, 1, 1, 2, 1), (4, 2, 0, 1, 2, 1)}
+
+
+def rows_by_node(spark, documents, monkeypatch, size, walk):
+    """The groups of a family whose nodes branch, and the rows written by node on the way."""
+    monkeypatch.setattr(near_text, "LEAF", 4)
+    monkeypatch.setattr(near_text, "BLOCK", 8)
+    monkeypatch.setattr(near_text, "WALKED", walk, raising=False)
+    counts, plain = [], near_text.written
+
+    def counted(df, name, *folder):
+        out = plain(df, name, *folder)
+        if name.endswith("nodes"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_text, "written", counted)
+    rows = list(enumerate(family(random.Random(9), size, 60, 0.16)))
+    got = result(near_groups(documents(rows), words=4))
+    monkeypatch.setattr(near_text, "written", plain)
+    assert got == brute(rows, 4)
+    return sum(counts)
+
+
+def test_rows_by_node_do_not_grow_with_the_levels(spark, documents, monkeypatch):
+    """A membership is written at most three times, however many levels a family's nodes branch."""
+    assert rows_by_node(spark, documents, monkeypatch, 320, 16_384) <= 3 * near_text.TREES * 320
+
+
+def test_larger_nodes_are_dealt_anew_until_they_can_be_walked(spark, documents, monkeypatch):
+    rows_by_node(spark, documents, monkeypatch, 120, 24)
+
+
+@pytest.mark.parametrize("levels, times", [(96, 64), (3, 64), (96, 0)])
+def test_a_walk_keeps_what_looks_alike(monkeypatch, levels, times):
+    """Every pair of equal signatures and unequal labels meets; rows that never part end in a comparison of all."""
+    monkeypatch.setattr(near_text, "WALKED_TIMES", times)
+    rng = near_text.np.random.RandomState(2)
+    signs = near_text.np.concatenate([rng.randint(0, 2, (300, near_text.COORDINATES)).astype("uint8")] * 2)
+    signs = near_text.np.concatenate([signs, near_text.np.full((40, near_text.COORDINATES), 7, "uint8")])
+    labels = near_text.np.arange(640)
+    met = set()
+    for _, rows in near_text.walked(near_text.np.uint64(5), signs, labels, near_text.second_share(0.8), 8, 16, levels):
+        inside = set(rows.tolist())
+        met |= {i for i in inside if i < 300 and i + 300 in inside}
+        if {600, 639} <= inside:
+            met.add(600)
+    assert met == {*range(300), 600}
